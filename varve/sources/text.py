@@ -14,11 +14,11 @@ POSITION = "_position"
 
 
 def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Lines of every file as ``file, line, value``, ``line`` counting from 0 within the file.
+    """Lines of every file as ``file, line, kept, value``, ``line`` counting from 0 within the file.
 
-    What follows the last line feed of a file is left out: nothing in a file that ends in one, the
-    last line in a file that does not. (In a compressed file the two cannot be told apart, and all
-    lines are kept.)
+    Lines from ``kept`` on do not count: what follows the last line feed of a file, which is
+    nothing in a file that ends in one and the last line in a file that does not. (In a compressed
+    file the two cannot be told apart, and all lines are kept.)
 
     Files are read in splits. A first pass counts the lines of each split; running sums over the
     splits of a file give each split the number of its first line.
@@ -52,7 +52,7 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
     numbered = lookup_join(lines, materialize(splits), on=["file", "start"], spread=["file", "row"])
     line = F.col("offset") + F.col("row") - F.col("first_row")
-    return numbered.filter(line < F.col("kept")).select("file", line.alias("line"), "value")
+    return numbered.select("file", line.alias("line"), "kept", "value")
 
 
 def _fields(fields: int, mode: str) -> Column:
@@ -66,8 +66,13 @@ def _fields(fields: int, mode: str) -> Column:
     return F.when(F.size(tokens) == fields, tokens).otherwise(F.raise_error(wrong))
 
 
-def _parsed(lines: DataFrame, names: Sequence[str], fields: int, mode: str, position: bool) -> DataFrame:
-    parsed = lines.select(F.struct("file", "line").alias(POSITION), _fields(fields, mode).alias("_fields"))
+def _parsed(
+    lines: DataFrame, data: Column, names: Sequence[str], fields: int, mode: str, position: bool
+) -> DataFrame:
+    """Fields of the ``data`` lines. One condition holds it all: the optimizer may reorder filters,
+    and a line that is no data must not fail."""
+    found = F.when(data & (F.col("line") < F.col("kept")), _fields(fields, mode))
+    parsed = lines.select(F.struct("file", "line").alias(POSITION), found.alias("_fields"))
     columns = [F.col("_fields")[at].alias(name) for at, name in enumerate(names)]
     return parsed.filter(F.col("_fields").isNotNull()).select(*columns, *([POSITION] if position else []))
 
@@ -97,9 +102,8 @@ def read_text_table(
     expected = F.array(*(F.lit(name) for name in columns))
     other = F.concat(F.lit("another header in "), F.col("file"))
     data = F.when((F.col("line") == header_line) & (header != expected), F.raise_error(other).cast("boolean"))
-    return _parsed(
-        lines.filter(data.otherwise(F.col("line") >= first_line)), list(columns)[:fields], fields, mode, position
-    )
+    data = data.otherwise(F.col("line") >= first_line)
+    return _parsed(lines, data, list(columns)[:fields], fields, mode, position)
 
 
 def read_text_series(
@@ -111,5 +115,5 @@ def read_text_series(
     position: bool = False,
 ) -> DataFrame:
     """Lines of a date and a value; of the date its year and month digits are kept (``yyyyMM``)."""
-    series = _parsed(numbered_lines(spark, path), [date, value], 2, mode, position)
+    series = _parsed(numbered_lines(spark, path), F.lit(True), [date, value], 2, mode, position)
     return series.withColumn(date, ends_joined(F.col(date)))
