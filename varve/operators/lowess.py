@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from varve.operators.lowess_blocks import fits_of_long_series
 from varve.operators.tricube import smooth
-from varve.shared import lookup_join, materialize
+from varve.shared import lookup_join, materialize, row_ids
 
 LOCAL_ROWS = 16_384
 
@@ -30,7 +30,8 @@ def lowess(
 
     A fit is a line through the ``frac`` share of the series nearest in x, by tricube weights; it
     is repeated ``it`` times with bisquare weights that discount points far off the last fit. Rows
-    whose x or y is null or not finite take no part and get null; rows with equal x get one value.
+    whose x or y is null or not finite take no part and get null; rows with equal x get one value,
+    and a tie longer than the neighbourhood counts whole, whatever the order of its rows.
 
     A series of at most ``local_rows`` rows is smoothed within one task. A longer one is spread
     over the cluster, block by block, to the same result. The input is written to the shared
@@ -45,13 +46,12 @@ def lowess(
     if long.isEmpty():
         return _short(rows, df.columns, frac, it, out)
     long = materialize(long)
-    spread = ["_px", "_py"]
-    short = lookup_join(rows, long.withColumn("_long", F.lit(True)), on=["_s"], how="left", spread=spread)
-    of_long = materialize(lookup_join(rows, long, on=["_s"], spread=spread))
+    short = lookup_join(rows, long.withColumn("_long", F.lit(True)), ["_s"], [row_ids()], how="left")
+    of_long = materialize(lookup_join(rows, long, ["_s"], [row_ids()]))
     fits = fits_of_long_series(of_long.select("_s", F.col("_px").alias("x"), F.col("_py").alias("y")), frac, it)
     usable = _finite("_px") & _finite("_py")
     fits = fits.select("_s", F.col("x").alias("_px"), F.col("fit").alias("_fit"))
-    smoothed = lookup_join(of_long, fits, on=["_s", "_px"], how="left", spread=["_py"])
+    smoothed = lookup_join(of_long, fits, ["_s", "_px"], [row_ids()], how="left")
     return _short(short.filter(F.col("_long").isNull()), df.columns, frac, it, out).unionByName(
         smoothed.select(*(F.col(f"`{name}`") for name in df.columns), F.when(usable, F.col("_fit")).alias(out))
     )

@@ -1,6 +1,7 @@
 """LOWESS of series too long for one task.
 
-Rows with equal x count as one point with a weight, so a series has one point per distinct x.
+Equal rows count as one with a number of copies, and rows with equal x as one point with a weight,
+so a series has one point per distinct x.
 Points in order of x form blocks of at most ``BLOCK``. A fit needs, for each target, weighted sums
 over its neighbourhood. Pairing every target with every neighbour would grow with the square of the
 length. Instead, each block of targets takes
@@ -32,23 +33,22 @@ NEAR_BLOCKS = 16
 SERIES = "_s"
 
 
-def fits_of_long_series(points: DataFrame, frac: float, it: int, block: int = BLOCK) -> DataFrame:
-    """``_s, x, fit`` for a materialized table ``_s, x, y``, one row per series and distinct x."""
+def fits_of_long_series(rows: DataFrame, frac: float, it: int, block: int = BLOCK) -> DataFrame:
+    """``_s, x, fit`` for a table ``_s, x, y``, one row per series and distinct x."""
     finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("x", "y")]
-    points = points.filter(finite[0] & finite[1])
+    points = materialize(rows.filter(finite[0] & finite[1]).groupBy(SERIES, "x", "y").agg(F.count("*").alias("copies")))
     places = _places(points, frac, block)
     plan = _Plan(places)
-    placed = materialize(
-        lookup_join(points, places.select(SERIES, "x", "block"), on=[SERIES, "x"], spread=["y"])
-    )
+    at_place, within, of_series = [SERIES, "x"], ["y"], ["x", "y"]
+    placed = materialize(lookup_join(points, places.select(SERIES, "x", "block"), at_place, within))
     weighted = placed.withColumn("robust", F.lit(1.0))
     for again in range(it + 1):
         fits = materialize(plan.fit(weighted))
         if again < it:
-            rest = lookup_join(placed, fits, on=[SERIES, "x"], spread=["y"])
+            rest = lookup_join(placed, fits, at_place, within)
             rest = materialize(rest.withColumn("rest", F.abs(F.col("y") - F.col("fit"))).drop("fit"))
-            middle = materialize(exact_median(rest.select(SERIES, "rest"), SERIES, "rest"))
-            weighted = lookup_join(rest, middle, on=[SERIES], spread=["x", "y"]).withColumn("robust", _bisquare())
+            middle = materialize(exact_median(rest, SERIES, "rest", "copies"))
+            weighted = lookup_join(rest, middle, [SERIES], of_series).withColumn("robust", _bisquare())
     return fits
 
 
@@ -82,7 +82,7 @@ def _holding(queries: DataFrame, points: DataFrame, tie: str) -> DataFrame:
 def _places(points: DataFrame, frac: float, block: int) -> DataFrame:
     """Distinct x of each series with rank, block and the radius of the neighbourhood."""
     distinct = points.groupBy(SERIES, "x").agg(
-        F.count("*").alias("count"), F.min("y").alias("own_y"), F.lit(1).alias("one")
+        F.sum("copies").alias("count"), F.min("y").alias("own_y"), F.lit(1).alias("one")
     )
     ranked = running(distinct, [SERIES], ["x"], sums={"upto": "count", "place": "one"}, whole={"n": "upto"})
     k = F.least(F.greatest(F.floor(F.lit(frac) * F.col("n") + 1e-10), F.lit(2)), F.col("n"))
@@ -204,7 +204,7 @@ class _Plan:
             )
         )
         above = lookup_join(
-            listed.select(SERIES, "block", "level", "node"), self.shapes, on=[SERIES, "level", "node"], spread=["block"]
+            listed.select(SERIES, "block", "level", "node"), self.shapes, [SERIES, "level", "node"], ["block"]
         )
         return materialize(
             above.groupBy(SERIES, "block")
@@ -213,9 +213,10 @@ class _Plan:
         )
 
     def fit(self, placed: DataFrame) -> DataFrame:
-        """Fitted value at every distinct x for rows ``_s, x, block, y, robust``."""
+        """Fitted value at every distinct x for rows ``_s, x, block, y, copies, robust``."""
+        weight = F.col("robust") * F.col("copies")
         weighed = placed.groupBy(SERIES, "block", "x").agg(
-            F.sum("robust").alias("w"), F.sum(F.col("robust") * F.col("y")).alias("wy")
+            F.sum(weight).alias("w"), F.sum(weight * F.col("y")).alias("wy")
         )
         blocks = materialize(
             weighed.groupBy(SERIES, "block")
@@ -229,7 +230,7 @@ class _Plan:
         )
         nodes = materialize(self._node_moments(blocks))
         far = (
-            lookup_join(self.far, nodes, on=[SERIES, "level", "node"], spread=["target"])
+            lookup_join(self.far, nodes, [SERIES, "level", "node"], ["target"])
             .groupBy(SERIES, "target")
             .agg(
                 *(F.collect_list(c).alias(c) for c in ("side", "center", "half")),

@@ -58,9 +58,12 @@ def running(
     return joined.withColumns(combined).drop("_range", *(f"_{out}" for out in [*sums, *tops]))
 
 
-def exact_median(df: DataFrame, by: str, value: str, out: str = "median") -> DataFrame:
-    """Exact median of ``value`` per group, equal values counted together before the ranking."""
-    counted = df.groupBy(by, value).agg(F.count("*").alias("n"))
+def exact_median(df: DataFrame, by: str, value: str, copies: str, out: str = "median") -> DataFrame:
+    """Exact median per group of ``value``, each counted ``copies`` times.
+
+    Equal values are counted together first, so the values to be ranked are distinct.
+    """
+    counted = df.groupBy(by, value).agg(F.sum(copies).alias("n"))
     ranked = running(counted, [by], [value], sums={"upto": "n"}, whole={"total": "upto"})
     lower, upper = F.expr("(total - 1) div 2"), F.expr("total div 2")
     first = F.col("upto") - F.col("n")

@@ -40,7 +40,8 @@ def lowess_ctes(name: str, source: str, s: str, x: str, y: str, frac: float = 0.
             f"{name}_d",
             f"SELECT t.s, t.x, p.i, p.x - t.x AS dx, p.y, "
             f"CASE WHEN t.rad = 0 THEN 0 ELSE abs(p.x - t.x) / t.rad END AS d, t.rad "
-            f"FROM {name}_rad t JOIN {name}_k p ON p.s = t.s AND p.i BETWEEN t.l AND t.l + t.k - 1",
+            f"FROM {name}_rad t JOIN {name}_k p ON p.s = t.s "
+            f"AND (p.i BETWEEN t.l AND t.l + t.k - 1 OR (t.rad = 0 AND p.x = t.x))",
         ),
         (
             f"{name}_w",

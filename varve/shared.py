@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
@@ -53,18 +53,25 @@ def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
+    spread: Sequence[str | Column],
     how: str = "inner",
-    spread: Sequence[str] | None = None,
     rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join ``facts``, where one key may hold a large share of the rows, to ``lookup``.
 
     A lookup of at most ``rows`` rows is broadcast. A larger one is repeated once per salt, and the
-    facts get a salt from the ``spread`` columns, so the rows of one key go to several tasks. The
-    lookup is counted here and so should be cheap to read, for example a materialized table.
+    facts get a salt from ``spread``, so the rows of one key go to several tasks. ``spread`` should
+    tell the rows of a key apart, and must give a row the same value when a task is retried: columns
+    do, and ``row_ids()`` does where ``facts`` is read straight from files. The lookup is counted
+    here and so should be cheap to read, for example a materialized table of narrow rows.
     """
     if fits_broadcast(lookup, rows):
         return facts.join(F.broadcast(lookup), on=list(on), how=how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*(spread or facts.columns)), F.lit(SALTS)))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    repeated = lookup.withColumn("_salt", F.explode(salts))
     return salted.join(repeated, on=[*on, "_salt"], how=how).drop("_salt")
+
+
+def row_ids() -> Column:
+    return F.monotonically_increasing_id()

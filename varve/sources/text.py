@@ -50,7 +50,7 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
             F.sum("lines").over(whole) - (F.sum("bytes").over(whole) == F.col("size") + 1).cast("int")
         ).alias("kept"),
     )
-    numbered = lookup_join(lines, materialize(splits), on=["file", "start"], spread=["file", "row"])
+    numbered = lookup_join(lines, materialize(splits), ["file", "start"], ["row"])
     line = F.col("offset") + F.col("row") - F.col("first_row")
     return numbered.select("file", line.alias("line"), "kept", "value")
 
