@@ -9,7 +9,11 @@ from varve.plans.landing import TABLES
 from varve.sources.tables import read_csv, write_table
 
 
-def to_bronze(spark: SparkSession, landing: str, target: str, multiline: bool = False) -> None:
+def to_bronze(spark: SparkSession, landing: str, target: str, multiline: bool = True) -> None:
+    """Landed fields may hold line feeds, so a CSV file is read by one task; landing writes many.
+
+    Where no field does, ``multiline=False`` reads a file in splits.
+    """
     for name in TABLES:
         raw = read_csv(spark, f"{landing}/{name}_ingress", multiline)
         write_table(sanitize_names(raw), f"{target}/{name}_bronze")
