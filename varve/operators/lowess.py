@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.operators.lowess_blocks import fits_of_long_series
 from varve.operators.tricube import smooth
-from varve.shared import lookup_join, materialize, row_ids
+from varve.shared import lookup_join, materialize
 
-LOCAL_ROWS = 16_384
+LOCAL_ROWS = 32_768
 
 
 def lowess(
@@ -33,28 +32,22 @@ def lowess(
     whose x or y is null or not finite take no part and get null; rows with equal x get one value,
     and a tie longer than the neighbourhood counts whole, whatever the order of its rows.
 
-    A series of at most ``local_rows`` rows is smoothed within one task. A longer one is spread
-    over the cluster, block by block, to the same result. The input is written to the shared
-    folder once, since the length of the series decides the plan.
+    The distinct points of a series of at most ``local_rows`` rows are smoothed within one task. A
+    longer series is spread over the cluster, block by block, to the same result. The input is
+    written to the shared folder once, since the length of the series decides the plan.
     """
     series = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     rows = materialize(
-        df.withColumns({"_s": series, "_px": F.col(x).cast("double"), "_py": F.col(y).cast("double")})
+        df.withColumns({"_s": series, "_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
     )
-    lengths = materialize(rows.groupBy("_s").agg(F.count("*").alias("_rows")))
-    long = lengths.filter(F.col("_rows") > local_rows).select("_s")
-    if long.isEmpty():
-        return _short(rows, df.columns, frac, it, out)
-    long = materialize(long)
-    short = lookup_join(rows, long.withColumn("_long", F.lit(True)), ["_s"], [row_ids()], how="left")
-    of_long = materialize(lookup_join(rows, long, ["_s"], [row_ids()]))
-    fits = fits_of_long_series(of_long.select("_s", F.col("_px").alias("x"), F.col("_py").alias("y")), frac, it)
-    usable = _finite("_px") & _finite("_py")
-    fits = fits.select("_s", F.col("x").alias("_px"), F.col("fit").alias("_fit"))
-    smoothed = lookup_join(of_long, fits, ["_s", "_px"], [row_ids()], how="left")
-    return _short(short.filter(F.col("_long").isNull()), df.columns, frac, it, out).unionByName(
-        smoothed.select(*(F.col(f"`{name}`") for name in df.columns), F.when(usable, F.col("_fit")).alias(out))
+    usable = _finite("_x") & _finite("_y")
+    points = materialize(
+        rows.filter(usable).groupBy("_s", F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.count("*").alias("copies"))
     )
+    fits = materialize(_fits(points, frac, it, local_rows)).withColumnRenamed("x", "_x")
+    kept = [F.col(f"`{name}`") for name in df.columns]
+    smoothed = lookup_join(rows.filter(usable), fits, ["_s", "_x"]).select(*kept, F.col("fit").alias(out))
+    return smoothed.unionByName(rows.filter(~usable).select(*kept, F.lit(None).cast("double").alias(out)))
 
 
 def _finite(name: str):
@@ -62,22 +55,22 @@ def _finite(name: str):
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
-def _short(rows: DataFrame, columns: Sequence[str], frac: float, it: int, out: str) -> DataFrame:
-    """Series short enough for one task each: only x and y go to Python, the rows stay in the JVM."""
+def _fits(points: DataFrame, frac: float, it: int, local_rows: int) -> DataFrame:
+    lengths = points.groupBy("_s").agg(F.sum("copies").alias("n"))
+    long = materialize(lengths.filter(F.col("n") > local_rows).select("_s", F.lit(True).alias("long")))
+    if long.isEmpty():
+        return _fits_of_short_series(points, frac, it)
+    marked = lookup_join(points, long, ["_s"], how="left")
+    short = marked.filter(F.col("long").isNull()).drop("long")
+    of_long = materialize(marked.filter("long").drop("long"))
+    return _fits_of_short_series(short, frac, it).unionByName(fits_of_long_series(of_long, frac, it))
 
-    @F.pandas_udf("array<double>")
-    def fits(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series(
-            [smooth(np.array(a, dtype=float), np.array(b, dtype=float), frac, it) for a, b in zip(xs, ys)]
-        )
 
-    kept = F.struct(*(F.col(f"`{name}`") for name in columns))
-    grouped = rows.groupBy("_s").agg(
-        F.collect_list(F.struct(kept.alias("row"), F.col("_px").alias("x"), F.col("_py").alias("y"))).alias("rows")
-    )
-    fitted = grouped.select("rows.row", fits("rows.x", "rows.y").alias("fit"))
-    paired = fitted.select(F.explode(F.arrays_zip("row", "fit")).alias("one"))
-    value = F.col("one.fit")
-    return paired.select(
-        *(F.col(f"one.row.`{name}`") for name in columns), F.when(~F.isnan(value), value).alias(out)
-    )
+def _fits_of_short_series(points: DataFrame, frac: float, it: int) -> DataFrame:
+    @F.pandas_udf("struct<x: array<double>, fit: array<double>>")
+    def fits(x: pd.Series, y: pd.Series, copies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([smooth(*arrays, frac, it) for arrays in zip(x, y, copies)], columns=["x", "fit"])
+
+    grouped = points.groupBy("_s").agg(F.collect_list(F.struct("x", "y", "copies")).alias("p"))
+    fitted = grouped.select("_s", fits("p.x", "p.y", "p.copies").alias("f"))
+    return fitted.select("_s", F.explode(F.arrays_zip("f.x", "f.fit")).alias("one")).select("_s", "one.x", "one.fit")

@@ -27,28 +27,26 @@ from varve.operators.running import exact_median, running
 from varve.operators.tricube import FAR, FLAT, LEAST_SPREAD, NEAR, POWERS, moments, node_sums, pair_sums
 from varve.shared import lookup_join, materialize
 
-BLOCK = 512
+BLOCK = 256
 FANOUT = 8
-NEAR_BLOCKS = 16
+NEAR_BLOCKS = 32
 SERIES = "_s"
 
 
-def fits_of_long_series(rows: DataFrame, frac: float, it: int, block: int = BLOCK) -> DataFrame:
-    """``_s, x, fit`` for a table ``_s, x, y``, one row per series and distinct x."""
-    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("x", "y")]
-    points = materialize(rows.filter(finite[0] & finite[1]).groupBy(SERIES, "x", "y").agg(F.count("*").alias("copies")))
+def fits_of_long_series(points: DataFrame, frac: float, it: int, block: int = BLOCK) -> DataFrame:
+    """``_s, x, fit`` for a materialized table ``_s, x, y, copies`` of distinct points."""
     places = _places(points, frac, block)
     plan = _Plan(places)
-    at_place, within, of_series = [SERIES, "x"], ["y"], ["x", "y"]
-    placed = materialize(lookup_join(points, places.select(SERIES, "x", "block"), at_place, within))
+    at_place = [SERIES, "x"]
+    placed = materialize(lookup_join(points, places.select(SERIES, "x", "block"), at_place))
     weighted = placed.withColumn("robust", F.lit(1.0))
     for again in range(it + 1):
         fits = materialize(plan.fit(weighted))
         if again < it:
-            rest = lookup_join(placed, fits, at_place, within)
+            rest = lookup_join(placed, fits, at_place)
             rest = materialize(rest.withColumn("rest", F.abs(F.col("y") - F.col("fit"))).drop("fit"))
             middle = materialize(exact_median(rest, SERIES, "rest", "copies"))
-            weighted = lookup_join(rest, middle, [SERIES], of_series).withColumn("robust", _bisquare())
+            weighted = lookup_join(rest, middle, [SERIES]).withColumn("robust", _bisquare())
     return fits
 
 
@@ -189,9 +187,8 @@ class _Plan:
     def _geometry(self, blocks: DataFrame) -> DataFrame:
         """Per block the centers and half widths of the nodes above it, lowest level first."""
         levels = F.explode(F.sequence(F.lit(0), F.lit(self.levels - 1))).alias("level")
-        listed = blocks.select(SERIES, "block", "low", "high", levels).withColumn(
-            "node", F.floor(F.col("block") / F.pow(F.lit(FANOUT), F.col("level"))).cast("bigint")
-        )
+        listed = blocks.select(SERIES, "block", "low", "high", levels)
+        listed = materialize(listed.withColumn("node", _node_above()))
         self.shapes = materialize(
             listed.groupBy(SERIES, "level", "node")
             .agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -204,7 +201,7 @@ class _Plan:
             )
         )
         above = lookup_join(
-            listed.select(SERIES, "block", "level", "node"), self.shapes, [SERIES, "level", "node"], ["block"]
+            listed.select(SERIES, "block", "level", "node"), self.shapes, [SERIES, "level", "node"]
         )
         return materialize(
             above.groupBy(SERIES, "block")
@@ -230,7 +227,7 @@ class _Plan:
         )
         nodes = materialize(self._node_moments(blocks))
         far = (
-            lookup_join(self.far, nodes, [SERIES, "level", "node"], ["target"])
+            lookup_join(self.far, nodes, [SERIES, "level", "node"])
             .groupBy(SERIES, "target")
             .agg(
                 *(F.collect_list(c).alias(c) for c in ("side", "center", "half")),
@@ -261,8 +258,7 @@ class _Plan:
         parts = blocks.join(self.nodes, on=[SERIES, "block"]).select(
             SERIES, "block", F.posexplode(_block_moments("px", "w", "wy", "center", "half")).alias("level", "m")
         )
-        node = F.floor(F.col("block") / F.pow(F.lit(FANOUT), F.col("level"))).cast("bigint")
-        summed = parts.groupBy(SERIES, "level", node.alias("node")).agg(
+        summed = parts.groupBy(SERIES, "level", _node_above().alias("node")).agg(
             *(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(length))
         )
         listed = summed.select(SERIES, "level", "node", F.array(*(f"m{i}" for i in range(length))).alias("moments"))
@@ -304,6 +300,10 @@ def _with_ranges(blocks: DataFrame) -> DataFrame:
     return ranges.withColumns(starts | edges).withColumns(ends)
 
 
+def _node_above() -> Column:
+    return F.floor(F.col("block") / F.pow(F.lit(FANOUT), F.col("level"))).cast("bigint")
+
+
 def _ids(start: str, end: str) -> Column:
     return F.expr(f"if({start} < {end}, sequence({start}, {end} - 1), cast(array() as array<bigint>))")
 

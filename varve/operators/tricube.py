@@ -15,8 +15,9 @@ NEAR, FAR = 0.001, 0.999
 # Spread of the weighted sources, in squared radii, from which rounding cannot be told apart.
 FLAT = 1e-13
 LEAST_SPREAD = 1e-12
-CELLS = 1 << 18
+CELLS = 1 << 15
 POWERS = 12
+BLOCK = 64
 
 
 def pair_sums(x, radius, source_x, weight, weight_y):
@@ -43,9 +44,16 @@ def pair_sums(x, radius, source_x, weight, weight_y):
     return sums
 
 
+def _powers(values):
+    powers = np.ones((*values.shape, POWERS))
+    for p in range(1, POWERS):
+        np.multiply(powers[..., p - 1], values, out=powers[..., p])
+    return powers
+
+
 def moments(x, center, half, weight, weight_y):
     """Power sums of the sources about ``center`` in units of ``half``: of the weights, then of y."""
-    z = ((x - center) / half)[:, None] ** np.arange(POWERS)
+    z = _powers((x - center) / half)
     return np.concatenate([weight @ z, weight_y @ z])
 
 
@@ -70,14 +78,13 @@ EXPANSIONS = {side: _expansion(side) for side in (-1, 0, 1)}
 def node_sums(x, radius, side, center, half, node_moments):
     """The five sums from whole nodes of sources, each on one ``side`` of every target."""
     sums = np.zeros((5, len(x)))
-    powers = np.arange(POWERS)
     for which, table in EXPANSIONS.items():
         chosen = np.flatnonzero(side == which)
         step = max(1, CELLS // (POWERS * max(1, len(x))))
         for at in range(0, len(chosen), step):
             nodes = chosen[at : at + step]
-            t = ((center[nodes] - x[:, None]) / radius[:, None])[..., None] ** powers
-            e = (half[nodes] / radius[:, None])[..., None] ** powers
+            t = _powers((center[nodes] - x[:, None]) / radius[:, None])
+            e = _powers(half[nodes] / radius[:, None])
             of_weight, of_y = node_moments[nodes, :POWERS], node_moments[nodes, POWERS:]
             for q in range(3):
                 terms = (t @ table[:, q * POWERS : (q + 1) * POWERS]) * e
@@ -102,37 +109,49 @@ def neighbours(n, frac):
     return min(max(int(frac * n + 1e-10), 2), n)
 
 
-def smooth(x, y, frac, passes):
-    """Robust local regression of one bounded series; NaN where x or y is not a finite number."""
-    valid = np.isfinite(x) & np.isfinite(y)
-    result = np.full(len(x), np.nan)
-    if not valid.any():
-        return result
-    vx, vy = x[valid], y[valid]
-    places, group, counts = np.unique(vx, return_inverse=True, return_counts=True)
+def all_sums(places, radius, weight, weight_y):
+    """The five sums at every place of a sorted series, by pairs near a change of the weights and by
+    whole blocks elsewhere."""
+    starts = np.arange(0, len(places), BLOCK)
+    blocks = [slice(a, a + BLOCK) for a in starts]
+    low = places[starts]
+    high = places[np.append(starts[1:], len(places)) - 1]
+    center, half = (low + high) / 2, np.where(high > low, (high - low) / 2, 1.0)
+    power_sums = np.stack([moments(places[b], c, h, weight[b], weight_y[b]) for b, c, h in zip(blocks, center, half)])
+    sums = np.empty((5, len(places)))
+    for part in blocks:
+        edges = places[part] + np.outer((-FAR, -NEAR, NEAR, FAR), radius[part])
+        after = np.searchsorted(low, edges.max(axis=1), side="right")
+        until = np.maximum(np.searchsorted(low, edges.min(axis=1), side="right") - 1, 0)
+        side = np.full(len(blocks), 2)
+        side[: until[0]] = side[after[3] :] = 3
+        for zone, which in enumerate((-1, 0, 1)):
+            side[after[zone] : until[zone + 1]] = which
+        near = np.repeat(side == 2, BLOCK)[: len(places)]
+        whole = side < 2
+        sums[:, part] = pair_sums(places[part], radius[part], places[near], weight[near], weight_y[near])
+        sums[:, part] += node_sums(places[part], radius[part], side[whole], center[whole], half[whole], power_sums[whole])
+    return sums
+
+
+def smooth(x, y, copies, frac, passes):
+    """Distinct x of one bounded series, in order, and the robust local regression at each."""
+    x, y = np.repeat(x, copies), np.repeat(y, copies)
+    places, group, counts = np.unique(x, return_inverse=True, return_counts=True)
     own_y = np.full(len(places), np.inf)
-    np.minimum.at(own_y, group, vy)
-    n = len(vx)
+    np.minimum.at(own_y, group, y)
+    n = len(x)
     k = neighbours(n, frac)
     ordered = np.repeat(places, counts)
     left = np.searchsorted((ordered[: n - k] + ordered[k:]) / 2, places, side="left")
     radius = np.maximum(places - ordered[left], ordered[left + k - 1] - places)
     robust = np.ones(n)
     for again in range(passes + 1):
-        weight = np.bincount(group, robust)
-        weight_y = np.bincount(group, robust * vy)
-        sums = np.zeros((5, len(places)))
-        for at in range(0, len(places), 64):
-            part = slice(at, at + 64)
-            low = np.searchsorted(places, (places[part] - radius[part]).min(), side="left")
-            high = np.searchsorted(places, (places[part] + radius[part]).max(), side="right")
-            near = slice(low, high)
-            sums[:, part] = pair_sums(places[part], radius[part], places[near], weight[near], weight_y[near])
-        fit = fitted(sums, radius, own_y)
+        weight, weight_y = np.bincount(group, robust), np.bincount(group, robust * y)
+        fit = fitted(all_sums(places, radius, weight, weight_y), radius, own_y)
         if again < passes:
-            rest = np.abs(vy - fit[group])
+            rest = np.abs(y - fit[group])
             middle = np.median(rest)
             ratio = rest / (6 * middle) if middle > 0 else (rest > 0).astype(float)
             robust = np.where(ratio <= NEAR, 1.0, np.where(ratio >= FAR, 0.0, (1 - ratio * ratio) ** 2))
-    result[valid] = fit[group]
-    return result
+    return places, fit

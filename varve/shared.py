@@ -6,11 +6,11 @@ import tempfile
 from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-SALTS = 16
+HEAVY_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,28 +50,23 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str | Column],
-    how: str = "inner",
-    rows: int = BROADCAST_ROWS,
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Join ``facts``, where one key may hold a large share of the rows, to ``lookup``.
 
-    A lookup of at most ``rows`` rows is broadcast. A larger one is repeated once per salt, and the
-    facts get a salt from ``spread``, so the rows of one key go to several tasks. ``spread`` should
-    tell the rows of a key apart, and must give a row the same value when a task is retried: columns
-    do, and ``row_ids()`` does where ``facts`` is read straight from files. The lookup is counted
-    here and so should be cheap to read, for example a materialized table of narrow rows.
+    A lookup of at most ``rows`` rows is broadcast. Beyond that the heavy keys of ``facts`` are told
+    apart: those that hold more than one in ``HEAVY_KEYS`` of the rows, so fewer than ``HEAVY_KEYS``.
+    Their part of the lookup, one row per key, is broadcast; the rest, in which no key is heavy, is
+    shuffled. Both tables are read more than once and so should be materialized; ``lookup`` is
+    unique in ``on`` and of narrow rows, and no key is null.
     """
     if fits_broadcast(lookup, rows):
         return facts.join(F.broadcast(lookup), on=list(on), how=how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    repeated = lookup.withColumn("_salt", F.explode(salts))
-    return salted.join(repeated, on=[*on, "_salt"], how=how).drop("_salt")
-
-
-def row_ids() -> Column:
-    return F.monotonically_increasing_id()
+    counts = materialize(facts.groupBy(*on).agg(F.count("*").alias("_n")))
+    share = counts.agg(F.sum("_n") / HEAVY_KEYS).scalar()
+    heavy = F.broadcast(materialize(counts.filter(F.col("_n") > share).select(*on)))
+    common = facts.join(heavy, on=list(on), how="left_anti").join(lookup, on=list(on), how=how)
+    crowded = facts.join(heavy, on=list(on), how="left_semi").join(
+        F.broadcast(lookup.join(heavy, on=list(on), how="left_semi")), on=list(on), how=how
+    )
+    return common.unionByName(crowded)

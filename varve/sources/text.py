@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varve.functions.text import ends_joined, space_tokens
-from varve.shared import lookup_join, materialize
+from varve.shared import fits_broadcast, materialize
 
 POSITION = "_position"
 
@@ -50,7 +50,9 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
             F.sum("lines").over(whole) - (F.sum("bytes").over(whole) == F.col("size") + 1).cast("int")
         ).alias("kept"),
     )
-    numbered = lookup_join(lines, materialize(splits), ["file", "start"], ["row"])
+    splits = materialize(splits)
+    # One row per split, and no split holds more than its share of a file: no key is heavy.
+    numbered = lines.join(F.broadcast(splits) if fits_broadcast(splits) else splits, on=["file", "start"])
     line = F.col("offset") + F.col("row") - F.col("first_row")
     return numbered.select("file", line.alias("line"), "kept", "value")
 
