@@ -53,7 +53,7 @@ def running(
         *(F.max(column).over(here).alias(out) for out, column in tops.items()),
     )
     combined = {out: F.col(out) + F.coalesce(F.col(f"_{out}"), F.lit(0)) for out in sums}
-    combined |= {out: F.coalesce(F.col(out), F.col(f"_{out}")) for out in tops}
+    combined |= {out: F.greatest(F.col(out), F.col(f"_{out}")) for out in tops}
     joined = local.join(carried, on=[*by, "_range"])
     return joined.withColumns(combined).drop("_range", *(f"_{out}" for out in [*sums, *tops]))
 

@@ -112,6 +112,8 @@ def neighbours(n, frac):
 def all_sums(places, radius, weight, weight_y):
     """The five sums at every place of a sorted series, by pairs near a change of the weights and by
     whole blocks elsewhere."""
+    if len(places) <= 4 * BLOCK:
+        return pair_sums(places, radius, places, weight, weight_y)
     starts = np.arange(0, len(places), BLOCK)
     blocks = [slice(a, a + BLOCK) for a in starts]
     low = places[starts]
