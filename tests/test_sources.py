@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varve.sources.records import read_records
-from varve.sources.tables import expose, read_csv, read_table, write_csv, write_manifest, write_table
+from varve.sources.tables import expose, read_csv, read_table, save_as, write_csv, write_manifest, write_table
 from varve.sources.text import read_text_series, read_text_table
 
 HEAD = "Index\nof temperatures\n\n Year No_Smoothing  Lowess(5) \r\n----\n"
@@ -131,6 +131,13 @@ def test_tables_are_replaced_whole_but_never_from_themselves(spark, tmp_path):
     assert expose(spark, "shown", path).count() == spark.sql("SELECT * FROM shown").count() == 3
 
 
+def test_a_saved_table_is_found_by_name(spark):
+    for rows in (5, 2):
+        save_as(spark.range(rows), "varve_saved")
+        assert spark.sql("SELECT count(*) AS n FROM varve_saved").first().n == rows
+    spark.sql("DROP TABLE varve_saved")
+
+
 def test_manifest_lists_the_files_of_the_table(spark, tmp_path):
     path = f"{tmp_path}/t"
     for rows, parts in ((100, 4), (50, 2)):

@@ -19,10 +19,14 @@ OTHER_CATEGORY = "Others"
 
 
 def category_of(title: Column) -> Column:
-    """Text before the first whitespace-and-dash, else before the first whitespace, else null."""
-    dashed, spaced = f"{_SPACE}-", _SPACE
-    return F.when(title.rlike(_FLAGS + dashed), F.regexp_extract(title, f"{_FLAGS}(.*?){dashed}", 1)).when(
-        title.rlike(_FLAGS + spaced), F.regexp_extract(title, f"{_FLAGS}(.*?){spaced}", 1)
+    """Text before the first whitespace-and-dash, else before the first whitespace, else null.
+
+    Each pattern runs once: its whole match, which is never empty, tells both whether and what.
+    """
+    dashed = F.regexp_extract(title, f"{_FLAGS}.*?{_SPACE}-", 0)
+    spaced = F.regexp_extract(title, f"{_FLAGS}.*?{_SPACE}", 0)
+    return F.when(dashed != "", F.left(dashed, F.length(dashed) - 2)).when(
+        spaced != "", F.left(spaced, F.length(spaced) - 1)
     )
 
 
