@@ -5,8 +5,10 @@ from __future__ import annotations
 from varve.plans.silver import CATEGORIES, LATITUDES, LONGITUDES
 
 
-def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
-    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in ctes) + "\n" + final
+def with_ctes(ctes: list[tuple], final: str) -> str:
+    """A CTE is a name and a body; one with a third entry is computed once and kept."""
+    listed = (f"{name} AS {'' if kept else 'NOT '}MATERIALIZED ({body})" for name, body, *kept in ctes)
+    return "WITH " + ",\n".join(listed) + "\n" + final
 
 
 def lowess_ctes(name: str, source: str, s: str, x: str, y: str, frac: float = 0.2, it: int = 3):
@@ -86,7 +88,7 @@ def lowess_ctes(name: str, source: str, s: str, x: str, y: str, frac: float = 0.
                     f"ELSE pow(1 - u * u, 2) END AS r FROM {name}_u{step}",
                 ),
             ]
-    return ctes
+    return [(*cte, True) for cte in ctes]
 
 
 def quoted(values) -> str:
@@ -185,7 +187,7 @@ CONSOLIDATED = [
 ]
 
 
-def yearly(index: str, frac: float) -> list[tuple[str, str]]:
+def yearly(index: str, frac: float) -> list[tuple]:
     return [
         *SILVER,
         *MONTHS,
