@@ -152,6 +152,11 @@ SILVER = [
         FROM named WHERE category IN ({quoted(CATEGORIES)})""",
     ),
 ]
+LANDED_SILVER = [
+    ("raw", RECORDS[1]),
+    ("records", 'SELECT title, "startDate", "endDate", lat, lon, min(key) AS key FROM raw GROUP BY ALL'),
+    *SILVER[1:],
+]
 SHARES = [
     *SILVER,
     ("counted", 'SELECT "Category", count("Date") AS "Count" FROM silver GROUP BY "Category"'),
@@ -187,9 +192,9 @@ CONSOLIDATED = [
 ]
 
 
-def yearly(index: str, frac: float) -> list[tuple]:
+def yearly(events: list[tuple], index: str, frac: float) -> list[tuple]:
     return [
-        *SILVER,
+        *events,
         *MONTHS,
         ("years", 'SELECT year("Date") AS y, count("Date") AS n FROM silver GROUP BY ALL'),
         *lowess_ctes("yr", "years", "0", "y", "n", frac),
@@ -310,11 +315,11 @@ ORACLES = {
     ),
     "gold_category": with_ctes(SHARES, "SELECT * FROM shares"),
     "gold_measures": with_ctes(
-        yearly("SELECT year(l_shipdate) AS y, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY ALL", 0.8),
+        yearly(SILVER, "SELECT year(l_shipdate) AS y, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY ALL", 0.8),
         "SELECT * FROM measures",
     ),
     "full_run": with_ctes(
-        yearly("SELECT year(l_shipdate) AS y, CAST(CAST(sum(l_linenumber) AS FLOAT) AS DOUBLE) AS v FROM lineitem GROUP BY ALL", 0.2),
+        yearly(LANDED_SILVER, "SELECT year(l_shipdate) AS y, CAST(CAST(sum(l_linenumber) AS FLOAT) AS DOUBLE) AS v FROM lineitem GROUP BY ALL", 0.2),
         "SELECT * FROM measures",
     ),
     "measure_corr": with_ctes(
