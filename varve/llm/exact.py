@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.tables import whole
+from varve.shared import materialize
 
 SALTS = 16
 
@@ -46,8 +47,9 @@ def exact_groups(docs: DataFrame, digest=F.xxhash64, salts: int = SALTS) -> Data
     Returns ``doc_id``, ``keep_id`` (smallest id of the group), ``group_size``, ``kept`` and
     ``text_sha256`` (hex). A null text is an empty one. A null id is larger than all others: it is
     kept only where the whole group has null ids. Repeated rows count each and share ``kept``.
+    The lookup is stored, so that Spark can split the rows of a heavy text in the last join.
     """
-    lookup = _one_text_each(distinct_texts(docs, digest, salts))
+    lookup = materialize(_one_text_each(distinct_texts(docs, digest, salts)))
     rows = docs.select("doc_id", F.unhex(F.sha2(one_space("text"), 256)).alias("text_sha256"))
     joined = rows.join(lookup, "text_sha256")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.llm.exact import exact_groups
+from varve.llm.kdtree import top_k
 from varve.llm.mixing import mix
 from varve.llm.quotes import link_quotes
 from varve.llm.secrets import scan
+from varve.llm.simhash import near_groups
 from varve.llm.tables import documents
 
 # Shares of the mixture: three for the largest source, one for each other.
@@ -39,6 +41,14 @@ def quote_links(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(documents(spark, folder))
+
+
 def mixture(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix(documents(spark, folder), MIXTURE, rest=1.0)
     return mixed.select("doc_id", "source", "rate", "copy", "shuffle_key")
@@ -51,6 +61,8 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": secret_scan,
     "op2_quote_links": quote_links,
+    "op3_nearest": nearest,
+    "op8_simhash_groups": simhash_groups,
     "op9_mixture": mixture,
     "op10_exact_dedup": exact_dedup,
 }

@@ -73,7 +73,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     body = own_text(F.col("_runs"))
     said = parsed.select("conv_id", "turn", F.explode(F.concat(_units(body), F.flatten(F.transform(
         F.filter("_runs", lambda r: r["level"] == 0), lambda r: _units(r["content"])))).alias("u")).alias("u"))
-    origins = said.groupBy("conv_id", F.col("u.hash").alias("hash")).agg(F.min("turn").alias("origin"))
+    origins = materialize(said.groupBy("conv_id", F.col("u.hash").alias("hash")).agg(F.min("turn").alias("origin")))
     quoted = parsed.select("conv_id", "turn", "_text", F.posexplode("_runs").alias("place", "run")).filter("run.level > 0")
     asked = quoted.select("conv_id", "turn", "_text", "place", F.col("run.level").alias("level"), F.explode(_units(F.col("run.content"))).alias("u"))
     found = asked.select("conv_id", "turn", "_text", "place", "level", "u.rank", F.col("u.hash").alias("hash")).join(

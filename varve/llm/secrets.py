@@ -123,7 +123,7 @@ def scan(
     verdicts = ownership(each)
     narrow = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     kind = F.when(~narrow, "example").when(F.col("looks"), "live")
-    judged = verdicts.select("hash", kind.alias("kind")).filter("kind is not null")
+    judged = materialize(verdicts.select("hash", kind.alias("kind")).filter("kind is not null"))
     added = each.select("doc_id", "text_key", "start", "stop", "hash").join(judged, "hash")
     marks = added.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("start", _rank(F.col("kind")).alias("kind"), "stop")).alias("more")
