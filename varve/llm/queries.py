@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from varve.llm.exact import exact_groups
 from varve.llm.kdtree import top_k
 from varve.llm.mixing import mix
+from varve.llm.pieces import encode, read_model
+from varve.llm.quality import quality
 from varve.llm.quotes import link_quotes
 from varve.llm.secrets import scan
 from varve.llm.simhash import near_groups
-from varve.llm.tables import documents
+from varve.llm.tables import documents, labels
 
 # Shares of the mixture: three for the largest source, one for each other.
 MIXTURE = {"src0": 3.0, **{f"src{i}": 1.0 for i in range(1, 20)}}
 
+# A public vocabulary of 32,000 pieces with byte fallback.
+MODEL = "file:///opt/tokenizers/piece_bpe_32k.model"
+
 
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Owners are the sources; a repository is what one source has in one language."""
@@ -45,6 +50,15 @@ def nearest(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def pieces(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encode(documents(spark, folder), read_model(spark, MODEL), with_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "round_trip")
+
+
+def text_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(documents(spark, folder), labels(spark, folder))
+
+
 def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(documents(spark, folder))
 
@@ -62,6 +76,8 @@ QUERIES = {
     "op1_secret_scan": secret_scan,
     "op2_quote_links": quote_links,
     "op3_nearest": nearest,
+    "op4_pieces": pieces,
+    "op6_text_quality": text_quality,
     "op8_simhash_groups": simhash_groups,
     "op9_mixture": mixture,
     "op10_exact_dedup": exact_dedup,
