@@ -124,7 +124,7 @@ def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE) -> Rules:
     there are no rules, and every text scores 0.5.
     """
     train = fold("doc_id", FOLDS) != HELD_OUT
-    sample = labelled_sample(docs, marks, "quality", train, rows)
+    sample = labelled_sample(docs, marks, "quality", train, {0: rows, 1: rows})
     measures = statistics(F.col("text"))
     table = sample.select("label", "doc_id", *(c.alias(n) for n, c in measures.items())).toPandas().sort_values(["doc_id", "label"])
     names, y = list(measures), table["label"].to_numpy(float)

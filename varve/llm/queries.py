@@ -14,6 +14,7 @@ from varve.llm.quotes import link_quotes
 from varve.llm.secrets import scan
 from varve.llm.simhash import near_groups
 from varve.llm.tables import documents, labels
+from varve.llm.toxicity import toxicity
 
 # Shares of the mixture: three for the largest source, one for each other.
 MIXTURE = {"src0": 3.0, **{f"src{i}": 1.0 for i in range(1, 20)}}
@@ -59,6 +60,10 @@ def text_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(documents(spark, folder), labels(spark, folder))
 
 
+def text_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(documents(spark, folder), labels(spark, folder))
+
+
 def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(documents(spark, folder))
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op2_quote_links": quote_links,
     "op3_nearest": nearest,
     "op4_pieces": pieces,
+    "op5_text_toxicity": text_toxicity,
     "op6_text_quality": text_quality,
     "op8_simhash_groups": simhash_groups,
     "op9_mixture": mixture,

@@ -38,14 +38,14 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
-    """``doc_id``, ``text`` and ``label`` of at most ``rows`` documents of each label.
+def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, train: Column, rows: dict[int, int]) -> DataFrame:
+    """``doc_id``, ``text`` and ``label`` of at most ``rows[value]`` documents of each label value.
 
     ``train`` says which ids may be learned from. The ids are taken in the order of a hash, so the
-    sample is the same on every run. At most ``2 * rows`` ids of fixed width are broadcast.
+    sample is the same on every run. Only their ids are broadcast, a bounded number.
     """
     usable = marks.filter(train & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     order = F.xxhash64(F.lit(label), "doc_id")
-    picked = [usable.filter(F.col("label") == value).orderBy(order, "doc_id").limit(rows) for value in (0, 1)]
+    picked = [usable.filter(F.col("label") == v).orderBy(order, "doc_id").limit(n) for v, n in rows.items()]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     return docs.select("doc_id", whole("text").alias("text")).join(ids, "doc_id")
