@@ -13,6 +13,7 @@ from varve.llm.quality import quality
 from varve.llm.quotes import link_quotes
 from varve.llm.secrets import scan
 from varve.llm.simhash import near_groups
+from varve.llm.suffixes import without_repeats
 from varve.llm.tables import documents, labels
 from varve.llm.toxicity import toxicity
 
@@ -64,6 +65,10 @@ def text_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(documents(spark, folder), labels(spark, folder))
 
 
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(documents(spark, folder)).drop("kept")
+
+
 def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(documents(spark, folder))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op4_pieces": pieces,
     "op5_text_toxicity": text_toxicity,
     "op6_text_quality": text_quality,
+    "op7_repeated_passages": repeated_passages,
     "op8_simhash_groups": simhash_groups,
     "op9_mixture": mixture,
     "op10_exact_dedup": exact_dedup,
