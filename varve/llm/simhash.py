@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.components import components
-from varve.llm.tables import whole
+from varve.llm.tables import join_same, whole
 from varve.shared import materialize
 
 WORDS = 4
@@ -49,16 +49,19 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` as ``doc_id`` and ``fingerprint``, a signed 64-bit number; 0 where there is no word."""
+    """``docs`` as ``doc_id``, ``text_key`` (a hash) and ``fingerprint``, a signed 64-bit number; 0 where
+    there is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             prints = np.fromiter((majority(shingle_hashes(t.as_py())) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"])
+            columns = [batch.column(0), batch.column(1), pa.array(prints.view(np.int64))]
+            yield pa.record_batch(columns, names=["doc_id", "text_key", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole("text").alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint bigint")
+    texts = docs.select("doc_id", F.xxhash64(whole("text")).alias("text_key"), whole("text").alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, text_key bigint, fingerprint bigint")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,21 +234,39 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.unique(np.concatenate(parts))
 
 
-def near_groups(docs: DataFrame, bits: int = BITS, most: int = SHARD) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
-
-    Fingerprints link at ``bits`` or fewer differing bits; the component is the smallest doc_id
-    that links reach. A text without words has fingerprint zero and links like any other. Equal
-    fingerprints are searched once. A null id belongs to a group but never names it, unless
-    all its ids are null. Repeated rows each get a row.
-    """
+def _grouped(docs: DataFrame, bits: int, most: int) -> DataFrame:
+    """``doc_id``, ``text_key`` and ``fingerprint`` of every row, with the ``root`` fingerprint of its group
+    and the ``component_id``. Equal fingerprints are searched once."""
     prints = materialize(fingerprints(docs))
     first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     roots = components(near_links(first.select("fingerprint"), bits, most))
     joined = first.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     rooted = materialize(joined.withColumn("root", F.coalesce("root", "fingerprint")))
     named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    each = materialize(rooted.join(named, "root").select("fingerprint", "component_id"))
-    return prints.join(each, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return prints.join(materialize(rooted.join(named, "root").drop("first")), "fingerprint")
+
+
+def near_groups(docs: DataFrame, bits: int = BITS, most: int = SHARD) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
+
+    Fingerprints link at ``bits`` or fewer differing bits; the component is the smallest doc_id
+    that links reach. A text without words has fingerprint zero and links like any other. A null
+    id belongs to a group but never names it, unless all its ids are null. Repeated rows each
+    get a row.
+    """
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
+    return _grouped(docs, bits, most).select("doc_id", digits, "component_id")
+
+
+def drop_near(docs: DataFrame, bits: int = BITS, most: int = SHARD) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, all its columns unchanged.
+
+    The row with the smallest id stays; of rows with that id, the least by a hash of the text, then
+    by its columns.
+    """
+    eligible = _grouped(docs, bits, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = eligible.groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("stays")).select("stays.*")
+    row = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+    rows = docs.select("doc_id", F.xxhash64(whole("text")).alias("text_key"), row)
+    kept = join_same(rows, stays, ["doc_id", "text_key"], "left_semi")
+    return kept.groupBy("doc_id", "text_key").agg(F.min("row").alias("row")).select("row.*")
