@@ -24,6 +24,8 @@ SIZE, GRAM = 400, 64
 # Windows hashed at a time, a power of two; bytes sorted at a time; different units of one anchor
 # that are sorted together.
 CHUNK, SHARD, MOST = 1 << 20, 1 << 19, 400
+# Windows in a block of an anchor that too many units share.
+BLOCK = 16
 
 _random = np.random.default_rng(42)
 VALUES = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,8 +68,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def units(buffer: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """Units of texts that lie one after the other, each of at least ``size`` bytes.
 
-    Returns start, number of windows, anchor hash and content hash. A unit's content is all bytes
-    its windows cover.
+    Returns start, number of windows, distance to the anchor, anchor hash and content hash. A unit's
+    content is all bytes its windows cover.
     """
     n, base = len(buffer), BASE
     inverse = powers(pow(base, -1, 1 << 64), n)
@@ -86,18 +88,18 @@ def units(buffer: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tupl
     before = np.cumsum(valid) - valid
     windows = np.diff(np.append(before[starts], valid.sum()))
     content = (sums[starts + windows + size - 1] - sums[starts]) * inverse[starts]
-    return starts, windows, grams[anchors[starts]], mixed(content)
+    return starts, windows, anchors[starts] - starts, grams[anchors[starts]], mixed(content)
 
 
 def all_units(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """``doc_id``, ``text_key``, ``at``, ``windows``, ``anchor``, ``content`` for every unit of every text.
+    """``doc_id``, ``text_key``, ``at``, ``windows``, ``gap``, ``anchor``, ``content`` for every unit of every text.
 
     Texts longer than a chunk are cut into pieces that overlap, so that each window is in one piece.
     """
 
     def flush(parts: list[tuple]) -> pa.RecordBatch:
         lengths = np.array([len(raw) for *_, raw in parts], np.int64)
-        starts, windows, anchor, content = units(np.frombuffer(b"".join(raw for *_, raw in parts), np.uint8), lengths, size, gram)
+        starts, windows, gap, anchor, content = units(np.frombuffer(b"".join(raw for *_, raw in parts), np.uint8), lengths, size, gram)
         first = np.cumsum(lengths) - lengths
         part = np.searchsorted(first, starts, side="right") - 1
         offset = np.array([at for _, _, at, _ in parts], np.int64)
@@ -106,10 +108,11 @@ def all_units(docs: DataFrame, size: int, gram: int) -> DataFrame:
             pa.array([key for _, key, *_ in parts], pa.int64()).take(pa.array(part)),
             pa.array(offset[part] + starts - first[part]),
             pa.array(windows.astype(np.int32)),
+            pa.array(gap.astype(np.int32)),
             pa.array(anchor.view(np.int64)),
             pa.array(content.view(np.int64)),
         ]
-        return pa.record_batch(columns, names=["doc_id", "text_key", "at", "windows", "anchor", "content"])
+        return pa.record_batch(columns, names=["doc_id", "text_key", "at", "windows", "gap", "anchor", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal id_type
@@ -132,7 +135,7 @@ def all_units(docs: DataFrame, size: int, gram: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = whole("text")
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.cast("binary").alias("raw"))
-    schema = f"doc_id {kind}, text_key bigint, at bigint, windows int, anchor bigint, content bigint"
+    schema = f"doc_id {kind}, text_key bigint, at bigint, windows int, gap int, anchor bigint, content bigint"
     return rows.filter(F.length("raw") >= size).mapInArrow(run, schema)
 
 
@@ -269,15 +272,47 @@ def _sorted_shards(segments: DataFrame, size: int) -> DataFrame:
     return placed.mapInArrow(run, f"doc_id {kind}, text_key bigint, at bigint, windows int")
 
 
-def _window_by_window(segments: DataFrame, size: int) -> DataFrame:
-    """The same for anchors with too many different segments for one task: every window is a row, and
-    equal ones are counted with a combine before the shuffle, so none of them is heavy."""
-    text = lambda i: F.substring(F.col("raw"), i + 1, F.lit(size))
-    each = F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.struct(i.alias("i"), F.unhex(F.md5(text(i))).alias("window")))
-    rows = materialize(segments.select("doc_id", "text_key", "at", "n", F.inline(each)))
-    twice = materialize(rows.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window"))
-    found = rows.filter("n = 1").join(twice, "window")
-    return found.select("doc_id", "text_key", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("windows"))
+def _block_by_block(segments: DataFrame, size: int) -> DataFrame:
+    """The same for anchors with too many different segments for one task.
+
+    Windows are counted from the anchor in blocks of ``BLOCK``. All windows of a block hold the same
+    core of bytes, so equal windows lie in blocks of equal cores. Equal blocks are decided by
+    counting them; where a core is shared by blocks that occur once, windows are counted one by
+    one. Every count is combined before its shuffle, so no passage is heavy, however common.
+    """
+    step = min(BLOCK, size)
+    first = lambda k: F.greatest(F.lit(0), F.col("gap") - k * step - (step - 1))
+    last = lambda k: F.least(F.col("windows") - 1, F.col("gap") - k * step)
+    core = lambda k: F.substring(F.col("raw"), F.col("gap") - k * step + 1, F.lit(size - step + 1))
+    piece = lambda k: F.substring(F.col("raw"), first(k) + 1, last(k) - first(k) + size)
+    numbers = F.sequence(F.floor((F.col("gap") - F.col("windows") + 1) / step).cast("int"), F.floor(F.col("gap") / step).cast("int"))
+    each = F.transform(
+        numbers,
+        lambda k: F.struct(
+            k.alias("k"),
+            (F.col("at") + first(k)).alias("place"),
+            (F.col("gap") - first(k)).alias("far"),
+            (last(k) - first(k) + 1).alias("count"),
+            F.unhex(F.md5(core(k))).alias("core"),
+            F.unhex(F.md5(piece(k))).alias("content"),
+            piece(k).alias("piece"),
+        ),
+    )
+    blocks = materialize(segments.select("doc_id", "text_key", "n", F.inline(each)))
+    kind = ["core", "k", "far", "count", "content"]
+    refs = [F.first(name).alias(name) for name in ("doc_id", "text_key", "place", "piece")]
+    contents = materialize(blocks.groupBy(*kind).agg(F.sum("n").alias("n"), *refs))
+    alone = blocks.filter("n = 1")
+    whole_blocks = alone.join(contents.filter("n > 1").select(*kind), kind)
+    found = whole_blocks.select("doc_id", "text_key", F.col("place").alias("at"), F.col("count").alias("windows"))
+    open_ = contents.groupBy("core", "k").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    rest = contents.join(materialize(open_.filter("kinds > 1 and least = 1").select("core", "k")), ["core", "k"])
+    text = lambda i: F.substring(F.col("piece"), i + 1, F.lit(size))
+    every = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.struct(i.alias("i"), F.unhex(F.md5(text(i))).alias("window")))
+    single = materialize(rest.select("doc_id", "text_key", "place", "n", F.inline(every)))
+    twice = materialize(single.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window"))
+    more = single.filter("n = 1").join(twice, "window")
+    return found.unionByName(more.select("doc_id", "text_key", (F.col("place") + F.col("i")).alias("at"), F.lit(1).alias("windows")))
 
 
 def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -285,7 +320,7 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOS
     every = materialize(all_units(docs, size, gram))
     counted = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     shared = materialize(every.join(materialize(counted), "anchor"))
-    place = [F.first(name).alias(name) for name in ("doc_id", "text_key", "at")]
+    place = [F.first(name).alias(name) for name in ("doc_id", "text_key", "at", "gap")]
     contents = materialize(shared.groupBy("anchor", "windows", "content").agg(F.count("*").alias("n"), *place))
     copied = contents.filter("n > 1").select("anchor", "windows", "content")
     whole_units = shared.join(copied, ["anchor", "windows", "content"]).select("doc_id", "text_key", "at", "windows")
@@ -295,7 +330,7 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOS
     )
     wanted = contents.join(open_, "anchor")
     listed = wanted.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("anchor", "at", "windows", "n", "kinds")).alias("units")
+        F.collect_list(F.struct("anchor", "at", "windows", "gap", "n", "kinds")).alias("units")
     )
     texts = docs.select("doc_id", F.xxhash64(whole("text")).alias("text_key"), whole("text").cast("binary").alias("raw"))
     # A repeated row holds the same segments; the first of them is enough.
@@ -308,8 +343,8 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOS
     met = join_same(texts, listed.hint("shuffle_hash"), ["doc_id", "text_key"], "inner")
     segments = materialize(met.select("doc_id", "text_key", F.inline(cut)).dropDuplicates(["doc_id", "text_key", "at"]))
     sorted_runs = _sorted_shards(segments.filter(F.col("kinds") <= most), size)
-    single = _window_by_window(segments.filter(F.col("kinds") > most), size)
-    return whole_units.unionByName(sorted_runs).unionByName(single)
+    counted_runs = _block_by_block(segments.filter(F.col("kinds") > most), size)
+    return whole_units.unionByName(sorted_runs).unionByName(counted_runs)
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOST) -> DataFrame:
