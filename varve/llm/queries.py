@@ -95,4 +95,31 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_mixture": f"""
+        WITH weights(mix, weight) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in MIXTURE.items())}, (NULL, 1.0)),
+        named AS (SELECT *, CASE WHEN source IN (SELECT mix FROM weights) THEN source END AS mix FROM documents),
+        counts AS (SELECT mix, count(*) AS n FROM named GROUP BY mix),
+        rates AS (
+            SELECT c.mix, weight / sum(weight) OVER () * (sum(n) OVER () * 1.0::DOUBLE) / n AS rate
+            FROM counts c JOIN weights w ON c.mix IS NOT DISTINCT FROM w.mix),
+        terms AS (
+            SELECT mix, rate, k::INT AS k, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p
+            FROM rates, range(0, (ceil(rate + 12 * sqrt(rate) + 30) + 1)::BIGINT) r(k)),
+        steps AS (SELECT mix, rate, k, sum(p) OVER (PARTITION BY mix ORDER BY k) AS reached FROM terms),
+        points AS (
+            SELECT *, (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5)
+                / 4503599627370496.0 AS point FROM named),
+        copies AS (
+            SELECT doc_id, source, rate, k + 1 AS copy FROM points p JOIN steps s
+            ON p.mix IS NOT DISTINCT FROM s.mix AND s.reached < p.point)
+        SELECT doc_id, source, rate, copy,
+            md5('42/shuffle:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+        FROM copies""",
+    "op10_exact_dedup": """
+        WITH plain AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+            doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+        FROM plain WINDOW same AS (PARTITION BY t)""",
+}
