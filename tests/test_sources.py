@@ -118,17 +118,54 @@ def test_empty_csv_fields_are_null(spark, tmp_path):
     assert sorted(map(tuple, read_csv(spark, path).collect()), key=str) == [("1", None), (None, 'x "y" z')]
 
 
-def test_tables_are_replaced_whole_but_never_from_themselves(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    write_table(spark.range(10), path)
-    write_table(spark.range(3).withColumn("x", F.lit(1)), path)
-    table = read_table(spark, path)
-    assert table.count() == 3 and table.columns == ["id", "x"]
-    for target in (path, f"{path}/", f"file:{path}", f"file://{path}"):
-        with pytest.raises(ValueError, match="would replace it"):
-            write_table(table.filter("id > 0"), target)
-    write_table(table, f"{path}2")
-    assert expose(spark, "shown", path).count() == spark.sql("SELECT * FROM shown").count() == 3
+def test_tables_are_replaced_whole_also_from_themselves(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(spark.range(5), path)
+    write_table(read_table(spark, path).filter("id > 2"), path)
+    assert sorted(r.id for r in read_table(spark, path).collect()) == [3, 4]
+    assert expose(spark, "shown", path).count() == spark.sql("SELECT * FROM shown").count() == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(spark.range(5), path)
+    with pytest.raises(Exception, match="broken"):
+        write_table(spark.range(5).select(F.raise_error(F.lit("broken")).cast("long").alias("id")), path)
+    assert read_table(spark, path).count() == 5
+
+
+def test_csv_keeps_blanks_and_writes_nested_fields_as_text(spark, tmp_path):
+    texts = ["  lead", "trail  ", '  q"x  ', "\t", "a,b ", "ends\r"]
+    rows = spark.createDataFrame([(i, t, [i, 2], (i,)) for i, t in enumerate(texts)], "i int, t string, l array<int>, s struct<a: int>")
+    write_csv(rows, str(tmp_path / "c"))
+    back = sorted(map(tuple, read_csv(spark, str(tmp_path / "c"), multiline=True).collect()))
+    assert back == [(str(i), t, f"[{i},2]", f'{{"a":{i}}}') for i, t in enumerate(texts)]
+
+
+def test_no_line_is_lost_when_files_are_cut_elsewhere(spark, tmp_path):
+    write(tmp_path / "a.txt", HEAD + "".join(f"{i} {i} {i}\n" for i in range(20_000)))
+    old = {key: spark.conf.get(key, None) for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    table = read_text_table(spark, str(tmp_path), position=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "31")
+    try:
+        lines = {r["Year"]: r["_position"]["line"] for r in table.collect()}
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert lines == {str(i): i + 5 for i in range(20_000)}
+
+
+@pytest.mark.parametrize("text", ['{"result": {"records": [{"title"', '{"other": 1}', '{"result": {"records": "none"}}'])
+def test_malformed_envelopes_fail_or_go(spark, tmp_path, text):
+    write(tmp_path / "a.json", text + "\n" + '{"result": {"records": [{"title": "x"}]}}' + "\n")
+    schema = T.StructType([T.StructField("title", T.StringType())])
+    with pytest.raises(Exception, match="(?s)MALFORMED|Malformed|without records"):
+        read_records(spark, str(tmp_path), schema, multiline=False).collect()
+    kept = read_records(spark, str(tmp_path), schema, multiline=False, mode="DROPMALFORMED")
+    assert [r.title for r in kept.collect()] == ["x"]
 
 
 def test_a_saved_table_is_found_by_name(spark):

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions.values import percentage
+from varve.shared import col
 
 
 def in_list(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    return df.filter(F.col(column).isin(list(values)))
+    return df.filter(col(column).isin(list(values)))
 
 
 def in_box(df: DataFrame, **ranges: tuple[float, float]) -> DataFrame:
@@ -22,13 +25,13 @@ def in_box(df: DataFrame, **ranges: tuple[float, float]) -> DataFrame:
     """
     types = dict(df.dtypes)
     for name, (low, high) in ranges.items():
-        value = F.col(name).try_cast("double") if types[name] == "string" else F.col(name)
+        value = col(name).try_cast("double") if types[name] == "string" else col(name)
         df = df.filter(value.between(low, high))
     return df
 
 
 def not_all_null(df: DataFrame) -> DataFrame:
-    return df.na.drop(how="all")
+    return df.filter(reduce(or_, (col(name).isNotNull() for name in df.columns)))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -57,5 +60,5 @@ def share_over(groups: DataFrame, count: str, percent: float) -> DataFrame:
 
     The total is a scalar subquery, computed by the same job; nothing is collected.
     """
-    total = groups.agg(F.sum(count)).scalar()
-    return groups.filter(percentage(F.col(count), total) > percent)
+    total = groups.agg(F.sum(col(count))).scalar()
+    return groups.filter(percentage(col(count), total) > percent)

@@ -294,7 +294,7 @@ ORACLES = {
     "csv_round_trip": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars
         FROM documents""",
     "table_round_trip": "SELECT * FROM orders",
-    "table_sql": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1997 GROUP BY ALL",
+    "table_sql": "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL",
     "manifest_rows": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL",
     "landed_events": with_ctes(
         [RECORDS],

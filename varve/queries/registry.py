@@ -261,7 +261,7 @@ def table_sql(spark: SparkSession, folder: str) -> DataFrame:
     write_table(table(spark, folder, "orders"), path)
     expose(spark, "varve_orders", path)
     return spark.sql(
-        "SELECT o_orderstatus, count(*) AS n FROM varve_orders WHERE year(o_orderdate) >= 1997 GROUP BY o_orderstatus"
+        "SELECT year(o_orderdate) AS year, o_orderstatus, count(*) AS n FROM varve_orders GROUP BY ALL"
     )
 
 

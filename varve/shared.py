@@ -6,13 +6,18 @@ import tempfile
 from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 HEAVY_KEYS = 1000
 
 
+def col(name: str) -> Column:
+    """The column of exactly that name, whatever dots or quotes it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as the cluster names it.
 

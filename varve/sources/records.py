@@ -44,16 +44,25 @@ def read_records(
     schema: T.StructType | None = None,
     multiline: bool = True,
     position: bool = False,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """Records of JSON files that each hold one envelope, or one per line if not ``multiline``.
 
     A file holding one envelope is read by one task, so large drops should come as many files or
     as lines. Without ``schema``, that of one record, Spark reads the data once more to infer it.
+    An envelope that is no JSON, does not fit the schema or lists no records fails the job, or is
+    left out if ``mode`` is DROPMALFORMED.
     """
-    reader = spark.read.option("multiLine", multiline)
+    if mode not in ("FAILFAST", "DROPMALFORMED"):
+        raise ValueError(f"mode is FAILFAST or DROPMALFORMED, not {mode!r}")
+    reader = spark.read.option("multiLine", multiline).option("mode", mode)
     if schema is not None:
         reader = reader.schema(envelope(schema))
     read = reader.json(path if isinstance(path, str) else list(path))
+    if mode == "FAILFAST":
+        listed, missing = F.col("result.records"), F.raise_error(F.lit("an envelope without records"))
+        kind = read.select(listed).schema[0].dataType
+        read = read.withColumn("result", F.struct(F.coalesce(listed, missing.cast(kind)).alias("records")))
     if not position:
         return explode_records(read)
     placed = read.select(

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 MANIFEST = "_symlink_format_manifest"
 
 
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """CSV with a header, all columns text, empty fields null, quotes doubled inside quotes.
 
+    Blanks at the ends of fields are kept.
     ``multiline`` allows line feeds inside quoted fields; a file is then read by one task.
     """
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
+    return spark.read.options(**CSV).option("multiLine", multiline).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV files that ``read_csv`` reads back."""
-    _refuse_own_input(df, path)
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """A folder of CSV files that ``read_csv`` reads back; lists and nested fields become JSON text."""
+    nested = ("array", "map", "struct")
+    columns = [
+        F.to_json(F.col(f"`{name}`")).alias(name) if kind.startswith(nested) else F.col(f"`{name}`")
+        for name, kind in df.dtypes
+    ]
+    _replace(df.select(*columns).write.options(**CSV).format("csv"), df.sparkSession, path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -27,22 +35,23 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Replace the whole table at ``path``, which must not be one that ``df`` reads."""
-    _refuse_own_input(df, path)
-    df.write.mode("overwrite").parquet(path)
-
-
-def _refuse_own_input(df: DataFrame, path: str) -> None:
-    target = _bare(path)
-    if any(_bare(name).startswith(target + "/") or _bare(name) == target for name in df.inputFiles()):
-        raise ValueError(f"{path} is read by the table that would replace it")
-
-
-def _bare(path: str) -> str:
-    scheme, colon, rest = path.partition(":")
-    if not colon or "/" in scheme:
-        scheme, rest = "file", path
-    return f"{scheme}:/{rest.strip('/')}"
+    """Replace the whole table at ``path``, which ``df`` may read."""
+    _replace(df.write.format("parquet"), df.sparkSession, path)
+
+
+def _replace(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
+    """Write beside ``path``, then swap: a job that fails leaves the old table as it was."""
+    target = path.rstrip("/")
+    new, old = f"{target}.new-{uuid4().hex}", f"{target}.old-{uuid4().hex}"
+    writer.save(new)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path
+    files = place(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place(target)):
+        files.rename(place(target), place(old))
+    if not files.rename(place(new), place(target)):
+        raise OSError(f"the new table is at {new}, the one it replaces at {old}")
+    files.delete(place(old), True)
 
 
 def write_manifest(spark: SparkSession, path: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varve.functions.text import ends_joined, space_tokens
-from varve.shared import fits_broadcast, materialize
+from varve.shared import materialize
 
 POSITION = "_position"
 
@@ -20,10 +20,12 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     nothing in a file that ends in one and the last line in a file that does not. (In a compressed
     file the two cannot be told apart, and all lines are kept.)
 
-    Files are read in splits. A first pass counts the lines of each split; running sums over the
-    splits of a file give each split the number of its first line.
+    Files are read in splits, once: the lines are stored with the split they came from, because
+    another scan may cut the files elsewhere (the number of cores counts). Lines per split are
+    counted, and running sums over the splits of a file give each split the number of its first
+    line. A line whose split was not counted fails the job.
     """
-    lines = (
+    lines = materialize(
         spark.read.option("lineSep", "\n")
         .text(path if isinstance(path, str) else list(path))
         .select(
@@ -52,8 +54,9 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
     splits = materialize(splits)
     # One row per split, and no split holds more than its share of a file: no key is heavy.
-    numbered = lines.join(F.broadcast(splits) if fits_broadcast(splits) else splits, on=["file", "start"])
-    line = F.col("offset") + F.col("row") - F.col("first_row")
+    numbered = lines.join(splits, on=["file", "start"], how="left")
+    lost = F.raise_error(F.concat(F.lit("a line of no known split of "), F.col("file"))).cast("bigint")
+    line = F.coalesce("offset", lost) + F.col("row") - F.col("first_row")
     return numbered.select("file", line.alias("line"), "kept", "value")
 
 
