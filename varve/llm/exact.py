@@ -62,11 +62,11 @@ def drop_exact(docs: DataFrame, digest=F.xxhash64, salts: int = SALTS) -> DataFr
     """``docs`` with one row of each group of equal texts, all its columns unchanged.
 
     The row with the smallest id stays; of repeated rows with that id, the least by its columns.
-    The second join key is the id, so no join key is more frequent than an id.
+    The id is part of the join key, so no key is more frequent than an id.
     """
-    lookup = _one_text_each(distinct_texts(docs, digest, salts)).select("text_sha256", "keep_id")
-    row = F.struct(*(F.col(f"`{name}`") for name in docs.columns))
-    rows = docs.select(F.unhex(F.sha2(one_space("text"), 256)).alias("sha"), F.col("doc_id").alias("id"), row.alias("row"))
-    same_row = (rows["sha"] == lookup["text_sha256"]) & rows["id"].eqNullSafe(lookup["keep_id"])
-    kept = rows.join(lookup, same_row, "left_semi")
-    return kept.groupBy("sha", "id").agg(F.min("row").alias("row")).select("row.*")
+    lookup = _one_text_each(distinct_texts(docs, digest, salts))
+    stays = lookup.select(F.struct("text_sha256", F.col("keep_id").alias("doc_id")).alias("key"))
+    sha = F.unhex(F.sha2(one_space("text"), 256)).alias("text_sha256")
+    row = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
+    kept = docs.select(F.struct(sha, "doc_id").alias("key"), row).join(stays, "key", "left_semi")
+    return kept.groupBy("key").agg(F.min("row").alias("row")).select("row.*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.components import components
-from varve.llm.tables import join_same, whole
+from varve.llm.tables import whole
 from varve.shared import materialize
 
 WORDS = 4
@@ -265,8 +265,8 @@ def drop_near(docs: DataFrame, bits: int = BITS, most: int = SHARD) -> DataFrame
     by its columns.
     """
     eligible = _grouped(docs, bits, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = eligible.groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("stays")).select("stays.*")
+    stays = eligible.groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("key")).select("key")
     row = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
-    rows = docs.select("doc_id", F.xxhash64(whole("text")).alias("text_key"), row)
-    kept = join_same(rows, stays, ["doc_id", "text_key"], "left_semi")
-    return kept.groupBy("doc_id", "text_key").agg(F.min("row").alias("row")).select("row.*")
+    rows = docs.select(F.struct(F.xxhash64(whole("text")).alias("text_key"), "doc_id").alias("key"), row)
+    kept = rows.join(stays, "key", "left_semi")
+    return kept.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
