@@ -106,10 +106,14 @@ def thread_roots(linked: DataFrame) -> DataFrame:
     """
     nodes = linked.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("up"))
     state = nodes.select("conv_id", "turn", F.coalesce("up", "turn").alias("root_turn"), F.col("up").isNotNull().cast("int").alias("depth"))
+    state = materialize(state)
     while True:
-        state = materialize(state)
-        above = state.filter("depth > 0").select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"))
-        moved = state.join(above, ["conv_id", "root_turn"], "left")
-        if moved.filter("more is not null").isEmpty():
-            return state
-        state = moved.select("conv_id", "turn", F.coalesce("next", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        above = state.filter("depth > 0").select(
+            "conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more")
+        )
+        step = state.select("conv_id", "turn", "root_turn", "depth").join(above, ["conv_id", "root_turn"], "left")
+        root = F.coalesce("next", "root_turn").alias("root_turn")
+        depth = (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
+        state = materialize(step.select("conv_id", "turn", root, depth, F.col("more").isNotNull().alias("moved")))
+        if state.filter("moved").isEmpty():
+            return state.drop("moved")
