@@ -99,21 +99,27 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
 
 def thread_roots(linked: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn``, ``root_turn`` and ``depth``, by pointers that double in each round.
+    """``conv_id``, ``turn``, ``root_turn`` and ``depth`` of every reply, by pointers that double in each round.
 
     Of messages that share a conversation and turn, the latest parent counts. Parents come before
-    their replies, so there are no cycles, and d rounds reach a depth of 2 to the power d.
+    their replies, so there are no cycles, and d rounds reach a depth of 2 to the power d. A reply
+    whose pointer has reached a root takes part in no further round, so a few long
+    conversations do not make the others be joined again.
     """
     nodes = linked.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("up"))
-    state = nodes.select("conv_id", "turn", F.coalesce("up", "turn").alias("root_turn"), F.col("up").isNotNull().cast("int").alias("depth"))
-    state = materialize(state)
-    while True:
-        above = state.filter("depth > 0").select(
-            "conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more")
+    replies = materialize(nodes.filter("up is not null"))
+    parents = replies.select("conv_id", F.col("turn").alias("up"), F.lit(True).alias("open"))
+    flagged = replies.join(parents, ["conv_id", "up"], "left")
+    current = materialize(
+        flagged.select("conv_id", "turn", F.col("up").alias("root_turn"), F.lit(1).alias("depth"), F.coalesce("open", F.lit(False)).alias("open"))
+    )
+    settled = current.filter("not open")
+    while not current.filter("open").isEmpty():
+        pointers = settled.unionByName(current.filter("open")).select(
+            "conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"), F.col("open").alias("on")
         )
-        step = state.select("conv_id", "turn", "root_turn", "depth").join(above, ["conv_id", "root_turn"], "left")
-        root = F.coalesce("next", "root_turn").alias("root_turn")
-        depth = (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
-        state = materialize(step.select("conv_id", "turn", root, depth, F.col("more").isNotNull().alias("moved")))
-        if state.filter("moved").isEmpty():
-            return state.drop("moved")
+        step = current.filter("open").join(pointers, ["conv_id", "root_turn"])
+        depth = (F.col("depth") + F.col("more")).alias("depth")
+        current = materialize(step.select("conv_id", "turn", F.col("next").alias("root_turn"), depth, F.col("on").alias("open")))
+        settled = settled.unionByName(current.filter("not open"))
+    return settled.drop("open")
