@@ -123,7 +123,7 @@ def test_blocks_and_nodes_give_the_same_fits(spark, monkeypatch):
     # Blocks of 8 points make several levels of nodes out of a short series.
     monkeypatch.setattr(lowess_blocks.fits_of_long_series, "__defaults__", (8,))
     frame = frame_of(["even", "heavy tie", "gap"], 700)
-    out = lowess(spark.createDataFrame(frame), "x", "y", by=["g"], local_rows=0).toPandas()
+    out = lowess(spark.createDataFrame(frame), "x", "y", by=["g"]).toPandas()
     assert len(out) == len(frame)
     for kind, part in out.groupby("g"):
         assert part.lowess.values == pytest.approx(one_by_one(part.x.values, part.y.values), rel=1e-8, abs=1e-8), kind
@@ -133,16 +133,17 @@ def test_joins_without_broadcast_give_the_same_fits(spark, monkeypatch):
     monkeypatch.setattr(lowess_blocks.fits_of_long_series, "__defaults__", (16,))
     monkeypatch.setattr(shared.lookup_join, "__defaults__", ("inner", 0))
     frame = frame_of(["heavy tie"], 300)
-    out = lowess(spark.createDataFrame(frame), "x", "y", by=["g"], it=1, local_rows=0).toPandas()
+    out = lowess(spark.createDataFrame(frame), "x", "y", by=["g"], it=1).toPandas()
     assert out.lowess.values == pytest.approx(one_by_one(out.x.values, out.y.values, it=1), rel=1e-8, abs=1e-8)
 
 
-def test_long_and_short_series_nulls_and_null_keys(spark):
+@pytest.mark.parametrize("spread", [True, False])
+def test_long_and_short_series_nulls_and_null_keys(spark, spread):
     frame = frame_of(["even", "ties"], 120)
     frame = frame[(frame.g == "even") | (frame.index % 4 == 0)]
     df = spark.createDataFrame(frame).withColumn("g", F.when(F.col("g") == "even", F.col("g")))
     odd = spark.createDataFrame([("even", None, 1.0), ("even", 1.0, float("nan")), (None, 2.0, None)], "g string, x double, y double")
-    out = lowess(df.unionByName(odd), "x", "y", by=["g"], out="fit", it=1, local_rows=60).toPandas()
+    out = lowess(df.unionByName(odd), "x", "y", by=["g"], out="fit", it=1, spread=spread).toPandas()
     assert out.fit.isna().sum() == 3 and len(out) == len(frame) + 3
     kept = out[out.fit.notna()]
     for _, part in kept.groupby("g", dropna=False):
@@ -153,17 +154,28 @@ def test_copies_of_one_row_in_a_long_series(spark, monkeypatch):
     monkeypatch.setattr(lowess_blocks.fits_of_long_series, "__defaults__", (16,))
     x, y = series("even", 150, 2)
     x, y = np.concatenate([x, np.full(80, x[70])]), np.concatenate([y, np.full(80, y[70])])
-    out = lowess(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), "x", "y", it=1, local_rows=0).toPandas()
+    out = lowess(spark.createDataFrame(pd.DataFrame({"x": x, "y": y})), "x", "y", it=1).toPandas()
     assert out.lowess.values == pytest.approx(one_by_one(out.x.values, out.y.values, it=1), rel=1e-8, abs=1e-8)
 
 
 def test_other_columns_and_types_stay(spark):
     df = spark.sql("SELECT id, CAST(id AS float) AS y, date_add(date'2020-01-01', CAST(id AS int)) AS d, IF(id > 5, NULL, 'a') AS t FROM range(20)")
-    out = lowess(df, "id", "y", out="s")
+    out = lowess(df, "id", "y", out="s", spread=False)
     assert out.dtypes == df.dtypes + [("s", "double")]
     assert sorted(map(tuple, out.drop("s").collect())) == sorted(map(tuple, df.collect()))
 
 
-def test_empty_input(spark):
+def test_columns_of_any_name_survive(spark):
+    names = ["_s", "_x", "_y", "_row", "fit", "x", "copies", "place.state"]
+    df = spark.range(12).select(*((F.col("id") * (i + 2)).alias(name) for i, name in enumerate(names)))
+    out = lowess(df, "_x", "place.state", by=["_s"], out="smooth.y", spread=False)
+    assert out.columns == [*names, "smooth.y"]
+    assert sorted(map(tuple, out.select([F.col(f"`{n}`") for n in names]).collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError):
+        lowess(df, "_x", "_y", out="Fit")
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_empty_input(spark, spread):
     df = spark.createDataFrame([], "x int, y double")
-    assert lowess(df, "x", "y").collect() == []
+    assert lowess(df, "x", "y", spread=spread).collect() == []

@@ -10,7 +10,7 @@ from varve.operators.combine import count_by, join_on, mean_by
 from varve.operators.rows import distinct_rows, first_per_key, in_box, in_list, not_all_null, share_over
 from varve.operators.running import exact_median, running
 from varve.plans.gold import change_on_previous, correlations, ranked
-from varve.shared import lookup_join, materialize
+from varve.shared import fits_broadcast, lookup_join, materialize
 
 quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -71,6 +71,13 @@ def test_first_per_key(spark):
     assert sorted(rows(first_per_key(first, ["k", "m"], ["at"])), key=str) == sorted(rows(first), key=str)
 
 
+def test_first_per_key_takes_columns_of_any_type(spark):
+    df = spark.sql("SELECT id % 2 AS k, -id AS at, map('id', id) AS m, array(id) AS `a.b` FROM range(10)")
+    first = first_per_key(df, ["k"], ["at"])
+    assert first.columns == df.columns
+    assert sorted((r.k, r.m["id"], r["a.b"]) for r in first.collect()) == [(0, 8, [8]), (1, 9, [9])]
+
+
 def test_first_per_key_combines_before_the_shuffle(spark):
     df = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("at"))
     plan = first_per_key(df, ["k"], ["at"])._jdf.queryExecution().executedPlan().toString()
@@ -126,6 +133,13 @@ def test_lookup_join_of_heavy_keys_and_by_broadcast(spark, limit, how):
     assert sorted(rows(joined), key=str) == sorted(rows(plain), key=str)
 
 
+def test_wide_lookups_are_not_broadcast(spark):
+    wide = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("v"))
+    assert fits_broadcast(wide, 100, 200_000)
+    assert not fits_broadcast(wide, 100, 90_000)
+    assert not fits_broadcast(wide, 99, 200_000)
+
+
 def test_running_across_ranges(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"g": np.where(np.arange(2000) < 1500, "hot", "cold"), "x": rng.permutation(2000), "v": rng.integers(0, 9, 2000)})

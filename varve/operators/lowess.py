@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from varve.operators.lowess_blocks import fits_of_long_series
 from varve.operators.tricube import smooth
-from varve.shared import lookup_join, materialize
-
-LOCAL_ROWS = 32_768
+from varve.shared import col, materialize
 
 
 def lowess(
@@ -23,7 +21,7 @@ def lowess(
     frac: float = 0.2,
     it: int = 3,
     out: str = "lowess",
-    local_rows: int = LOCAL_ROWS,
+    spread: bool = True,
 ) -> DataFrame:
     """Add ``out``, the smoothed ``y`` over ``x`` within each series named by ``by``.
 
@@ -32,22 +30,29 @@ def lowess(
     whose x or y is null or not finite take no part and get null; rows with equal x get one value,
     and a tie longer than the neighbourhood counts whole, whatever the order of its rows.
 
-    The distinct points of a series of at most ``local_rows`` rows are smoothed within one task. A
-    longer series is spread over the cluster, block by block, to the same result. The input is
-    written to the shared folder once, since the length of the series decides the plan.
+    Series of any length are spread over the cluster, block by block. Where every series is known
+    to be short, such as one value a month, ``spread=False`` smooths each within one task: the same
+    values without the fixed cost of the blocks. Only the distinct points are written to the
+    shared folder; ``df`` itself is evaluated twice, so materialize it first if it is expensive or
+    not deterministic.
     """
-    series = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    rows = materialize(
-        df.withColumns({"_s": series, "_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")})
+    if out.lower() in (name.lower() for name in df.columns):
+        raise ValueError(f"column in use: {out}")
+    series = F.struct(*map(col, by)) if by else F.struct(F.lit(0).alias("all"))
+    rows = df.select(
+        F.struct(*map(col, df.columns)).alias("_row"),
+        series.alias("_s"),
+        col(x).cast("double").alias("_x"),
+        col(y).cast("double").alias("_y"),
     )
     usable = _finite("_x") & _finite("_y")
     points = materialize(
         rows.filter(usable).groupBy("_s", F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.count("*").alias("copies"))
     )
-    fits = materialize(_fits(points, frac, it, local_rows)).withColumnRenamed("x", "_x")
-    kept = [F.col(f"`{name}`") for name in df.columns]
-    smoothed = lookup_join(rows.filter(usable), fits, ["_s", "_x"]).select(*kept, F.col("fit").alias(out))
-    return smoothed.unionByName(rows.filter(~usable).select(*kept, F.lit(None).cast("double").alias(out)))
+    fits = fits_of_long_series(points, frac, it) if spread else materialize(_fits_of_short_series(points, frac, it))
+    smoothed = rows.filter(usable).join(fits.withColumnRenamed("x", "_x"), ["_s", "_x"], "left")
+    left_out = rows.filter(~usable).select("_row.*", F.lit(None).cast("double").alias(out))
+    return smoothed.select("_row.*", F.col("fit").alias(out)).unionByName(left_out)
 
 
 def _finite(name: str):
@@ -55,17 +60,6 @@ def _finite(name: str):
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
-def _fits(points: DataFrame, frac: float, it: int, local_rows: int) -> DataFrame:
-    lengths = points.groupBy("_s").agg(F.sum("copies").alias("n"))
-    long = materialize(lengths.filter(F.col("n") > local_rows).select("_s", F.lit(True).alias("long")))
-    if long.isEmpty():
-        return _fits_of_short_series(points, frac, it)
-    marked = lookup_join(points, long, ["_s"], how="left")
-    short = marked.filter(F.col("long").isNull()).drop("long")
-    of_long = materialize(marked.filter("long").drop("long"))
-    return _fits_of_short_series(short, frac, it).unionByName(fits_of_long_series(of_long, frac, it))
-
-
 def _fits_of_short_series(points: DataFrame, frac: float, it: int) -> DataFrame:
     @F.pandas_udf("struct<x: array<double>, fit: array<double>>")
     def fits(x: pd.Series, y: pd.Series, copies: pd.Series) -> pd.DataFrame:

@@ -43,8 +43,7 @@ def fits_of_long_series(points: DataFrame, frac: float, it: int, block: int = BL
     for again in range(it + 1):
         fits = materialize(plan.fit(weighted))
         if again < it:
-            rest = lookup_join(placed, fits, at_place)
-            rest = materialize(rest.withColumn("rest", F.abs(F.col("y") - F.col("fit"))).drop("fit"))
+            rest = lookup_join(placed, fits, at_place).withColumn("rest", F.abs(F.col("y") - F.col("fit"))).drop("fit")
             middle = materialize(exact_median(rest, SERIES, "rest", "copies"))
             weighted = lookup_join(rest, middle, [SERIES]).withColumn("robust", _bisquare())
     return fits
@@ -142,14 +141,12 @@ class _Plan:
     """Which blocks and nodes each block of targets takes: a matter of x alone, so settled once."""
 
     def __init__(self, places: DataFrame):
-        self.targets = materialize(
-            places.groupBy(SERIES, "block")
-            .agg(F.sort_array(F.collect_list(F.struct("x", "radius", "own_y"))).alias("t"))
-            .select(SERIES, "block", "t.x", "t.radius", "t.own_y")
-        )
-        blocks = materialize(
-            places.groupBy(SERIES, "block").agg(F.min("x").alias("low"), F.max("x").alias("high"), *_boundaries())
+        members = F.sort_array(F.collect_list(F.struct("x", "radius", "own_y"))).alias("t")
+        grouped = materialize(
+            places.groupBy(SERIES, "block").agg(members, F.min("x").alias("low"), F.max("x").alias("high"), *_boundaries())
         )
+        self.targets = grouped.select(SERIES, "block", "t.x", "t.radius", "t.own_y")
+        blocks = grouped.drop("t")
         most = blocks.agg(F.max("block")).first()[0] or 0
         self.levels = 1
         while FANOUT**self.levels <= most:
@@ -188,7 +185,7 @@ class _Plan:
         """Per block the centers and half widths of the nodes above it, lowest level first."""
         levels = F.explode(F.sequence(F.lit(0), F.lit(self.levels - 1))).alias("level")
         listed = blocks.select(SERIES, "block", "low", "high", levels)
-        listed = materialize(listed.withColumn("node", _node_above()))
+        listed = listed.withColumn("node", _node_above())
         self.shapes = materialize(
             listed.groupBy(SERIES, "level", "node")
             .agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -221,7 +218,7 @@ class _Plan:
             .select(SERIES, "block", F.col("p.x").alias("px"), "p.w", "p.wy")
         )
         near = (
-            self.near.join(blocks, on=[SERIES, "block"])
+            lookup_join(self.near, blocks, [SERIES, "block"])
             .groupBy(SERIES, "target", "part")
             .agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("px", "w", "wy")))
         )

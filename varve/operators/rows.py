@@ -37,17 +37,19 @@ def not_all_null(df: DataFrame) -> DataFrame:
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row, by ``order``, of each combination of ``keys``; nulls equal each other.
 
-    The least (order, row) is taken as an aggregate, which keeps one row per key and task before
+    The row of the least order is taken as an aggregate, which keeps one row per key and task before
     the shuffle: a key that holds most of the table never meets in one task, as it would in a
     window. Grouping starts with a hash, so the sorts compare long text only within equal hashes.
+    Only the order is compared, so other columns may be of any type; of rows that tie in it, any one
+    is taken.
     """
     columns = [F.col(f"`{name}`") for name in keys]
     others = [F.col(f"`{name}`") for name in df.columns if name not in keys]
     ranks = [F.col(f"`{rank}`") if isinstance(rank, str) else rank for rank in order]
-    least = F.struct(F.struct(*ranks).alias("rank"), F.struct(*others).alias("rest") if others else F.lit(0).alias("rest"))
-    grouped = df.groupBy(F.xxhash64(*columns).alias("_hash"), *columns).agg(F.min(least).alias("_least"))
+    first = F.min_by(F.struct(*others) if others else F.lit(0), F.struct(*ranks))
+    grouped = df.groupBy(F.xxhash64(*columns).alias("_hash"), *columns).agg(first.alias("_first"))
     return grouped.select(
-        *(F.col(f"`{name}`") if name in keys else F.col(f"_least.rest.`{name}`") for name in df.columns)
+        *(F.col(f"`{name}`") if name in keys else F.col(f"_first.`{name}`") for name in df.columns)
     )
 
 

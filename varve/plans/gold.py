@@ -28,7 +28,7 @@ def consolidated_measures(events: DataFrame, index: DataFrame, series: DataFrame
     shuffled after them is one row per year.
     """
     counts = count_by(events, [F.year("Date").alias("Year")], "Date", "Disaster_Count")
-    smoothed = lowess(counts, x="Year", y="Disaster_Count", out="Disaster_Count_Lowess", frac=frac)
+    smoothed = lowess(counts, x="Year", y="Disaster_Count", out="Disaster_Count_Lowess", frac=frac, spread=False)
     means = mean_by(series, ["Year"], "Anomaly_Lowess", "Temp_Anomaly_Lowess")
     return join_on(index, drop(smoothed, "Disaster_Count"), means, on="Year")
 

@@ -71,12 +71,13 @@ def silver_index(raw: DataFrame) -> DataFrame:
 def silver_series(raw: DataFrame, equal_months: bool = False, **smoothing) -> DataFrame:
     """``Date, Anomaly, Anomaly_Lowess``, smoothed over ``year * 100 + month``.
 
-    On that axis a year ends with a step of 89; ``equal_months`` smooths over equal steps instead.
+    On that axis a year ends with a step of 89; ``equal_months`` smooths over equal steps instead. A
+    series holds a value or a few per month, so one task smooths it; ``spread=True`` for more.
     """
     typed = raw.select(month_start(F.col("Date")).alias("Date"), tolerant_float(F.col("Anomaly")).alias("Anomaly"))
     axis = month_index if equal_months else month_number
     placed = typed.withColumn("_x", axis(F.col("Date")))
-    return lowess(placed, x="_x", y="Anomaly", out="Anomaly_Lowess", **smoothing).drop("_x")
+    return lowess(placed, x="_x", y="Anomaly", out="Anomaly_Lowess", **({"spread": False} | smoothing)).drop("_x")
 
 
 def to_silver(spark: SparkSession, bronze: str, target: str) -> None:

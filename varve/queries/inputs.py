@@ -25,6 +25,10 @@ def pick(values, at: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (at % len(values) + 1).cast("int"))
 
 
+def day_number(time: str) -> Column:
+    return F.unix_date(F.to_date(time))
+
+
 def mixed_date_text(date: Column, key: Column) -> Column:
     return (
         F.when(key % 3 == 0, F.date_format(date, "d/M/yyyy H:mm"))

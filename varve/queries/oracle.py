@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from varve.plans.silver import CATEGORIES, LATITUDES, LONGITUDES
+# Accepted categories (one is spelt as in the source) and the bounds of the region.
+CATEGORIES = (
+    "Severe Storm",
+    "Tsunami",
+    "Landslide",
+    "Envionmental",
+    "Environmental",
+    "Earthquake",
+    "Cyclone",
+    "Bushfire",
+    "Tornado",
+    "Hail",
+    "Flood",
+)
+LATITUDES = (-43.38, -10.41)
+LONGITUDES = (113.09, 153.38)
 
 
 def with_ctes(ctes: list[tuple], final: str) -> str:
@@ -95,6 +110,7 @@ def quoted(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 
 
+DAY = "date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))"
 MONTH = "year({0}) * 100 + month({0})"
 MIXED = (
     "CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%-d/%-m/%Y 0:00') "
@@ -264,7 +280,7 @@ ORACLES = {
     ),
     "lowess_grouped": with_ctes(
         [
-            ("src", "SELECT event_type, day(ts) * 24 + hour(ts) AS hour, count(value) AS n FROM events GROUP BY ALL"),
+            ("src", f"SELECT event_type, {DAY} * 24 + hour(ts) AS hour, count(value) AS n FROM events GROUP BY ALL"),
             *lowess_ctes("l", "src", "event_type", "hour", "n"),
         ],
         """SELECT event_type, CAST(hour AS INTEGER) AS hour, n, round(fit, 6) AS fit
@@ -272,14 +288,14 @@ ORACLES = {
     ),
     "lowess_users": with_ctes(
         [
-            ("src", "SELECT event_id, user_id, value, day(ts) * 24 + hour(ts) AS hour FROM events"),
+            ("src", f"SELECT event_id, user_id, value, {DAY} * 24 + hour(ts) AS hour FROM events"),
             *lowess_ctes("l", "src", "user_id", "hour", "value", 0.5),
         ],
         "SELECT event_id, user_id, round(fit, 6) AS fit FROM src JOIN l_fit ON user_id = s AND CAST(hour AS DOUBLE) = x",
     ),
     "lowess_long": with_ctes(
         [
-            ("src", "SELECT event_id, event_type, value, day(ts) + (hour(ts) * 60 + minute(ts)) / 1440 AS day FROM events"),
+            ("src", f"SELECT event_id, event_type, value, {DAY} + (hour(ts) * 60 + minute(ts)) / 1440 AS day FROM events"),
             *lowess_ctes("l", "src", "event_type", "day", "value"),
         ],
         "SELECT event_id, event_type, round(fit, 6) AS fit FROM src JOIN l_fit ON event_type = s AND day = x",

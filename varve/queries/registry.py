@@ -16,6 +16,7 @@ from varve.plans import full_run, gold, landing, silver
 from varve.queries.inputs import (
     EVENT_SCHEMA,
     PAGE,
+    day_number,
     event_records,
     mixed_date_text,
     month_means,
@@ -25,7 +26,7 @@ from varve.queries.inputs import (
     write_lines,
     write_text_files,
 )
-from varve.shared import scratch_path
+from varve.shared import materialize, scratch_path
 from varve.sources.records import read_records
 from varve.sources.tables import expose, read_csv, read_table, write_csv, write_manifest, write_table
 from varve.sources.text import read_text_series, read_text_table
@@ -165,31 +166,31 @@ def lowess_monthly(spark: SparkSession, folder: str) -> DataFrame:
     months = count_by(
         table(spark, folder, "orders"), [month_number(F.col("o_orderdate")).alias("month")], "o_orderdate", "n"
     )
-    return lowess(months, "month", "n", out="fit").withColumn("fit", F.round("fit", 6))
+    return lowess(months, "month", "n", out="fit", spread=False).withColumn("fit", F.round("fit", 6))
 
 
 def lowess_grouped(spark: SparkSession, folder: str) -> DataFrame:
     hours = (
         table(spark, folder, "events")
-        .groupBy("event_type", (F.dayofmonth("ts") * 24 + F.hour("ts")).alias("hour"))
+        .groupBy("event_type", (day_number("ts") * 24 + F.hour("ts")).alias("hour"))
         .agg(F.count("value").alias("n"))
     )
-    return lowess(hours, "hour", "n", by=["event_type"], out="fit").withColumn("fit", F.round("fit", 6))
+    return lowess(hours, "hour", "n", by=["event_type"], out="fit", spread=False).withColumn("fit", F.round("fit", 6))
 
 
 def lowess_users(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select(
-        "event_id", "user_id", "value", (F.hour("ts") + F.dayofmonth("ts") * 24).alias("hour")
+        "event_id", "user_id", "value", (day_number("ts") * 24 + F.hour("ts")).alias("hour")
     )
     smoothed = lowess(events, "hour", "value", by=["user_id"], frac=0.5, out="fit")
     return smoothed.select("event_id", "user_id", F.round("fit", 6).alias("fit"))
 
 
 def lowess_long(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event of a type as one series, smoothed block by block whatever its length."""
-    day = F.dayofmonth("ts") + (F.hour("ts") * 60 + F.minute("ts")) / 1440
+    """Every event of a type as one series."""
+    day = day_number("ts") + (F.hour("ts") * 60 + F.minute("ts")) / 1440
     events = table(spark, folder, "events").select("event_id", "event_type", "value", day.alias("day"))
-    smoothed = lowess(events, "day", "value", by=["event_type"], out="fit", local_rows=0)
+    smoothed = lowess(events, "day", "value", by=["event_type"], out="fit")
     return smoothed.select("event_id", "event_type", F.round("fit", 6).alias("fit"))
 
 
@@ -199,11 +200,13 @@ def consolidated(spark: SparkSession, folder: str) -> DataFrame:
     ordered = [month_number(F.col("o_orderdate")).alias("month")]
     shipped = [month_number(F.col("l_shipdate")).alias("month")]
     index = mean_by(table(spark, folder, "lineitem"), shipped, "l_quantity", "mean_quantity")
-    per_month = orders.groupBy(*ordered).agg(
-        F.count("o_orderdate").alias("orders"), (F.avg("o_totalprice") / 1000).alias("price")
+    per_month = materialize(
+        orders.groupBy(*ordered).agg(
+            F.count("o_orderdate").alias("orders"), (F.avg("o_totalprice") / 1000).alias("price")
+        )
     )
-    counts = lowess(per_month.select("month", "orders"), "month", "orders", out="orders_smooth")
-    prices = lowess(per_month.select("month", "price"), "month", "price", out="price_smooth")
+    counts = lowess(per_month.select("month", "orders"), "month", "orders", out="orders_smooth", spread=False)
+    prices = lowess(per_month.select("month", "price"), "month", "price", out="price_smooth", spread=False)
     joined = join_on(index, drop(counts, "orders"), drop(prices, "price"), on="month")
     return joined.select("month", *(F.round(c, 6).alias(c) for c in joined.columns if c != "month"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-HEAVY_KEYS = 1000
+BROADCAST_BYTES = 32 << 20
 
 
 def col(name: str) -> Column:
@@ -50,8 +50,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, of at most ``size`` bytes together as JSON text."""
+    widths = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("width")).limit(rows + 1)
+    found, total = widths.agg(F.count("*"), F.sum("width")).first()
+    return found <= rows and (total or 0) <= size
 
 
 def lookup_join(
@@ -59,16 +62,18 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``facts``, where one key may hold a large share of the rows, to ``lookup``.
 
-    A lookup of at most ``rows`` rows is broadcast. Beyond that the heavy keys of ``facts`` are told
-    apart: those that hold more than one in ``HEAVY_KEYS`` of the rows, so fewer than ``HEAVY_KEYS``.
-    Their part of the lookup, one row per key, is broadcast; the rest, in which no key is heavy, is
-    shuffled. Both tables are read more than once and so should be materialized; ``lookup`` is
-    unique in ``on`` and of narrow rows, and no key is null.
+    A lookup of at most ``rows`` rows and ``BROADCAST_BYTES`` is broadcast. Beyond that the heavy keys
+    of ``facts`` are told apart: those that hold more rows than an average shuffle partition, so
+    fewer than there are partitions. Their part of the lookup, one row per key, is broadcast; the
+    rest, in which no key is heavy, is shuffled. Both tables are read more than once and so should
+    be materialized; ``lookup`` is unique in ``on``, its rows take some kilobytes at most, and no
+    key is null.
     """
     if fits_broadcast(lookup, rows):
         return facts.join(F.broadcast(lookup), on=list(on), how=how)
     counts = materialize(facts.groupBy(*on).agg(F.count("*").alias("_n")))
-    share = counts.agg(F.sum("_n") / HEAVY_KEYS).scalar()
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = counts.agg(F.sum("_n") / partitions).scalar()
     heavy = F.broadcast(materialize(counts.filter(F.col("_n") > share).select(*on)))
     common = facts.join(heavy, on=list(on), how="left_anti").join(lookup, on=list(on), how=how)
     crowded = facts.join(heavy, on=list(on), how="left_semi").join(
