@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve.llm import oracles
 from varve.llm.exact import exact_groups
 from varve.llm.kdtree import top_k
 from varve.llm.mixing import mix
@@ -20,13 +21,20 @@ from varve.llm.toxicity import toxicity
 # Shares of the mixture: three for the largest source, one for each other.
 MIXTURE = {"src0": 3.0, **{f"src{i}": 1.0 for i in range(1, 20)}}
 
+# A value of more owners or repositories is copied widely; fewer bits per character are no random key.
+MAX_OWNERS, MAX_REPOSITORIES, LEAST_BITS = 2, 4, 3.0
+
+# Every so many vec_id is a query, for so many neighbours.
+QUERY_STEP, NEIGHBOURS = 50, 5
+
 # A public vocabulary of 32,000 pieces with byte fallback.
 MODEL = "file:///opt/tokenizers/piece_bpe_32k.model"
 
 
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Owners are the sources; a repository is what one source has in one language."""
-    return scan(documents(spark, folder), F.col("source"), F.concat_ws("/", "source", "lang"))
+    repository = F.concat_ws("/", "source", "lang")
+    return scan(documents(spark, folder), F.col("source"), repository, MAX_OWNERS, MAX_REPOSITORIES, LEAST_BITS)
 
 
 def quoted_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,7 +57,7 @@ def quote_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nearest(spark: SparkSession, folder: str) -> DataFrame:
-    return top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+    return top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % QUERY_STEP == 0, NEIGHBOURS)
 
 
 def pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,30 +104,9 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op9_mixture": f"""
-        WITH weights(mix, weight) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in MIXTURE.items())}, (NULL, 1.0)),
-        named AS (SELECT *, CASE WHEN source IN (SELECT mix FROM weights) THEN source END AS mix FROM documents),
-        counts AS (SELECT mix, count(*) AS n FROM named GROUP BY mix),
-        rates AS (
-            SELECT c.mix, weight / sum(weight) OVER () * (sum(n) OVER () * 1.0::DOUBLE) / n AS rate
-            FROM counts c JOIN weights w ON c.mix IS NOT DISTINCT FROM w.mix),
-        terms AS (
-            SELECT mix, rate, k::INT AS k, exp(k * ln(rate) - rate - lgamma(k + 1.0)) AS p
-            FROM rates, range(0, (ceil(rate + 12 * sqrt(rate) + 30) + 1)::BIGINT) r(k)),
-        steps AS (SELECT mix, rate, k, sum(p) OVER (PARTITION BY mix ORDER BY k) AS reached FROM terms),
-        points AS (
-            SELECT *, (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5)
-                / 4503599627370496.0 AS point FROM named),
-        copies AS (
-            SELECT doc_id, source, rate, k + 1 AS copy FROM points p JOIN steps s
-            ON p.mix IS NOT DISTINCT FROM s.mix AND s.reached < p.point)
-        SELECT doc_id, source, rate, copy,
-            md5('42/shuffle:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
-        FROM copies""",
-    "op10_exact_dedup": """
-        WITH plain AS (
-            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
-        SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-            doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
-        FROM plain WINDOW same AS (PARTITION BY t)""",
+    "op1_secret_scan": oracles.secret_scan(MAX_OWNERS, MAX_REPOSITORIES, LEAST_BITS),
+    "op2_quote_links": oracles.QUOTE_LINKS,
+    "op3_nearest": oracles.nearest(QUERY_STEP, NEIGHBOURS),
+    "op9_mixture": oracles.mixture(MIXTURE),
+    "op10_exact_dedup": oracles.EXACT_DEDUP,
 }
