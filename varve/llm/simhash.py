@@ -7,17 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.components import components
-from varve.llm.tables import whole
+from varve.llm.tables import let, whole
 from varve.shared import materialize
 
 WORDS = 4
 BITS = 4
 LEAF = 256
 SHARD = 32_768
+# A shard is split around a vantage point if no side keeps more than this share of it.
+WORTH = 0.75
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
@@ -151,42 +153,65 @@ def near_in_shard(prints: np.ndarray, bits: int = BITS) -> np.ndarray:
     return links.roots()
 
 
-def _blocks(bits: int) -> list[tuple[int, int]]:
-    edges = [64 * i // (bits + 1) for i in range(bits + 2)]
-    return [(low, high - low) for low, high in zip(edges, edges[1:])]
+def _cells(fixed: Column, bits: int) -> Column:
+    """``bits + 1`` masks that deal out the bits not in ``fixed``: two numbers that differ in at most
+    ``bits`` places agree under one of them."""
+    shift = lambda name, value, by: F.call_function(name, value, by)
+    free = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: shift("shiftright", fixed, j).bitwiseAND(F.lit(1)) == 0)
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
 
+    def mask(free: Column, cell: Column) -> Column:
+        own = F.filter(free, lambda j, place: place % (bits + 1) == cell)
+        return F.aggregate(own, none, lambda total, j: total.bitwiseOR(shift("shiftleft", one, j)))
 
-def shards(distinct: DataFrame, bits: int = BITS, most: int = SHARD) -> DataFrame:
-    """``shard`` and ``fingerprint``: pairs with at most ``bits`` differing bits share a shard.
+    return let(free, lambda free: F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda cell: mask(free, cell)))
+
+
+def _by_cells(rows: DataFrame, *id_: str) -> DataFrame:
+    """Each row once per mask of ``cells``, in a shard with those that agree with it under the mask."""
+    dealt = rows.select(*id_, "fixed", "fingerprint", F.posexplode("cells").alias("cell", "mask"))
+    key = F.xxhash64(*id_, "cell", F.col("fingerprint").bitwiseAND(F.col("mask")))
+    return dealt.select(key.alias("shard"), F.col("fixed").bitwiseOR(F.col("mask")).alias("fixed"), "fingerprint")
 
-    A fingerprint is cut into ``bits + 1`` blocks, so two near ones agree in a whole block: within a
-    block the search radius is zero, and a fingerprint lies in exactly one region of each block.
-    A region of more than ``most`` fingerprints is split around a vantage point, its least member,
-    at the median distance; fingerprints within ``bits`` of the boundary go to both sides. That is
-    repeated while it makes a shard smaller, in Spark, so no task gets a region that could be split.
+
+def shards(distinct: DataFrame, bits: int = BITS, most: int = SHARD) -> DataFrame:
+    """``shard`` and ``fingerprint``: fingerprints with at most ``bits`` differing bits share a shard.
+
+    The bits are dealt into ``bits + 1`` cells, so two near fingerprints agree in a whole cell, and a
+    fingerprint lies in one shard of each cell. A shard of more than ``most`` fingerprints is split
+    around a vantage point, its least member, at the median distance; fingerprints within ``bits``
+    of the boundary go to both sides. Where most lie that close to the boundary, as random ones do,
+    the bits on which the shard does not agree yet are dealt into cells again. Each such step
+    settles bits, and b open bits allow at most 2**b fingerprints, so every shard gets down to
+    ``most`` (or to ``bits`` open bits, where all are near each other): no task gets an unbounded one.
     """
-    regions = [
-        F.concat_ws(":", F.lit(i), F.shiftrightunsigned("fingerprint", low).bitwiseAND((1 << width) - 1))
-        for i, (low, width) in enumerate(_blocks(bits))
-    ]
-    rows = materialize(distinct.select(F.explode(F.array(*regions)).alias("shard"), "fingerprint"))
-    done, before = [], None
+    start = distinct.select("fingerprint", F.lit(0).cast("bigint").alias("fixed"))
+    rows = materialize(_by_cells(start.withColumn("cells", _cells(F.lit(0).cast("bigint"), bits))))
+    done = []
     while True:
-        sizes = rows.groupBy("shard").agg(F.count("*").alias("n"), F.min("fingerprint").alias("vantage"))
-        large = materialize(sizes.filter(F.col("n") > most))
-        total = large.agg(F.sum("n")).first()[0]
-        if not total or (before is not None and total > 0.95 * before):
-            return _all([*done, rows])
-        before = total
+        sizes = rows.groupBy("shard").agg(
+            F.count("*").alias("size"), F.min("fingerprint").alias("vantage"), F.min("fixed").alias("settled")
+        )
+        large = materialize(sizes.filter((F.col("size") > most) & (F.bit_count("settled") < 64 - bits)))
+        if large.isEmpty():
+            return _all([*done, rows]).select("shard", "fingerprint")
         done.append(rows.join(large, "shard", "left_anti"))
-        crowded = rows.join(large, "shard").withColumn("away", F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("vantage"))))
-        cuts = materialize(crowded.groupBy("shard").agg(F.percentile_approx("away", 0.5).alias("cut")))
-        measured = crowded.join(cuts, "shard")
-        near_side = F.when(F.col("away") <= F.col("cut") + bits, F.lit("a"))
-        far_side = F.when(F.col("away") > F.col("cut") - bits, F.lit("b"))
-        sides = F.explode(F.array_compact(F.array(near_side, far_side)))
-        split = measured.select("shard", "fingerprint", sides.alias("side"))
-        rows = materialize(split.select(F.concat_ws("/", "shard", "side").alias("shard"), "fingerprint"))
+        away = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("vantage"))).alias("away")
+        crowded = rows.join(large, "shard").select("*", away)
+        # At most 65 distances a shard.
+        counts = materialize(crowded.groupBy("shard", "away").agg(F.count("*").alias("n")))
+        cuts = counts.groupBy("shard").agg(F.floor(F.percentile("away", 0.5, "n")).cast("int").alias("cut"))
+        near_side, far_side = F.col("away") <= F.col("cut") + bits, F.col("away") > F.col("cut") - bits
+        sides = counts.join(cuts, "shard").groupBy("shard", "cut").agg(
+            *(F.sum(F.when(side, F.col("n")).otherwise(0)).alias(name) for name, side in (("inner", near_side), ("outer", far_side)))
+        )
+        halves = (F.greatest("inner", "outer") <= WORTH * F.col("size")).alias("halves")
+        plan = materialize(large.join(sides, "shard").select("shard", "cut", halves, _cells(F.col("settled"), bits).alias("cells")))
+        planned = crowded.drop("size", "settled", "vantage").join(plan, "shard")
+        parts = F.array_compact(F.array(F.when(near_side, F.lit("inner")), F.when(far_side, F.lit("outer"))))
+        split = planned.filter("halves").select("shard", "fixed", "fingerprint", F.explode(parts).alias("side"))
+        split = split.select(F.xxhash64("shard", "side").alias("shard"), "fixed", "fingerprint")
+        rows = materialize(split.unionByName(_by_cells(planned.filter("not halves"), "shard")))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
