@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from varve.llm.exact import drop_exact
-from varve.llm.mixing import mix
+from varve.llm.mixing import remix
 from varve.llm.pieces import encode, read_model
 from varve.llm.quality import keep_good
 from varve.llm.queries import MIXTURE, MODEL
@@ -31,7 +31,7 @@ def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that the sources reach their weights, in a global random order."""
-    return mix(docs, MIXTURE, rest=1.0).select(docs.columns)
+    return remix(docs, MIXTURE, rest=1.0)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

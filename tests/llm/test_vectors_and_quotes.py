@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from varve.llm.exact import exact_groups
 from varve.llm.kdtree import top_k
+from varve.llm.mixing import mix
+from varve.llm.pieces import decode, encode, read_model
+from varve.llm.queries import MODEL
 from varve.llm.quotes import link_quotes
+from varve.llm.simhash import near_groups
+from varve.llm.suffixes import without_repeats
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -88,3 +94,35 @@ def test_pipeline(spark):
     last = docs.orderBy("doc_id", "ids_sha256").select("doc_id", "ids_sha256").collect()
     again = corpus_pipeline.run(spark, FOLDER).orderBy("doc_id", "ids_sha256").select("doc_id", "ids_sha256").collect()
     assert last == again and docs.filter("not round_trip").isEmpty()
+
+
+NAMES = ["rate", "copy", "Score", "predicted", "held_out", "label", "text_key", "fingerprint", "row", "key", "ids", "n_tokens",
+         "round_trip", "keep_id", "group_size", "body", "depth", "root_turn", "steps", "named", "mix", "raw", "units", "a`b", "x.y"]
+
+
+def test_columns_with_any_name_pass_every_stage(spark):
+    marked = F.struct(F.col("doc_id").alias("id"), F.create_map(F.lit("k"), F.lit(None).cast("long")).alias("m"))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("*", *(marked.alias(name) for name in NAMES))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER).cache()
+        assert docs.columns == names
+        assert all(r["row"]["id"] == r["x.y"]["id"] == r["doc_id"] for r in docs.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == docs.count() > 0
+
+
+def test_added_columns_take_the_place_of_given_ones(spark):
+    given = spark.createDataFrame(MAIL, "conv_id long, turn long, text string")
+    plain, clashing = link_quotes(given), link_quotes(given.selectExpr("*", *(f"'x' as `{n.replace('`', '``')}`" for n in NAMES)))
+    assert set(clashing.columns) == set(plain.columns) | set(NAMES) and clashing.columns.count("depth") == 1
+    assert sorted(map(repr, clashing.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
+    extra = docs.selectExpr("*", *(f"'x' as `{n.replace('`', '``')}`" for n in NAMES))
+    mixed = mix(extra, {"src0": 1.0}, 1.0)
+    assert mixed.columns.count("rate") == 1 and mixed.schema["rate"].dataType.typeName() == "double"
+    model = read_model(spark, MODEL)
+    encoded = encode(extra, model)
+    assert encoded.schema["n_tokens"].dataType.typeName() == "long" and encoded.filter("not round_trip").isEmpty()
+    assert sorted(r["text"] for r in decode(encoded, model).collect()) == sorted(r["text"] for r in docs.collect())
+    for run in (exact_groups, near_groups, without_repeats):
+        assert run(extra).count() == 20

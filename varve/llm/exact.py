@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.tables import whole
+from varve.llm.tables import as_row, least_row, whole
 from varve.shared import materialize
 
 SALTS = 16
@@ -67,6 +67,5 @@ def drop_exact(docs: DataFrame, digest=F.xxhash64, salts: int = SALTS) -> DataFr
     lookup = _one_text_each(distinct_texts(docs, digest, salts))
     stays = lookup.select(F.struct("text_sha256", F.col("keep_id").alias("doc_id")).alias("key"))
     sha = F.unhex(F.sha2(one_space("text"), 256)).alias("text_sha256")
-    row = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
-    kept = docs.select(F.struct(sha, "doc_id").alias("key"), row).join(stays, "key", "left_semi")
-    return kept.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    kept = docs.select(F.struct(sha, "doc_id").alias("key"), as_row(docs)).join(stays, "key", "left_semi")
+    return kept.groupBy("key").agg(least_row(docs)).select("row.*")

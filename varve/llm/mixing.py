@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varve.llm.tables import as_row, given
+
 # Hex digits of a digest that make a uniform number: 52 bits fit a double exactly.
 DIGITS = 13
 
@@ -53,29 +55,36 @@ def rates(docs: DataFrame, weights: dict[str, float], rest: float, epochs: float
     return weighed.withColumn("total", total.scalar()).select("mix", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float], rest: float, epochs: float = 1.0, seed: int = 42) -> DataFrame:
-    """``docs``, each row repeated a Poisson number of times, in a global order of hashes.
+def replicate(docs: DataFrame, weights: dict[str, float], rest: float, epochs: float = 1.0, seed: int = 42) -> DataFrame:
+    """Each row of ``docs`` a Poisson number of times, in a global order of hashes.
 
     The number is the Poisson quantile, for the mean of the row's source, of a uniform number that is
     hashed from the seed and the id: it does not depend on how rows are placed, and rows with
     one id are repeated alike. ``weights`` must be positive; rows of sources that it does not name,
     null included, share the weight ``rest``. The table of rates has at most one row per weight
-    and one more, and is broadcast. Adds ``rate``, ``copy`` (from 1) and ``shuffle_key``.
+    and one more, and is broadcast. Returns ``row`` (all columns of ``docs``), ``rate``, ``copy``
+    (from 1) and ``shuffle_key``.
     """
     if not weights or min(weights.values()) <= 0 or rest < 0:
         raise ValueError("weights must be positive, and the rest not negative")
-    by_source = rates(docs, weights, rest, epochs).withColumn("steps", poisson_steps(F.col("rate")))
-    lookup = F.broadcast(by_source.withColumnsRenamed({"mix": "_mix", "rate": "_rate", "steps": "_steps"}))
+    lookup = F.broadcast(rates(docs, weights, rest, epochs).withColumn("steps", poisson_steps(F.col("rate"))))
     named = F.when(F.col("source").isin(list(weights)), F.col("source"))
-    joined = docs.join(lookup, named.eqNullSafe(F.col("_mix")))
-    number = F.col("doc_id")
-    point = uniform(F.lit(seed), number)
-    copies = F.size(F.filter("_steps", lambda reached: reached < point))
-    repeated = joined.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}/shuffle"), F.coalesce(number.cast("string"), F.lit("")), "_copy"))
-    return repeated.select(
-        *(F.col(f"`{name}`") for name in docs.columns),
-        F.col("_rate").alias("rate"),
-        F.col("_copy").alias("copy"),
-        key.alias("shuffle_key"),
-    ).orderBy("shuffle_key")
+    rows = docs.select(as_row(docs), named.alias("named"), uniform(F.lit(seed), F.col("doc_id")).alias("point"))
+    joined = rows.join(lookup, F.col("named").eqNullSafe(F.col("mix")))
+    copies = F.size(F.filter("steps", lambda reached: reached < F.col("point")))
+    copy = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))
+    number = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}/shuffle"), number, "copy"))
+    return joined.select("row", "rate", copy.alias("copy")).select("*", key.alias("shuffle_key")).orderBy("shuffle_key")
+
+
+def mix(docs: DataFrame, weights: dict[str, float], rest: float, epochs: float = 1.0, seed: int = 42) -> DataFrame:
+    """``replicate`` with the columns of ``docs``, then ``rate``, ``copy`` and ``shuffle_key``, which take
+    the place of given columns of these names."""
+    added = ["rate", "copy", "shuffle_key"]
+    return replicate(docs, weights, rest, epochs, seed).select(*given(docs.columns, added), *added)
+
+
+def remix(docs: DataFrame, weights: dict[str, float], rest: float, epochs: float = 1.0, seed: int = 42) -> DataFrame:
+    """``replicate`` with the columns of ``docs`` alone, all unchanged."""
+    return replicate(docs, weights, rest, epochs, seed).select("row.*")

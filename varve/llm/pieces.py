@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varve.shared import col
 
 SPACE = "▁"
 # A model file is read whole and sent to the tasks; larger ones are refused.
@@ -170,10 +171,9 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
     """``docs`` without ``text``, with ``ids`` (array of int), ``n_tokens``, ``ids_sha256`` (of the ids as
     little-endian int32) and ``round_trip``: whether decoding the ids gave back the text, null
     where the text is null. A null or empty text has no ids. ``with_ids=False`` leaves ``ids`` out.
+    An added column takes the place of a given one of its name.
     """
-    keep = [name for name in docs.columns if name != "text"]
-    if taken := {"ids", "n_tokens", "ids_sha256", "round_trip"} & set(keep):
-        raise ValueError(f"columns in use: {sorted(taken)}")
+    keep = [name for name in docs.columns if name.lower() not in ("text", "ids", "n_tokens", "ids_sha256", "round_trip")]
     added = [("ids", T.ArrayType(T.IntegerType()))] * with_ids
     added += [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType())]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -207,7 +207,7 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
             if ids:
                 yield rows(batch, texts, ids, start)
 
-    given = docs.select(*(F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(keep)), F.col("text").alias("text"))
+    given = docs.select(*(col(name).alias(f"c{i}") for i, name in enumerate(keep)), F.col("text").alias("text"))
     schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(name, kind) for name, kind in added)])
     names = keep + [name for name, _ in added]
     return given.mapInArrow(run, schema).toDF(*names)
@@ -215,7 +215,7 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """``encoded`` with ``ids`` turned back into ``text``; null ids give the empty text."""
-    keep = [name for name in encoded.columns if name != "ids"]
+    keep = [name for name in encoded.columns if name.lower() not in ("ids", "text")]
     sent = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +225,6 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string())]
             yield pa.record_batch(columns, names=[*(f"c{i}" for i in range(len(keep))), "text"])
 
-    given = encoded.select(*(F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(keep)), "ids")
+    given = encoded.select(*(col(name).alias(f"c{i}") for i, name in enumerate(keep)), "ids")
     schema = T.StructType([*given.schema.fields[:-1], T.StructField("text", T.StringType())])
     return given.mapInArrow(run, schema).toDF(*keep, "text")

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.tables import fold, labelled_sample, let, whole
+from varve.llm.tables import as_row, fold, labelled_sample, let, whole
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -142,15 +142,13 @@ def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE) -> Rules:
 
 
 def scored(docs: DataFrame, rules: Rules) -> DataFrame:
-    """``docs`` with ``score``: the rules over the statistics of each whole text; null is empty."""
-    if "score" in docs.columns:
-        raise ValueError("column in use: score")
+    """``row``, all columns of ``docs``, and ``score``: the rules over the statistics of each whole text; null is empty."""
     measures = statistics(whole("text"))
     used = {name for rule in rules.rules for name, _, _ in rule}
     named = {name: f"_stat_{name}" for name in measures if name in used}
-    measured = docs.select("*", *(measures[name].alias(alias) for name, alias in named.items()))
+    measured = docs.select(as_row(docs), *(measures[name].alias(alias) for name, alias in named.items()))
     score = rules.score({name: F.col(alias) for name, alias in named.items()})
-    return measured.select(*(F.col(f"`{name}`") for name in docs.columns), score.alias("score"))
+    return measured.select("row", score.alias("score"))
 
 
 def quality(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE) -> DataFrame:
@@ -160,12 +158,12 @@ def quality(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE) -> DataFrame:
     the empty id for the fold and are never learned from.
     """
     rated = scored(docs.select("doc_id", "text"), fit(docs, marks, rows))
-    held_out = fold("doc_id", FOLDS) == HELD_OUT
+    held_out = fold(F.col("row.doc_id"), FOLDS) == HELD_OUT
     return rated.select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        "row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose text is predicted to be of quality 1, unchanged."""
-    return scored(docs, fit(docs, marks, rows)).filter(F.col("score") >= THRESHOLD).drop("score")
+    return scored(docs, fit(docs, marks, rows)).filter(F.col("score") >= THRESHOLD).select("row.*")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.tables import join_same, let, whole
-from varve.shared import materialize
+from varve.llm.tables import as_row, given, join_same, let, whole
+from varve.shared import col, materialize
 
 
 def normal_hash(passage: Column) -> Column:
@@ -62,14 +62,12 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     ``n_quoted``, ``n_linked``, ``parent_turn``, ``root_turn`` and ``depth``, and sorts by
     conversation, root, depth and turn: replies follow what they answer. A null text is empty;
     messages with a null conversation or turn, and those without linked quotes, are roots.
-    Repeated rows are linked alike. No conversation is gathered in one task: links are joins on
+    Repeated rows are linked alike. An added column takes the place of a given one of its name. No conversation is gathered in one task: links are joins on
     unique keys, and roots are found by doubling pointers.
     """
-    names = [name for name in messages.columns if name not in ("conv_id", "turn")]
-    if taken := {"body", "n_quoted", "n_linked", "parent_turn", "root_turn", "depth"} & set(names):
-        raise ValueError(f"columns in use: {sorted(taken)}")
+    added = ["conv_id", "turn", "body", "n_quoted", "n_linked", "parent_turn", "root_turn", "depth"]
     runs = quote_runs(whole("text"))
-    parsed = materialize(messages.select("*", F.xxhash64(whole("text")).alias("_text"), runs.alias("_runs")))
+    parsed = materialize(messages.select("conv_id", "turn", as_row(messages), F.xxhash64(whole("text")).alias("_text"), runs.alias("_runs")))
     body = own_text(F.col("_runs"))
     said = parsed.select("conv_id", "turn", F.explode(F.concat(_units(body), F.flatten(F.transform(
         F.filter("_runs", lambda r: r["level"] == 0), lambda r: _units(r["content"])))).alias("u")).alias("u"))
@@ -86,7 +84,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     rows = join_same(parsed, links, ["conv_id", "turn", "_text"])
     linked = materialize(
         rows.select(
-            "conv_id", "turn", *(F.col(f"`{n}`") for n in names), body.alias("body"),
+            "conv_id", "turn", *given(messages.columns, added), body.alias("body"),
             F.size(F.filter("_runs", lambda r: r["level"] > 0)).cast("long").alias("n_quoted"),
             F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn",
         )
@@ -94,7 +92,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     roots = thread_roots(linked)
     joined = join_same(linked, roots, ["conv_id", "turn"])
     return joined.select(
-        *linked.columns, F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth")
+        *map(col, linked.columns), F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth")
     ).orderBy("conv_id", "root_turn", "depth", "turn")
 
 

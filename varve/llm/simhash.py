@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.components import components
-from varve.llm.tables import let, whole
+from varve.llm.tables import as_row, least_row, let, whole
 from varve.shared import materialize
 
 WORDS = 4
@@ -291,7 +291,6 @@ def drop_near(docs: DataFrame, bits: int = BITS, most: int = SHARD) -> DataFrame
     """
     eligible = _grouped(docs, bits, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = eligible.groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("key")).select("key")
-    row = F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("row")
-    rows = docs.select(F.struct(F.xxhash64(whole("text")).alias("text_key"), "doc_id").alias("key"), row)
+    rows = docs.select(F.struct(F.xxhash64(whole("text")).alias("text_key"), "doc_id").alias("key"), as_row(docs))
     kept = rows.join(stays, "key", "left_semi")
-    return kept.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    return kept.groupBy("key").agg(least_row(docs)).select("row.*")

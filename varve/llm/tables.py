@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varve.shared import col
+
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
@@ -14,6 +18,23 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
 
+def as_row(table: DataFrame) -> Column:
+    """All columns in one struct ``row``, where their names cannot clash with those that an operator adds."""
+    return F.struct(*map(col, table.columns)).alias("row")
+
+
+def least_row(table: DataFrame) -> Column:
+    """The least ``row`` of a group; maps have no order, so rows that hold one are compared as JSON."""
+    ordered = not {"map", "variant"} & set(re.findall(r"\w+", table.schema.simpleString()))
+    return (F.min("row") if ordered else F.min_by("row", F.to_json("row"))).alias("row")
+
+
+def given(names: list[str], added: list[str]) -> list[Column]:
+    """The columns of ``row``, but for those named like one that is added, which takes their place."""
+    taken = {name.lower() for name in added}
+    return [F.col("row").getField(name).alias(name) for name in names if name.lower() not in taken]
+
+
 def whole(text: str | Column) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(text, F.lit(""))
@@ -21,7 +42,7 @@ def whole(text: str | Column) -> Column:
 
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit(""))) % folds
+    return F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))) % folds
 
 
 def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "left") -> DataFrame:
