@@ -18,7 +18,7 @@ from varve.llm.quality import fit as fit_rules
 from varve.llm.quality import keep_good, quality
 from varve.llm.queries import MODEL
 from varve.llm.secrets import scan
-from varve.llm.simhash import drop_near, near_groups, near_in_shard
+from varve.llm.simhash import drop_near, near_groups, near_in_shard, shards
 from varve.llm.suffixes import repeated, two_stage, without_repeats
 from varve.llm.toxicity import Field, marginals, toxicity
 
@@ -332,3 +332,19 @@ def test_one_row_of_each_near_group_stays(hard):
     kept = drop_near(hard)
     groups = {c for *_, c in plain_near(pairs(hard))}
     assert kept.columns == hard.columns and {r["doc_id"] for r in kept.collect()} == groups
+
+
+def test_no_shard_stays_crowded(spark):
+    rng = np.random.default_rng(5)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(1000)]
+    # Two dense balls: each is split by cells only, and both together, where a cell holds them, around a vantage point.
+    far = sum(1 << j for j in range(64) if j % 5)
+    ball = sorted({0x0F1E2D3C4B5A6978 ^ f ^ (far if i % 2 else 0) for i, f in enumerate(flips)})
+    signed = np.array(ball, np.uint64).view(np.int64)
+    placed = shards(spark.createDataFrame([(int(p),) for p in signed], "fingerprint long"), most=200).collect()
+    members = defaultdict(set)
+    for r in placed:
+        members[r["shard"]].add(r["fingerprint"] % (1 << 64))
+    assert max(map(len, members.values())) <= 200 and set.union(*members.values()) == set(ball)
+    together = {(a, b) for own in members.values() for a in own for b in own if a < b and (a ^ b).bit_count() <= 4}
+    assert together == {(a, b) for a in ball for b in ball if a < b and (a ^ b).bit_count() <= 4}

@@ -200,7 +200,7 @@ def shards(distinct: DataFrame, bits: int = BITS, most: int = SHARD) -> DataFram
         crowded = rows.join(large, "shard").select("*", away)
         # At most 65 distances a shard.
         counts = materialize(crowded.groupBy("shard", "away").agg(F.count("*").alias("n")))
-        cuts = counts.groupBy("shard").agg(F.floor(F.percentile("away", 0.5, "n")).cast("int").alias("cut"))
+        cuts = counts.groupBy("shard").agg(F.floor(F.percentile("away", 0.5, F.col("n"))).cast("int").alias("cut"))
         near_side, far_side = F.col("away") <= F.col("cut") + bits, F.col("away") > F.col("cut") - bits
         sides = counts.join(cuts, "shard").groupBy("shard", "cut").agg(
             *(F.sum(F.when(side, F.col("n")).otherwise(0)).alias(name) for name, side in (("inner", near_side), ("outer", far_side)))
