@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from varve.llm.exact import drop_exact, exact_groups
 from varve.llm.mixing import mix
 from varve.llm.pieces import Pieces, decode, encode, read_model
@@ -19,6 +20,7 @@ from varve.llm.quality import keep_good, quality
 from varve.llm.queries import MODEL
 from varve.llm.secrets import scan
 from varve.llm.simhash import drop_near, near_groups, near_in_shard, shards
+from varve.llm.similar import drop_similar
 from varve.llm.suffixes import repeated, two_stage, without_repeats
 from varve.llm.toxicity import Field, marginals, toxicity
 
@@ -348,3 +350,57 @@ def test_no_shard_stays_crowded(spark):
     assert max(map(len, members.values())) <= 200 and set.union(*members.values()) == set(ball)
     together = {(a, b) for own in members.values() for a in own for b in own if a < b and (a ^ b).bit_count() <= 4}
     assert together == {(a, b) for a in ball for b in ball if a < b and (a ^ b).bit_count() <= 4}
+
+
+# similar texts
+
+
+def plain_similar(docs, words=5, similar=0.8):
+    """The component of each row, by comparing all pairs of sets."""
+    sets = []
+    for _, t in docs:
+        w = t.encode().lower().split()
+        sets.append(frozenset(b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
+    above = list(range(len(docs)))
+
+    def root(p):
+        while above[p] != p:
+            p = above[p]
+        return p
+
+    for p, a in enumerate(sets):
+        for q in range(p):
+            if a == sets[q] or len(a & sets[q]) >= similar * len(a | sets[q]) > 0:
+                above[root(p)] = root(q)
+    ids = defaultdict(list)
+    for p, (i, _) in enumerate(docs):
+        ids[root(p)].append(i)
+    return {smallest(own) for own in ids.values()}
+
+
+@pytest.fixture(scope="module")
+def edited(spark):
+    """Copies of texts with single words replaced: similarities from 0.5 to 1; one text with many copies."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(60):
+        text = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append((len(rows), " ".join(text)))
+        for n in [int(x) for x in rng.integers(1, 12, 40 if k == 0 else 3)]:
+            copy = list(text)
+            for at in rng.choice(200, n, replace=False):
+                copy[at] = "edited"
+            rows.append((len(rows), " ".join(copy)))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_texts_of_similarity_from_four_fifths_are_dropped(spark, given, hard, empty, edited):
+    for docs in (edited, given, hard, empty):
+        kept = drop_similar(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(plain_similar(pairs(docs)), key=repr)
+
+
+def test_pipeline_drops_edited_copies(spark, edited):
+    kept = corpus_pipeline.distinct_fingerprints(spark, edited, "")
+    assert {r["doc_id"] for r in kept.collect()} == plain_similar(pairs(edited))

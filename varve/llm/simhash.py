@@ -289,7 +289,12 @@ def drop_near(docs: DataFrame, bits: int = BITS, most: int = SHARD) -> DataFrame
     The row with the smallest id stays; of rows with that id, the least by a hash of the text, then
     by its columns.
     """
-    eligible = _grouped(docs, bits, most).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_one(docs, _grouped(docs, bits, most))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of ``docs`` that stays of each ``root`` of ``groups``, which has a row for each of ``docs``."""
+    eligible = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = eligible.groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("key")).select("key")
     rows = docs.select(F.struct(F.xxhash64(whole("text")).alias("text_key"), "doc_id").alias("key"), as_row(docs))
     kept = rows.join(stays, "key", "left_semi")

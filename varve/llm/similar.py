@@ -1,0 +1,154 @@
+"""Near-duplicates by the exact similarity of their sets of word runs."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from varve.llm.components import components
+from varve.llm.simhash import BITS, SHARD, keep_one, majority, near_links, shingle_hashes
+from varve.llm.tables import whole
+from varve.shared import materialize
+
+WORDS = 5
+SIMILAR = 0.8
+# Two sets of similarity s agree in all lowest hashes of a band with probability s**LOWEST, so at 0.8
+# they miss each other in every band three times in 100,000.
+BANDS = 20
+LOWEST = 4
+_RANDOM = np.random.default_rng(42)
+TIMES = _RANDOM.integers(0, 1 << 63, BANDS * LOWEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _RANDOM.integers(0, 1 << 63, BANDS * LOWEST, dtype=np.uint64) * np.uint64(2)
+
+
+def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """A signed key of each band of lowest hashes; none for the empty set."""
+    if not len(own):
+        return []
+    lowest = np.full(BANDS * LOWEST, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 1024):
+        part = own[at : at + 1024]
+        lowest = np.minimum(lowest, (TIMES[:, None] * part[None, :] + PLUS[:, None]).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(lowest.reshape(BANDS, LOWEST))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` as ``doc_id``, ``text_key`` (a hash), and of the set of shingles: ``node`` (its hash), ``size``,
+    ``fingerprint`` and ``bands``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, prints, keys = [], [], [], []
+            for text in batch.column(2):
+                own = shingle_set(text.as_py(), words)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                sizes.append(len(own))
+                prints.append(majority(own))
+                keys.append(bands(own))
+            signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (nodes, prints)]
+            columns = [batch.column(0), batch.column(1), signed[0], pa.array(sizes, pa.int64()), signed[1], pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "text_key", "node", "size", "fingerprint", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.xxhash64(whole("text")).alias("text_key"), whole("text").alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, text_key bigint, node bigint, size bigint, fingerprint bigint, bands array<bigint>")
+
+
+def _shingles(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``node`` and its ``shingles``, from one text of each ``wanted`` node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(text.as_py(), words).view(np.int64) for text in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = docs.select(F.xxhash64(whole("text")).alias("text_key"), whole("text").alias("text"))
+    one = texts.join(wanted, "text_key").groupBy("node").agg(F.min("text").alias("text"))
+    return materialize(one.mapInArrow(run, "node bigint, shingles array<bigint>"))
+
+
+def _similar(pairs: DataFrame, shingles: DataFrame, similar: float) -> DataFrame:
+    """Those pairs ``a``, ``b`` whose sets share at least ``similar`` of all their shingles."""
+    left, right = (shingles.select(F.col("node").alias(n), F.col("shingles").alias(f"of_{n}")) for n in "ab")
+    met = pairs.join(right, "b").join(left, "a")
+    met = met.select("a", "b", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("both"))
+    return met.filter(F.col("both") / (F.col("n") + F.col("m") - F.col("both")) >= similar).select("a", "b")
+
+
+def _rooted(table: DataFrame, links: DataFrame) -> DataFrame:
+    return table.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _buckets(nodes: DataFrame, bits: int, most: int) -> DataFrame:
+    """``bucket``, ``node`` and ``size``: nodes that may be similar share a bucket, by a band or by groups of near
+    fingerprints; buckets of one node are left out."""
+    groups = components(near_links(nodes.select("fingerprint").distinct(), bits, most)).withColumnRenamed("node", "fingerprint")
+    of_print = F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fingerprint")).alias("bucket")
+    by_print = nodes.join(groups, "fingerprint", "left").select(of_print, "node", "size")
+    placed = materialize(nodes.select(F.explode("bands").alias("bucket"), "node", "size").unionByName(by_print))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return materialize(placed.join(materialize(shared.select("bucket")), "bucket"))
+
+
+def _pairs(rows: DataFrame, step: str, similar: float) -> DataFrame:
+    """Pairs of nodes of one bucket that no link connects yet: each node with the least node of one of its
+    buckets, of each of them, or with all others."""
+    if step == "all":
+        other = rows.select("bucket", *(F.col(n).alias(f"{n}_a") for n in ("node", "size", "root")))
+        met = rows.join(other, "bucket").filter("root_a < root")
+    else:
+        least = F.min(F.struct("node", "size", "root"))
+        other = materialize(rows.groupBy("bucket").agg(least.alias("least")))
+        named = [F.col(f"least.{n}").alias(f"{n}_a") for n in ("node", "size", "root")]
+        met = rows.join(other, "bucket").select("node", "size", "root", *named).filter("root_a <> root")
+    # Sets whose sizes differ more than this cannot be similar.
+    met = met.filter(F.least("size", "size_a") / F.greatest("size", "size_a") >= similar)
+    if step == "one":
+        return met.groupBy(F.col("node").alias("b")).agg(F.min("node_a").alias("a")).select("a", "b")
+    return met.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, bits: int = BITS, most: int = SHARD) -> DataFrame:
+    """``doc_id`` and ``text_key`` of every row, the ``root`` of its group and the ``component_id``.
+
+    Texts link where their sets of ``words``-word shingles have a Jaccard similarity of ``similar`` or
+    more. Pairs to compare come from bands of lowest hashes and from groups of near fingerprints; each
+    link rests on the whole sets. Nodes first meet the least of a bucket, so a large group is connected
+    by one comparison a node; only what stays apart within a bucket is compared pair by pair.
+    Texts without words are one group.
+    """
+    marked = materialize(sets(docs, words))
+    own = [F.first(n).alias(n) for n in ("size", "fingerprint", "bands")]
+    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"), *own))
+    buckets = _buckets(nodes, bits, most)
+    links = buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    if not buckets.isEmpty():
+        wanted = materialize(buckets.select("node").distinct().join(nodes.select("node", "text_key"), "node"))
+        shingles = _shingles(docs, wanted, words)
+        for step in ("one", "each", "all"):
+            rows = materialize(_rooted(buckets, links))
+            apart = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+            rows = materialize(rows.join(materialize(apart.select("bucket")), "bucket"))
+            pairs = materialize(_pairs(rows, step, similar))
+            if not pairs.isEmpty():
+                links = materialize(links.unionByName(_similar(pairs, shingles, similar)))
+    rooted = materialize(_rooted(nodes.select("node", "first"), links))
+    named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    grouped = materialize(rooted.join(named, "root").select("node", "root", "component_id"))
+    return marked.select("doc_id", "text_key", "node").join(grouped, "node")
+
+
+def drop_similar(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each group of ``similar_groups``, all its columns unchanged: the one that
+    ``drop_near`` would keep."""
+    return keep_one(docs, similar_groups(docs, words, similar))
