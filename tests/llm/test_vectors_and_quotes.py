@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from varve.llm.exact import exact_groups
-from varve.llm.kdtree import top_k
+from varve.llm.kdtree import Best, top_k, trees, usable
 from varve.llm.mixing import mix
 from varve.llm.pieces import decode, encode, read_model
 from varve.llm.queries import MODEL
@@ -44,6 +44,31 @@ def test_nearest(spark, sizes):
     assert top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ids_with_many_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(50, [9.0 + i, 1.0]) for i in range(40)] + [(7, [8.0, i / 4]) for i in range(40)] + [(7, [8.0, 0.0])] * 3
+    rows += [(51 + i, [float(x) for x in rng.integers(0, 9, 2)]) for i in range(40)]
+    rows += [(8, [7.5, i / 4]) for i in range(30)] + [(200, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    good = {(i, tuple(math.floor(x * 256) for x in v)) for i, v in rows}
+    expected = []
+    for query in (50, 100, 200):
+        own = [v for i, v in good if i == query]
+        scores = sorted({(-sum(a * b for a, b in zip(v, w)), i) for v in own for i, w in good if i != query})
+        expected += [(query, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5]) if own]
+    for sizes in ((8192, 256, 256), (20, 16, 2)):
+        got = top_k(table, F.col("vec_id") % 50 == 0, 5, "embedding", *sizes)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+    built = trees(usable(table), 20, 16).collect()
+    assert sum(50 in np.frombuffer(r["ids"], np.int64) for r in built) > 1
+    best = Best(2)
+    best.offer(np.array([9, 9, 9, 9, 5, 4]), np.array([1, 1, 1, 2, 3, 4]), 1)
+    assert sorted(best.heap) == [(5, -3), (9, -2)]
+    best = Best(2)
+    best.offer(np.array([9, 9, 9, 9, 5, 4]), np.array([2, 2, 2, 2, 3, 4]), 1)
+    assert sorted(best.heap) == [(5, -3), (9, -2)]
+
+
 MAIL = [
     (1, 0, "First  line\nsecond line"),
     (1, 1, "> first line\n> Second line\nI agree"),

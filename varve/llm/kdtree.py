@@ -91,12 +91,16 @@ class Best:
         return len(self.heap) < self.k or (bound, -least_id) > self.heap[0]
 
     def offer(self, scores: np.ndarray, ids: np.ndarray, own: int) -> None:
-        if len(self.heap) == self.k:
-            keep = scores >= self.heap[0][0]
-            scores, ids = scores[keep], ids[keep]
-        elif len(scores) > self.k + 1:
-            keep = scores >= np.partition(scores, len(scores) - self.k - 1)[len(scores) - self.k - 1]
-            scores, ids = scores[keep], ids[keep]
+        keep = ids != own
+        if len(self.heap) >= self.k:
+            keep &= scores >= self.heap[0][0]
+        scores, ids = scores[keep], ids[keep]
+        if len(self.heap) < self.k < len(scores):
+            # The best come last: highest score, then smallest id. Repeated pairs count once before the cut.
+            order = np.lexsort((~ids, scores))
+            scores, ids = scores[order], ids[order]
+            new = np.append(True, (scores[1:] != scores[:-1]) | (ids[1:] != ids[:-1]))
+            scores, ids = scores[new][-self.k :], ids[new][-self.k :]
         for score, at in zip(scores.tolist(), ids.tolist()):
             if at == own or (score, -at) in self.heap:
                 continue
@@ -129,11 +133,11 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, bests: list[B
 def trees(rows: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
     """One row per shard: its vectors in the order of the leaves, and the boxes of all nodes.
 
-    Ids are dealt to shards by a hash, so equal or clustered vectors spread over all of them. Shards
-    hold vectors of one length; their number grows with the table.
+    Rows are dealt to shards by a hash of id and vector, so clustered vectors and those of one id spread
+    over all of them. Shards hold vectors of one length; their number grows with the table.
     """
     placed = rows.withColumn("dim", F.size("v")).join(F.broadcast(shard_counts(rows, shard)), "dim")
-    dealt = placed.select("dim", F.pmod(F.xxhash64("vec_id"), F.col("shards")).alias("shard"), "vec_id", "v")
+    dealt = placed.select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).alias("shard"), "vec_id", "v")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         dim = int(group["dim"].iloc[0])
