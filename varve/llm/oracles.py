@@ -183,3 +183,45 @@ EXACT_DEDUP = r"""
     SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
         doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
     FROM plain WINDOW same AS (PARTITION BY t)"""
+
+
+def centroids(dims: int, clusters: int, rounds: int, scale: int) -> str:
+    """Each round assigns all vectors, then takes the floor of the mean of each dimension."""
+    first = f"""
+        kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, x FROM (
+                SELECT vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+                FROM embeddings
+                WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: isfinite(c))) = {dims})),
+        c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY code, x) - 1 AS INTEGER) AS cluster, x AS c
+            FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS code, x FROM kept ORDER BY code, x LIMIT {clusters}))"""
+    far = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+    def assigned(i: int) -> str:
+        return f"""
+        a{i} AS MATERIALIZED (
+            SELECT r, min(CAST({far} AS BIGINT)) AS distance, arg_min(cluster, ({far}, cluster)) AS cluster
+            FROM kept CROSS JOIN c{i} GROUP BY r)"""
+
+    def moved(i: int) -> str:
+        return f"""
+        m{i} AS (
+            SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS c
+            FROM (
+                SELECT cluster, d, sum(v)::BIGINT AS s, count(*) AS n
+                FROM (
+                    SELECT cluster, unnest(x) AS v, unnest(range(1, {dims} + 1)) AS d
+                    FROM kept JOIN a{i} USING (r)) GROUP BY cluster, d)
+            GROUP BY cluster),
+        c{i + 1} AS MATERIALIZED (
+            SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))"""
+
+    steps = [part(i) for i in range(rounds) for part in (assigned, moved)]
+    return f"""
+        WITH {",".join([first, *steps, assigned(rounds)])}
+        SELECT vec_id, cluster, distance,
+            CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+            CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM kept JOIN a{rounds} USING (r) JOIN c{rounds} USING (cluster)"""

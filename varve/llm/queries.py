@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from varve.llm import oracles
 from varve.llm.exact import exact_groups
+from varve.llm.isolation import isolate
 from varve.llm.kdtree import top_k
+from varve.llm.lloyd import CLUSTERS, DIMS, ROUNDS, SCALE, cluster
 from varve.llm.mixing import mix
 from varve.llm.pieces import encode, read_model
 from varve.llm.quality import quality
@@ -17,6 +19,7 @@ from varve.llm.simhash import near_groups
 from varve.llm.suffixes import without_repeats
 from varve.llm.tables import documents, labels
 from varve.llm.toxicity import toxicity
+from varve.llm.whitening import whiten
 
 # Shares of the mixture: three for the largest source, one for each other.
 MIXTURE = {"src0": 3.0, **{f"src{i}": 1.0 for i in range(1, 20)}}
@@ -90,6 +93,18 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(documents(spark, folder))
 
 
+def whitened(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def isolated(spark: SparkSession, folder: str) -> DataFrame:
+    return isolate(documents(spark, folder), labels(spark, folder))
+
+
 QUERIES = {
     "op1_secret_scan": secret_scan,
     "op2_quote_links": quote_links,
@@ -101,6 +116,9 @@ QUERIES = {
     "op8_simhash_groups": simhash_groups,
     "op9_mixture": mixture,
     "op10_exact_dedup": exact_dedup,
+    "op11_whitening": whitened,
+    "op12_centroids": centroids,
+    "op13_isolation": isolated,
 }
 
 ORACLES = {
@@ -109,4 +127,5 @@ ORACLES = {
     "op3_nearest": oracles.nearest(QUERY_STEP, NEIGHBOURS),
     "op9_mixture": oracles.mixture(MIXTURE),
     "op10_exact_dedup": oracles.EXACT_DEDUP,
+    "op12_centroids": oracles.centroids(DIMS, CLUSTERS, ROUNDS, SCALE),
 }

@@ -63,10 +63,14 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, train: Column
     """``doc_id``, ``text`` and ``label`` of at most ``rows[value]`` documents of each label value.
 
     ``train`` says which ids may be learned from. The ids are taken in the order of a hash, so the
-    sample is the same on every run. Only their ids are broadcast, a bounded number.
+    sample is the same on every run. Only their ids are broadcast, a bounded number. An id counts once: with the
+    least of its labels and, of its texts, the one with the least hash (then the least text).
     """
-    usable = marks.filter(train & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    known = marks.filter(train & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    usable = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64(F.lit(label), "doc_id")
     picked = [usable.filter(F.col("label") == v).orderBy(order, "doc_id").limit(n) for v, n in rows.items()]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    return docs.select("doc_id", whole("text").alias("text")).join(ids, "doc_id")
+    text = F.struct(F.xxhash64(whole("text")).alias("hash"), whole("text").alias("text"))
+    found = docs.select("doc_id", text.alias("text")).join(ids, "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text.text", "label")
