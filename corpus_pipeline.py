@@ -9,7 +9,7 @@ from varve.llm.mixing import remix
 from varve.llm.pieces import encode, read_model
 from varve.llm.quality import keep_good
 from varve.llm.queries import MIXTURE, MODEL
-from varve.llm.similar import drop_similar
+from varve.llm.simhash import drop_near
 from varve.llm.tables import documents, labels
 from varve.shared import materialize
 
@@ -25,8 +25,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return drop_similar(docs)
+    """One document of each group whose fingerprints of four-word shingles differ in four bits at most."""
+    return drop_near(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
