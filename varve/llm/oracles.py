@@ -12,6 +12,7 @@ ASSIGN = f"""({either_case("password|passwd|secret|token|api_?key")})["'']?\\x20
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 BARE = "[A-Za-z0-9+/_-]{16,}={0,2}"
+VARIED = 0.47
 
 
 def _found(kind: str, rank: int, pattern: str, group: int, keep: str) -> str:
@@ -46,9 +47,11 @@ def secret_scan(max_owners: int, max_repositories: int, least_bits: float) -> st
             UNION ALL {_found("access", 2, ACCESS, 0, "length(value) >= 20")}
             UNION ALL {_found("hex", 3, HEX, 0, "length(value) >= 24")}),
         bare AS MATERIALIZED (
-            {_found("bare", 0, BARE, 0, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')")}),
+            SELECT r, value, stop - length(value) AS start, stop, true AS known FROM base
+            UNION ALL SELECT r, value, start, stop, false AS known FROM (
+            {_found("bare", 0, BARE, 0, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')")})),
         owned AS (
-            SELECT value, count(DISTINCT coalesce('+' || source, '-')) AS owners,
+            SELECT value, bool_or(known) AS known, bool_or(NOT known) AS bare, count(DISTINCT coalesce('+' || source, '-')) AS owners,
                 count(DISTINCT coalesce('+' || source, '-') || chr(10) || repository) AS repositories
             FROM bare JOIN docs USING (r) GROUP BY value),
         letters AS (
@@ -58,10 +61,10 @@ def secret_scan(max_owners: int, max_repositories: int, least_bits: float) -> st
             SELECT value, CASE
                 WHEN owners > {max_owners} OR repositories > {max_repositories} THEN 'example'
                 WHEN NOT regexp_matches(value, '(?i)example|sample|placeholder|changeme|xxxx')
-                    AND {entropy} >= {least_bits} THEN 'live' END AS verdict
+                    AND ((bare AND {entropy} >= {least_bits}) OR (known AND {entropy} >= {VARIED} * log2(length(value)))) THEN 'live' END AS verdict
             FROM owned JOIN letters USING (value)),
         added AS (
-            SELECT r, verdict AS kind, CASE verdict WHEN 'example' THEN 4 ELSE 5 END AS rank, start, stop
+            SELECT DISTINCT r, verdict AS kind, CASE verdict WHEN 'example' THEN 4 ELSE 5 END AS rank, start, stop
             FROM bare JOIN judged USING (value) WHERE verdict IS NOT NULL),
         every AS (SELECT r, kind, rank, start, stop FROM base UNION ALL SELECT r, kind, rank, start, stop FROM added),
         joined AS (

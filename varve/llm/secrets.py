@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.tables import join_same, whole
+from varve.llm.tables import join_same, let, whole
 from varve.shared import materialize
 
 # Fixed patterns. A value of the assignment counts from 6 characters.
@@ -16,26 +16,46 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 
 ORDER = ("assign", "access", "hex", "example", "live")
 SPAN = "array<struct<start:int,stop:int,value:string>>"
+BLOCK = 128
+# A value found by its name or form looks live from this share of the bits that its length allows.
+VARIED = 0.47
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, stop, value), counted in code points.
 
-    The pieces between the matches give the offsets. ``value`` is the given group.
+    The pieces between the matches give the offsets. ``value`` is the given group. An array that grows is
+    copied at each step, so matches are folded in blocks of ``BLOCK`` that are joined at the end: the work
+    stays about in proportion to their number, however many one text holds.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), values.alias("value"))
+    parts = F.transform(
+        zipped, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("hit"), p["value"].alias("value"))
+    )
 
     def step(state, part):
-        begin = state["at"] + F.length(part["gap"])
-        end = begin + F.length(part["hit"])
+        begin = state["at"] + part["gap"]
+        end = begin + part["hit"]
         span = F.struct(begin.alias("start"), end.alias("stop"), part["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    spans = F.aggregate(F.slice(parts, F.lit(1), F.size(found)), start, step, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    def block(state, own):
+        start = F.struct(state["at"].alias("at"), F.array().cast(SPAN).alias("spans"))
+        return let(
+            F.aggregate(own, start, step),
+            lambda done: F.struct(done["at"].alias("at"), F.concat(state["blocks"], F.array(done["spans"])).alias("blocks")),
+        )
+
+    def folded(parts):
+        last = F.size(parts) - 1  # what follows the last match is no match
+        numbers = F.sequence(F.lit(0), F.greatest(F.ceil(last / BLOCK) - 1, F.lit(0)).cast("int"))
+        blocks = F.transform(numbers, lambda i: F.slice(parts, i * BLOCK + 1, F.least(F.lit(BLOCK), last - i * BLOCK)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("blocks"))
+        return F.flatten(F.aggregate(blocks, none, block, lambda state: state["blocks"]))
+
+    return F.when(text.rlike(pattern), let(parts, folded)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -50,12 +70,29 @@ def entropy(value: Column) -> Column:
     return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda total, c: total - share(c) * F.log2(share(c)))
 
 
-def looks_live(value: Column, least_bits: float) -> Column:
-    """Letters and digits, not a placeholder, and as varied as a random key."""
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("(?i)example|sample|placeholder|changeme|xxxx")
+def looks_live(value: Column, least_bits: float, base: bool = False) -> Column:
+    """No placeholder, and varied. A bare value needs letters, digits and ``least_bits`` bits a character, as
+    a random key has them; a base value, known by its name or form, may be short or of one kind."""
+    real = ~value.rlike("(?i)example|sample|placeholder|changeme|xxxx")
+    if base:
+        return F.when(real, entropy(value) >= VARIED * F.log2(F.length(value))).otherwise(False)
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & real
     return F.when(mixed, entropy(value) >= least_bits).otherwise(False)
 
 
+def _candidates(spans: Column, least_bits: float, base: bool) -> Column:
+    """Each span's value, which ends the span, as ``start``, ``stop``, ``hash`` and whether it ``looks`` live."""
+    return F.transform(
+        spans,
+        lambda s: F.struct(
+            (s["stop"] - F.length(s["value"])).alias("start"),
+            s["stop"].alias("stop"),
+            F.unhex(F.sha2(s["value"], 256)).alias("hash"),
+            looks_live(s["value"], least_bits, base).alias("looks"),
+        ),
+    )
+
+
 def _rank(kind: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, ORDER)), kind).cast("int")
 
@@ -90,9 +127,10 @@ def scan(
 ) -> DataFrame:
     """Secrets in every whole text, one row per row of ``docs``.
 
-    Base spans are those of ``ASSIGN``, ``ACCESS`` and ``HEX``. The corpus adds spans for bare values
-    (``CANDIDATE``): ``live`` where at most ``max_owners`` owners and ``max_repositories``
-    repositories hold the value and it looks live, ``example`` where more hold it. Values leave the
+    Base spans are those of ``ASSIGN``, ``ACCESS`` and ``HEX``. The corpus adds a span for every base value (of an
+    assignment, what is assigned) and bare value (``CANDIDATE``, with a letter and a digit): ``live`` where
+    at most ``max_owners`` owners and ``max_repositories`` repositories hold the value and it looks live,
+    ``example`` where more hold it. Values leave the
     texts only as hashes. Returns ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``,
     ``base_sha256``, ``spans``, ``n_live`` and ``n_example``. A null or empty text has no spans.
     Repeated rows each get a row.
@@ -100,15 +138,7 @@ def scan(
     text = whole("text")
     base = base_spans(text)
     plain = F.filter(matches(text, CANDIDATE), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    hashed = F.transform(
-        plain,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["stop"].alias("stop"),
-            F.unhex(F.sha2(s["value"], 256)).alias("hash"),
-            looks_live(s["value"], least_bits).alias("looks"),
-        ),
-    )
+    hashed = F.concat(*(_candidates(spans, least_bits, True) for spans in base.values()), _candidates(plain, least_bits, False))
     found = materialize(
         docs.select(
             "doc_id",
