@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from varve.shared import materialize
+from varve.shared import lookup_join, materialize
 
 LEAF = 256
 SHARD = 8192
@@ -136,7 +136,7 @@ def trees(rows: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
     Rows are dealt to shards by a hash of id and vector, so clustered vectors and those of one id spread
     over all of them. Shards hold vectors of one length; their number grows with the table.
     """
-    placed = rows.withColumn("dim", F.size("v")).join(F.broadcast(shard_counts(rows, shard)), "dim")
+    placed = lookup_join(rows.withColumn("dim", F.size("v")), shard_counts(rows, shard), ["dim"])
     dealt = placed.select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).alias("shard"), "vec_id", "v")
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -147,12 +147,9 @@ def trees(rows: DataFrame, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(build, TREE))
 
 
-def shard_counts(rows: DataFrame, shard: int, most: int = 10_000) -> DataFrame:
-    """``dim`` and ``shards`` for each length of vector; the lengths are checked to be few."""
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / shard).alias("shards"))
-    if sizes.limit(most + 1).count() > most:
-        raise ValueError(f"vectors of more than {most} different lengths")
-    return sizes
+def shard_counts(rows: DataFrame, shard: int) -> DataFrame:
+    """``dim`` and ``shards`` for each length of vector."""
+    return materialize(rows.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / shard).alias("shards")))
 
 
 def query_blocks(rows: DataFrame, is_query: Column, block: int = BLOCK) -> DataFrame:
@@ -177,7 +174,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, vector: str = "embeddi
     of the same vector length but those with the query's id. Ties go to the smaller id. Returns
     ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``. Rows whose id or vector is null, or whose
     vector holds a null or non-finite component, take no part; fewer candidates give fewer
-    rows. Scores must fit a long.
+    rows. There may be any number of vector lengths, each searched apart. Scores must fit a long.
 
     Each block of queries first searches one shard. The best found there go along to all other
     shards, where the k-th score prunes from the start. Equal scores need the smallest ids, so a box is left out only if neither
@@ -185,7 +182,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, vector: str = "embeddi
     """
     rows = materialize(usable(table, vector))
     built, blocks = trees(rows, shard, leaf), query_blocks(rows, is_query, block)
-    known = blocks.join(F.broadcast(shard_counts(rows, shard)), "dim").withColumn("home", F.col("block") % F.col("shards"))
+    known = lookup_join(blocks, shard_counts(rows, shard), ["dim"]).withColumn("home", F.col("block") % F.col("shards"))
     nothing = F.array().cast("array<bigint>")
     at_home = known.withColumn("shard", F.col("home"))
     first = materialize(_searched(at_home.select("*", *(nothing.alias(n) for n in KNOWN)), built, k))
