@@ -246,10 +246,11 @@ def toxicity(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE, longest: int
     a null id count as the empty id for the fold and are never learned from.
     """
     field = fit(docs, marks, rows, longest)
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    # Plain arrays and numbers: a broadcast class would be looked up on the executors, which need not have it.
+    sent = docs.sparkSession.sparkContext.broadcast((field.weights, field.pairs, field.first, field.slope, field.level))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = Field(*sent.value)
         scores = Scores(model.weights)
         for batch in batches:
             found, texts, size = [], [], 0
