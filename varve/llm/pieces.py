@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -162,11 +161,6 @@ class Pieces:
         return raw[1:].decode("utf-8", "surrogatepass")
 
 
-@lru_cache(maxsize=2)
-def loaded(model: bytes) -> Pieces:
-    return Pieces(model)
-
-
 def encode(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
     """``docs`` without ``text``, with ``ids`` (array of int), ``n_tokens``, ``ids_sha256`` (of the ids as
     little-endian int32) and ``round_trip``: whether decoding the ids gave back the text, null
@@ -178,8 +172,7 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
     added += [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType())]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rows(batch: pa.RecordBatch, texts: list, ids: list[bytes], start: int) -> pa.RecordBatch:
-        pieces = loaded(sent.value)
+    def rows(pieces: Pieces, batch: pa.RecordBatch, texts: list, ids: list[bytes], start: int) -> pa.RecordBatch:
         arrays = [batch.column(i).slice(start, len(ids)) for i in range(len(keep))]
         numbers = [np.frombuffer(one, "<i4") for one in ids]
         if with_ids:
@@ -194,7 +187,7 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
         return pa.record_batch(arrays, names=[*(f"c{i}" for i in range(len(keep))), *(name for name, _ in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(sent.value)
+        pieces = Pieces(sent.value)
         for batch in batches:
             start, texts, ids, size = 0, [], [], 0
             for value in batch.column(len(keep)):
@@ -202,10 +195,10 @@ def encode(docs: DataFrame, model: bytes, with_ids: bool = True) -> DataFrame:
                 ids.append(pieces.encode(texts[-1] or ""))
                 size += len(ids[-1])
                 if size > FLUSH:
-                    yield rows(batch, texts, ids, start)
+                    yield rows(pieces, batch, texts, ids, start)
                     start, texts, ids, size = start + len(ids), [], [], 0
             if ids:
-                yield rows(batch, texts, ids, start)
+                yield rows(pieces, batch, texts, ids, start)
 
     given = docs.select(*(col(name).alias(f"c{i}") for i, name in enumerate(keep)), F.col("text").alias("text"))
     schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(name, kind) for name, kind in added)])
@@ -219,7 +212,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = loaded(sent.value)
+        pieces = Pieces(sent.value)
         for batch in batches:
             texts = [pieces.decode(np.array(one.as_py() or [], np.int32)) for one in batch.column(len(keep))]
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(texts, pa.string())]
