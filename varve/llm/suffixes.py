@@ -4,28 +4,30 @@ Windows are strings of ``size`` bytes. The lowest hash among the ``GRAM``-byte s
 anchor: equal windows have equal anchors, so they meet wherever texts are placed by the anchor.
 Windows that follow each other and share an anchor form a unit. Only units whose anchor occurs
 twice can hold repeats; identical ones are folded into one, and what is left of an anchor is
-decided by its suffix array.
+decided by its suffix array. Rolling hashes only choose places: whether bytes are equal is decided by
+the bytes themselves, or by 128 bits of their SHA-256 where equal units are folded and joined.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.llm.tables import join_same, let, whole
 from varve.shared import materialize
 
 SIZE, GRAM = 400, 64
-# Windows hashed at a time, a power of two; bytes sorted at a time; different units of one anchor
-# that are sorted together.
-CHUNK, SHARD, MOST = 1 << 20, 1 << 19, 400
-# Windows in a block of an anchor that too many units share.
-BLOCK = 16
+# Windows hashed at a time, a power of two; the bits that number the places of two such chunks.
+CHUNK, PLACE_BITS = 1 << 20, 22
+# Bytes sorted at a time, and the windows of the blocks into which larger groups are split, step by step.
+SHARD, STEPS = 1 << 19, (16, 4, 1)
+DIGEST = 16
 
 _random = np.random.default_rng(42)
 VALUES = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,16 +70,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def units(buffer: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """Units of texts that lie one after the other, each of at least ``size`` bytes.
 
-    Returns start, number of windows, distance to the anchor, anchor hash and content hash. A unit's
-    content is all bytes its windows cover.
+    Returns start, number of windows, distance to the anchor and anchor hash. A unit's content is all
+    bytes its windows cover.
     """
     n, base = len(buffer), BASE
     inverse = powers(pow(base, -1, 1 << 64), n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(VALUES[buffer] * powers(base, n), out=sums[1:])
     grams = mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-    # The place in the low bits: among equal hashes the leftmost counts.
-    places = np.uint64((1 << int(n).bit_length()) - 1)
+    # The place in the low bits: among equal hashes the leftmost counts. As many bits in every chunk, so that
+    # equal windows choose alike wherever they lie.
+    places = np.uint64((1 << PLACE_BITS) - 1)
     lowest = sliding_min((grams & ~places) | np.arange(len(grams), dtype=np.uint64), size - gram + 1)
     anchors = (lowest & places).astype(np.int64)
     owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
@@ -87,8 +90,20 @@ def units(buffer: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tupl
     starts = np.flatnonzero(new)
     before = np.cumsum(valid) - valid
     windows = np.diff(np.append(before[starts], valid.sum()))
-    content = (sums[starts + windows + size - 1] - sums[starts]) * inverse[starts]
-    return starts, windows, anchors[starts] - starts, grams[anchors[starts]], mixed(content)
+    return starts, windows, anchors[starts] - starts, grams[anchors[starts]]
+
+
+def digest(raw: bytes) -> bytes:
+    return hashlib.sha256(raw).digest()[:DIGEST]
+
+
+def sql_digest(raw: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(raw, 256)), 1, DIGEST)
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return sql_digest(text.cast("binary")).alias("text_key")
 
 
 def all_units(docs: DataFrame, size: int, gram: int) -> DataFrame:
@@ -99,18 +114,20 @@ def all_units(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def flush(parts: list[tuple]) -> pa.RecordBatch:
         lengths = np.array([len(raw) for *_, raw in parts], np.int64)
-        starts, windows, gap, anchor, content = units(np.frombuffer(b"".join(raw for *_, raw in parts), np.uint8), lengths, size, gram)
+        joined = b"".join(raw for *_, raw in parts)
+        starts, windows, gap, anchor = units(np.frombuffer(joined, np.uint8), lengths, size, gram)
+        content = [digest(joined[a:b]) for a, b in zip(starts.tolist(), (starts + windows + size - 1).tolist())]
         first = np.cumsum(lengths) - lengths
         part = np.searchsorted(first, starts, side="right") - 1
         offset = np.array([at for _, _, at, _ in parts], np.int64)
         columns = [
             pa.array([key for key, *_ in parts], id_type).take(pa.array(part)),
-            pa.array([key for _, key, *_ in parts], pa.int64()).take(pa.array(part)),
+            pa.array([key for _, key, *_ in parts], pa.binary()).take(pa.array(part)),
             pa.array(offset[part] + starts - first[part]),
             pa.array(windows.astype(np.int32)),
             pa.array(gap.astype(np.int32)),
             pa.array(anchor.view(np.int64)),
-            pa.array(content.view(np.int64)),
+            pa.array(content, pa.binary()),
         ]
         return pa.record_batch(columns, names=["doc_id", "text_key", "at", "windows", "gap", "anchor", "content"])
 
@@ -134,8 +151,8 @@ def all_units(docs: DataFrame, size: int, gram: int) -> DataFrame:
     id_type = None
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = whole("text")
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.cast("binary").alias("raw"))
-    schema = f"doc_id {kind}, text_key bigint, at bigint, windows int, gap int, anchor bigint, content bigint"
+    rows = docs.select("doc_id", text_key(text), text.cast("binary").alias("raw"))
+    schema = f"doc_id {kind}, text_key binary, at bigint, windows int, gap int, anchor bigint, content binary"
     return rows.filter(F.length("raw") >= size).mapInArrow(run, schema)
 
 
@@ -231,9 +248,9 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_shards(segments: DataFrame, size: int) -> DataFrame:
-    """Runs of repeated windows of the segments (anchor, id, at, windows, n, raw), sorted shard by shard.
+    """Runs of repeated windows of the segments (place, id, at, windows, n, raw), sorted shard by shard.
 
-    A shard holds the segments of whole anchors, about ``SHARD`` bytes of them.
+    A shard holds the segments of whole places, about ``SHARD`` bytes of them.
     """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
@@ -246,7 +263,7 @@ def _sorted_shards(segments: DataFrame, size: int) -> DataFrame:
                 keys2 += [text_key] * len(begin)
                 at += (begin + start).tolist()
                 n += length.tolist()
-        columns = [pa.array(keys, id_type), pa.array(keys2, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32())]
+        columns = [pa.array(keys, id_type), pa.array(keys2, pa.binary()), pa.array(at, pa.int64()), pa.array(n, pa.int32())]
         return pa.record_batch(columns, names=["doc_id", "text_key", "at", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,67 +272,79 @@ def _sorted_shards(segments: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             id_type = batch.column(1).type
             for values in zip(*(batch.column(i) for i in range(7))):
-                anchor, *row = (v.as_py() for v in values)
-                if held >= SHARD and anchor != last:
+                place, *row = (v.as_py() for v in values)
+                if held >= SHARD and place != last:
                     yield flush(rows)
                     rows, held = [], 0
                 rows.append(tuple(row))
                 held += len(row[-1])
-                last = anchor
+                last = place
         if rows:
             yield flush(rows)
 
     id_type = None
     kind = segments.schema["doc_id"].dataType.simpleString()
-    placed = segments.select("anchor", "doc_id", "text_key", "at", "windows", "n", "raw")
-    placed = placed.repartition("anchor").sortWithinPartitions("anchor")
-    return placed.mapInArrow(run, f"doc_id {kind}, text_key bigint, at bigint, windows int")
+    placed = segments.select("place", "doc_id", "text_key", "at", "windows", "n", "raw")
+    placed = placed.repartition("place").sortWithinPartitions("place")
+    return placed.mapInArrow(run, f"doc_id {kind}, text_key binary, at bigint, windows int")
 
 
-def _block_by_block(segments: DataFrame, size: int) -> DataFrame:
-    """The same for anchors with too many different segments for one task.
+def _split(segments: DataFrame, size: int, step: int) -> tuple[DataFrame, DataFrame]:
+    """The segments cut into blocks of at most ``step`` windows, and the blocks that occur more than once.
 
-    Windows are counted from the anchor in blocks of ``BLOCK``. All windows of a block hold the same
-    core of bytes, so equal windows lie in blocks of equal cores. Equal blocks are decided by
-    counting them; where a core is shared by blocks that occur once, windows are counted one by
-    one. Every count is combined before its shuffle, so no passage is heavy, however common.
+    Windows are counted from the anchor in blocks. All windows of a block hold the same core of
+    bytes, and equal windows lie as far from the anchor, so they meet in the place of their core.
+    Identical blocks are folded into one, combined before the shuffle, so no passage is heavy, however common.
     """
-    step = min(BLOCK, size)
     first = lambda k: F.greatest(F.lit(0), F.col("gap") - k * step - (step - 1))
     last = lambda k: F.least(F.col("windows") - 1, F.col("gap") - k * step)
     core = lambda k: F.substring(F.col("raw"), F.col("gap") - k * step + 1, F.lit(size - step + 1))
     piece = lambda k: F.substring(F.col("raw"), first(k) + 1, last(k) - first(k) + size)
+    named = lambda k: F.concat("place", F.encode(F.concat(F.lit(":"), k.cast("string"), F.lit(":")), "utf-8"), core(k))
     numbers = F.sequence(F.floor((F.col("gap") - F.col("windows") + 1) / step).cast("int"), F.floor(F.col("gap") / step).cast("int"))
     each = F.transform(
         numbers,
         lambda k: F.struct(
-            k.alias("k"),
-            (F.col("at") + first(k)).alias("place"),
-            (F.col("gap") - first(k)).alias("far"),
-            (last(k) - first(k) + 1).alias("count"),
-            F.unhex(F.md5(core(k))).alias("core"),
-            F.unhex(F.md5(piece(k))).alias("content"),
-            piece(k).alias("piece"),
+            sql_digest(named(k)).alias("place"),
+            (F.col("at") + first(k)).alias("at"),
+            (last(k) - first(k) + 1).alias("windows"),
+            (F.col("gap") - first(k)).alias("gap"),
+            sql_digest(piece(k)).alias("content"),
+            piece(k).alias("raw"),
         ),
     )
     blocks = materialize(segments.select("doc_id", "text_key", "n", F.inline(each)))
-    kind = ["core", "k", "far", "count", "content"]
-    refs = [F.first(name).alias(name) for name in ("doc_id", "text_key", "place", "piece")]
-    contents = materialize(blocks.groupBy(*kind).agg(F.sum("n").alias("n"), *refs))
-    alone = blocks.filter("n = 1")
-    whole_blocks = alone.join(contents.filter("n > 1").select(*kind), kind)
-    found = whole_blocks.select("doc_id", "text_key", F.col("place").alias("at"), F.col("count").alias("windows"))
-    open_ = contents.groupBy("core", "k").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
-    rest = contents.join(materialize(open_.filter("kinds > 1 and least = 1").select("core", "k")), ["core", "k"])
-    text = lambda i: F.substring(F.col("piece"), i + 1, F.lit(size))
-    every = F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.struct(i.alias("i"), F.unhex(F.md5(text(i))).alias("window")))
-    single = materialize(rest.select("doc_id", "text_key", "place", "n", F.inline(every)))
-    twice = materialize(single.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window"))
-    more = single.filter("n = 1").join(twice, "window")
-    return found.unionByName(more.select("doc_id", "text_key", (F.col("place") + F.col("i")).alias("at"), F.lit(1).alias("windows")))
-
-
-def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOST) -> DataFrame:
+    kind = ["place", "windows", "gap", "content"]
+    refs = [F.first(name).alias(name) for name in ("doc_id", "text_key", "at", "raw")]
+    folded = materialize(blocks.groupBy(*kind).agg(F.sum("n").alias("n"), *refs))
+    copied = blocks.filter("n = 1").join(folded.filter("n > 1").select(*kind), kind)
+    return folded, copied.select("doc_id", "text_key", "at", "windows")
+
+
+def _decided(segments: DataFrame, size: int, most: int) -> DataFrame:
+    """Runs of repeated windows of the segments that occur once (``n`` = 1), by sorting.
+
+    The segments of a place are sorted together if they have at most ``most`` bytes. Those of a larger
+    place are split into blocks, whose places are the bytes that all windows of a block hold, and so on
+    with smaller blocks. A block of one window shares its place with none but its copies,
+    which are folded, so every place gets down to what one task can sort.
+    """
+    found = []
+    for step in [*(s for s in STEPS if s <= size), None]:
+        sizes = segments.groupBy("place").agg(
+            F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum(F.octet_length("raw")).alias("bytes")
+        )
+        open_ = materialize(sizes.filter("kinds > 1 and least = 1"))
+        small, large = (open_.filter(f"bytes {sign} {most}").select("place") for sign in ("<=", ">"))
+        found.append(_sorted_shards(segments.join(small, "place"), size))
+        if step is None or large.isEmpty():
+            break
+        segments, copied = _split(segments.join(large, "place"), size, step)
+        found.append(copied)
+    return reduce(DataFrame.unionByName, found)
+
+
+def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = SHARD) -> DataFrame:
     """Runs of windows (``doc_id``, ``text_key``, ``at``, ``windows``) that occur more than once."""
     every = materialize(all_units(docs, size, gram))
     counted = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
@@ -328,11 +357,11 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOS
     open_ = materialize(
         contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
     )
-    wanted = contents.join(open_, "anchor")
+    wanted = contents.join(open_.select("anchor"), "anchor")
     listed = wanted.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("anchor", "at", "windows", "gap", "n", "kinds")).alias("units")
+        F.collect_list(F.struct("anchor", "at", "windows", "gap", "n")).alias("units")
     )
-    texts = docs.select("doc_id", F.xxhash64(whole("text")).alias("text_key"), whole("text").cast("binary").alias("raw"))
+    texts = docs.select("doc_id", text_key(whole("text")), whole("text").cast("binary").alias("raw"))
     # A repeated row holds the same segments; the first of them is enough.
     cut = let(
         F.col("raw"),
@@ -341,13 +370,12 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOS
         ),
     )
     met = join_same(texts, listed.hint("shuffle_hash"), ["doc_id", "text_key"], "inner")
-    segments = materialize(met.select("doc_id", "text_key", F.inline(cut)).dropDuplicates(["doc_id", "text_key", "at"]))
-    sorted_runs = _sorted_shards(segments.filter(F.col("kinds") <= most), size)
-    counted_runs = _block_by_block(segments.filter(F.col("kinds") > most), size)
-    return whole_units.unionByName(sorted_runs).unionByName(counted_runs)
+    segments = met.select("doc_id", "text_key", F.inline(cut)).dropDuplicates(["doc_id", "text_key", "at"])
+    placed = materialize(segments.withColumn("place", F.encode(F.col("anchor").cast("string"), "utf-8")).drop("anchor"))
+    return whole_units.unionByName(_decided(placed, size, most))
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = MOST) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = SHARD) -> DataFrame:
     """Every row of ``docs`` without the bytes that a repeated string of ``size`` bytes covers.
 
     Returns ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs), ``kept_sha256`` and ``kept``
@@ -359,7 +387,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: i
         F.collect_list("at").alias("starts"), F.collect_list("windows").alias("counts")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.xxhash64(whole("text")).alias("text_key"), whole("text").cast("binary").alias("raw"))
+    texts = docs.select("doc_id", text_key(whole("text")), whole("text").cast("binary").alias("raw"))
     joined = join_same(texts, marks.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "raw", "starts", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
