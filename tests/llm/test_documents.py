@@ -20,7 +20,6 @@ from varve.llm.quality import keep_good, quality
 from varve.llm.queries import MODEL
 from varve.llm.secrets import scan
 from varve.llm.simhash import drop_near, near_groups, near_in_shard, shards
-from varve.llm.similar import drop_similar
 from varve.llm.suffixes import repeated, two_stage, without_repeats
 from varve.llm.toxicity import Field, marginals, toxicity
 
@@ -113,6 +112,26 @@ def test_ownership_tells_live_keys_from_examples(spark):
     assert got[14] == "example:0:16" and got[16] == "example:0:16,example:19:35"
 
 
+def test_base_values_have_verdicts(spark):
+    rows = [(1, "password=hunter7", "en", "a"), (2, "token: abcdefgh", "en", "a"), (3, "api_key = ab.cd.ef.gh.ij", "en", "b")]
+    rows += [(4, "AKIA" + "ABCDEFGHIJKLMNOP", "en", "b"), (5, "0" * 30, "en", "c"), (6, "secret=changeme", "en", "c")]
+    rows += [(10 + i, "passwd=letmein1", "en", f"s{i}") for i in range(3)]
+    got = {r["doc_id"]: r["spans"] for r in secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1] == "assign:0:16,live:9:16" and got[2] == "assign:0:15,live:7:15"
+    assert got[3] == "assign:0:24,live:10:24" and got[4] == "access:0:20,live:0:20"
+    assert got[5] == "hex:0:30" and got[6] == "assign:0:15"
+    assert all(got[10 + i] == "assign:0:15,example:7:15" for i in range(3))
+
+
+@pytest.mark.parametrize("n", [127, 128, 129, 1000, 64000])
+def test_many_matches_in_one_text(spark, n):
+    text = "".join(f"ü token={i:08d} " for i in range(n))
+    row = secrets(spark.createDataFrame([(1, text, "en", "a")], "doc_id long, text string, lang string, source string")).first()
+    spans = plain_spans(text)
+    joined = ",".join(f"assign:{a}:{b}" for a, _, b in spans)
+    assert row["n_assign"] == n and row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+
+
 # mixing
 
 
@@ -247,13 +266,41 @@ def plain_repeats(docs, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [0, 3, 400])
+@pytest.mark.parametrize("most", [0, 3, 400, 3000, 1 << 19])
 def test_repeated_passages(given, hard, empty, most):
     for docs, size, gram in ((given, 400, 64), (given, 60, 16), (hard, 7, 3), (empty, 400, 64)):
         raw = [(i, t.encode()) for i, t in pairs(docs)]
         assert rows_of(without_repeats(docs, size, gram, most).drop("kept")) == plain_repeats(raw, size)
 
 
+def test_no_byte_goes_by_a_hash_alone(spark):
+    """Strings of a pattern and its mirror, whose polynomial hashes modulo 2**64 are equal, are not equal."""
+    pattern = "a"
+    while len(pattern) < 256:
+        pattern += pattern.translate(str.maketrans("ab", "ba"))
+    mirror = pattern.translate(str.maketrans("ab", "ba"))
+    rng, rows = np.random.default_rng(6), []
+    for k in range(12):
+        middle = "".join(map(chr, rng.integers(33, 127, 128)))
+        rows += [(2 * k, pattern + middle + mirror), (2 * k + 1, mirror + middle + pattern)]
+    rows += [(100, "x" + rows[0][1]), (101, pattern + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(without_repeats(docs).drop("kept"))
+    assert got == plain_repeats([(i, t.encode()) for i, t in rows], 400)
+    assert {r[0]: r[2] for r in got} == {i: 640 * (i in (0, 100)) for i, _ in rows}
+
+
+def test_a_common_passage_in_many_surroundings(spark):
+    """Groups too large for one task are split into ever smaller blocks of windows."""
+    rng = np.random.default_rng(7)
+    some = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = some(58)
+    rows = [(i, some(int(rng.integers(0, 30))) + passage[: 40 + i % 19] + some(int(rng.integers(0, 30)))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(without_repeats(docs, 50, 12, 500).drop("kept")) == plain_repeats([(i, t.encode()) for i, t in rows], 50)
+
+
 def test_suffixes_are_sorted():
     rng = np.random.default_rng(2)
     for _ in range(60):
@@ -350,57 +397,3 @@ def test_no_shard_stays_crowded(spark):
     assert max(map(len, members.values())) <= 200 and set.union(*members.values()) == set(ball)
     together = {(a, b) for own in members.values() for a in own for b in own if a < b and (a ^ b).bit_count() <= 4}
     assert together == {(a, b) for a in ball for b in ball if a < b and (a ^ b).bit_count() <= 4}
-
-
-# similar texts
-
-
-def plain_similar(docs, words=5, similar=0.8):
-    """The component of each row, by comparing all pairs of sets."""
-    sets = []
-    for _, t in docs:
-        w = t.encode().lower().split()
-        sets.append(frozenset(b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
-    above = list(range(len(docs)))
-
-    def root(p):
-        while above[p] != p:
-            p = above[p]
-        return p
-
-    for p, a in enumerate(sets):
-        for q in range(p):
-            if a == sets[q] or len(a & sets[q]) >= similar * len(a | sets[q]) > 0:
-                above[root(p)] = root(q)
-    ids = defaultdict(list)
-    for p, (i, _) in enumerate(docs):
-        ids[root(p)].append(i)
-    return {smallest(own) for own in ids.values()}
-
-
-@pytest.fixture(scope="module")
-def edited(spark):
-    """Copies of texts with single words replaced: similarities from 0.5 to 1; one text with many copies."""
-    rng = np.random.default_rng(11)
-    rows = []
-    for k in range(60):
-        text = [f"w{x}" for x in rng.integers(0, 5000, 200)]
-        rows.append((len(rows), " ".join(text)))
-        for n in [int(x) for x in rng.integers(1, 12, 40 if k == 0 else 3)]:
-            copy = list(text)
-            for at in rng.choice(200, n, replace=False):
-                copy[at] = "edited"
-            rows.append((len(rows), " ".join(copy)))
-    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-
-
-def test_texts_of_similarity_from_four_fifths_are_dropped(spark, given, hard, empty, edited):
-    for docs in (edited, given, hard, empty):
-        kept = drop_similar(docs)
-        assert kept.columns == docs.columns
-        assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted(plain_similar(pairs(docs)), key=repr)
-
-
-def test_pipeline_drops_edited_copies(spark, edited):
-    kept = corpus_pipeline.distinct_fingerprints(spark, edited, "")
-    assert {r["doc_id"] for r in kept.collect()} == plain_similar(pairs(edited))

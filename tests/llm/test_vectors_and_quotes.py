@@ -69,6 +69,21 @@ def test_ids_with_many_vectors(spark):
     assert sorted(best.heap) == [(5, -3), (9, -2)]
 
 
+def test_many_vector_lengths_are_searched_without_a_broadcast(spark, monkeypatch):
+    import varve.shared
+
+    monkeypatch.setattr(varve.shared, "fits_broadcast", lambda *args: False)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 1 + i % 40)]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = []
+    for q, v in rows[::50]:
+        scores = [(-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v)]
+        expected += [(q, rank + 1, i, -score) for rank, (score, i) in enumerate(sorted(scores)[:5])]
+    got = top_k(table, F.col("vec_id") % 50 == 0, 5, "embedding", 4, 2, 3)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+
+
 MAIL = [
     (1, 0, "First  line\nsecond line"),
     (1, 1, "> first line\n> Second line\nI agree"),
