@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,14 +8,17 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from varve import shared
-from varve.operators import lowess_blocks
+from varve.operators import chains, lowess_blocks
 from varve.operators.lowess import lowess
 from varve.operators.tricube import moments, node_sums, pair_sums
 from varve.operators.tricube import smooth as smooth_places
 
 
-def one_by_one(x, y, frac=0.2, it=3):
-    """The definition, target after target, with a window that slides along the sorted series."""
+def one_by_one(x, y, frac=0.2, it=3, delta=0.0):
+    """The definition, target after target, with a window that slides along the sorted series.
+
+    With ``delta``, targets follow each other in jumps, and what they pass over lies on lines.
+    """
     order = np.lexsort((y, x))
     xs, ys, n = x[order], y[order], len(x)
     k = min(max(int(frac * n + 1e-10), 2), n)
@@ -40,6 +45,14 @@ def one_by_one(x, y, frac=0.2, it=3):
             middle = (w * wx).sum()
             spread = max((w * (wx - middle) ** 2).sum(), 1e-12)
             fit[i] = (w * (1 + (xs[i] - middle) * (wx - middle) / spread) * wy).sum()
+        last = xs[0]
+        while delta > 0 and last < xs[-1]:
+            within, beyond = xs[(xs > last) & (xs <= last + delta)], xs[xs > last]
+            to = within[-1] if len(within) else beyond[0]
+            ends = [fit[np.flatnonzero(xs == place)[0]] for place in (last, to)]
+            passed = (xs > last) & (xs < to)
+            fit[passed] = ends[0] + (xs[passed] - last) / (to - last) * (ends[1] - ends[0])
+            last = to
         if again < it:
             rest = np.abs(ys - fit)
             median = np.median(rest)
@@ -50,8 +63,8 @@ def one_by_one(x, y, frac=0.2, it=3):
     return out
 
 
-def smooth(x, y, frac, it):
-    places, fit = smooth_places(x, y, np.ones(len(x), int), frac, it)
+def smooth(x, y, frac, it, delta=0.0):
+    places, fit = smooth_places(x, y, np.ones(len(x), int), frac, it, delta)
     return fit[np.searchsorted(places, x)]
 
 
@@ -80,6 +93,14 @@ def test_smooth_follows_the_definition(kind, n, frac):
     assert smooth(x, y, frac, 3) == pytest.approx(one_by_one(x, y, frac), rel=1e-8, abs=1e-8)
 
 
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("share", [0.0, 0.001, 0.03, 0.3, 2.0])
+def test_jumps_within_one_task(kind, share):
+    x, y = series(kind, 300)
+    delta = share * np.ptp(x)
+    assert smooth(x, y, 0.2, 3, delta) == pytest.approx(one_by_one(x, y, 0.2, 3, delta), rel=1e-8, abs=1e-8)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(12, 120), st.floats(-5, 5), st.floats(-50, 50), st.integers(0, 1000))
 def test_a_straight_line_stays(n, slope, start, seed):
@@ -129,9 +150,42 @@ def test_blocks_and_nodes_give_the_same_fits(spark, monkeypatch):
         assert part.lowess.values == pytest.approx(one_by_one(part.x.values, part.y.values), rel=1e-8, abs=1e-8), kind
 
 
+@pytest.mark.parametrize("share", [0.004, 0.1])
+def test_jumps_along_one_long_and_many_short_series(spark, monkeypatch, share):
+    # Spans of 8 points: the long series takes many rounds of doubled jumps, with and without points passed over.
+    monkeypatch.setattr(lowess_blocks.fits_of_long_series, "__defaults__", (8,))
+    monkeypatch.setattr(chains.chosen_of_series, "__defaults__", (1,))
+    rng = np.random.default_rng(8)
+    short = pd.DataFrame({"g": rng.integers(0, 12, 400).astype(str), "x": rng.uniform(0, 100, 400).round(1), "y": rng.normal(size=400)})
+    frame = pd.concat([frame_of(["even", "heavy tie"], 250), short], ignore_index=True)
+    delta = 100 * share
+    out = lowess(spark.createDataFrame(frame), "x", "y", by=["g"], frac=0.6, it=1, delta=delta).toPandas()
+    assert len(out) == len(frame)
+    for g, part in out.groupby("g"):
+        wanted = one_by_one(part.x.values, part.y.values, 0.6, 1, delta)
+        assert part.lowess.values == pytest.approx(wanted, rel=1e-8, abs=1e-8), g
+
+
+def test_jumps_of_an_empty_table_and_below_zero(spark):
+    df = spark.createDataFrame([], "x int, y double")
+    assert lowess(df, "x", "y", delta=1.0).collect() == []
+    with pytest.raises(ValueError):
+        lowess(df, "x", "y", delta=-1.0)
+
+
+def test_fewer_than_sixteen_writes_and_one_table_left(spark, monkeypatch, tmp_path):
+    written = []
+    path = lambda session, name="table": written.append(str(tmp_path / f"{len(written)}")) or written[-1]
+    monkeypatch.setattr(shared, "scratch_path", path)
+    df = spark.createDataFrame(frame_of(["even"], 60))
+    out = lowess(df, "x", "y", by=["g"])
+    assert len(written) <= 15 and os.listdir(tmp_path) == [os.path.basename(written[-1])]
+    assert out.count() == 60
+
+
 def test_joins_without_broadcast_give_the_same_fits(spark, monkeypatch):
     monkeypatch.setattr(lowess_blocks.fits_of_long_series, "__defaults__", (16,))
-    monkeypatch.setattr(shared.lookup_join, "__defaults__", ("inner", 0))
+    monkeypatch.setattr(lowess_blocks, "BROADCAST_ROWS", 0)
     frame = frame_of(["heavy tie"], 300)
     out = lowess(spark.createDataFrame(frame), "x", "y", by=["g"], it=1).toPandas()
     assert out.lowess.values == pytest.approx(one_by_one(out.x.values, out.y.values, it=1), rel=1e-8, abs=1e-8)

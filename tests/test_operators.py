@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,9 +10,9 @@ from pyspark.sql import functions as F
 from varve.operators.columns import add_year_month, drop, keep, rename, sanitize_names
 from varve.operators.combine import count_by, join_on, mean_by
 from varve.operators.rows import distinct_rows, first_per_key, in_box, in_list, not_all_null, share_over
-from varve.operators.running import exact_median, running
+from varve.operators.running import exact_median, ordered_image, running
 from varve.plans.gold import change_on_previous, correlations, ranked
-from varve.shared import fits_broadcast, lookup_join, materialize
+from varve.shared import fits_broadcast, lookup_join, materialize, removed_after
 
 quick = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -160,6 +162,45 @@ def test_exact_median(spark):
         assert out[g] == pytest.approx(np.median(np.repeat(part.v, part.c)), abs=1e-15)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_exact_median_of_awkward_numbers(spark, few):
+    rng = np.random.default_rng(5)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 1 - 2**-53, 1 + 2**-52, 1e308, -1e308, 2.0**-1022, 8.0]
+    groups = {0: odd, 1: [3.0], 2: [1.0, 2.0], 3: rng.lognormal(0, 200, 401).tolist(), 4: (-rng.lognormal(0, 3, 400)).tolist(), 5: [7.5] * 10}
+    groups[6] = [float("inf")] * 3 + [1.0]
+    df = spark.createDataFrame([(g, v, 1) for g, values in groups.items() for v in values], "g int, v double, c int")
+    out = {r.g: r["median"] for r in exact_median(df, "g", "v", "c", few=few).collect()}
+    assert out == {g: np.median(values) for g, values in groups.items()}
+
+
+def test_images_keep_the_order_of_doubles(spark):
+    rng = np.random.default_rng(6)
+    bits = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 4000), np.arange(-50, 50) + (1023 << 52), np.arange(50), [1 << 52, (1 << 52) - 1]])
+    values = bits.astype(np.int64).view(np.float64)
+    values = np.unique(values[np.isfinite(values)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", ordered_image(F.col("v")).alias("i"))
+    images = [r.i for r in sorted(df.collect(), key=lambda r: r.v)]
+    assert all(a < b for a, b in zip(images, images[1:]))
+
+
+def test_running_minima_from_each_row_on(spark):
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame({"g": rng.integers(0, 2, 500), "x": rng.permutation(500), "v": rng.normal(size=500)})
+    out = running(spark.createDataFrame(frame), ["g"], ["x"], lows={"low": "v"}).toPandas().sort_values(["g", "x"])
+    wanted = frame.sort_values(["g", "x"]).iloc[::-1].groupby("g").v.cummin().iloc[::-1]
+    assert out.low.tolist() == wanted.tolist()
+
+
+def test_stored_tables_go_at_the_end_of_a_block(spark):
+    def place(df):
+        return df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+
+    with pytest.raises(KeyError), removed_after(spark):
+        gone, stays = place(materialize(spark.range(3))), place(materialize(spark.range(3), outlast=True))
+        raise KeyError
+    assert not os.path.exists(gone) and os.path.exists(stays) and os.path.exists(place(materialize(spark.range(3))))
+
+
 def test_materialize_keeps_rows_and_types(spark):
     df = spark.sql("SELECT 1 AS a, 'x' AS `b c`, CAST(NULL AS date) AS d, named_struct('e', 2) AS s")
     copy = materialize(df)

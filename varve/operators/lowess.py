@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varve.operators.lowess_blocks import fits_of_long_series
 from varve.operators.tricube import smooth
-from varve.shared import col, materialize
+from varve.shared import col, materialize, removed_after
 
 
 def lowess(
@@ -22,6 +22,7 @@ def lowess(
     it: int = 3,
     out: str = "lowess",
     spread: bool = True,
+    delta: float = 0.0,
 ) -> DataFrame:
     """Add ``out``, the smoothed ``y`` over ``x`` within each series named by ``by``.
 
@@ -30,12 +31,18 @@ def lowess(
     whose x or y is null or not finite take no part and get null; rows with equal x get one value,
     and a tie longer than the neighbourhood counts whole, whatever the order of its rows.
 
+    With ``delta`` above 0, lines are fitted at chosen points only, and the values between two of
+    them lie on the straight line that joins theirs. The first point of a series is chosen, and
+    after a chosen point the last one within ``delta`` of it, or else the next one.
+
     Series of any length are spread over the cluster, block by block. Where every series is known
     to be short, such as one value a month, ``spread=False`` smooths each within one task: the same
     values without the fixed cost of the blocks. Only the distinct points are written to the
-    shared folder; ``df`` itself is evaluated twice, so materialize it first if it is expensive or
-    not deterministic.
+    shared folder, and removed again but for the fits; ``df`` itself is evaluated twice, so
+    materialize it first if it is expensive or not deterministic.
     """
+    if not delta >= 0:
+        raise ValueError(f"delta below 0: {delta}")
     if out.lower() in (name.lower() for name in df.columns):
         raise ValueError(f"column in use: {out}")
     series = F.struct(*map(col, by)) if by else F.struct(F.lit(0).alias("all"))
@@ -46,10 +53,12 @@ def lowess(
         col(y).cast("double").alias("_y"),
     )
     usable = _finite("_x") & _finite("_y")
-    points = materialize(
-        rows.filter(usable).groupBy("_s", F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.count("*").alias("copies"))
-    )
-    fits = fits_of_long_series(points, frac, it) if spread else materialize(_fits_of_short_series(points, frac, it))
+    points = rows.filter(usable).groupBy("_s", F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.count("*").alias("copies"))
+    if spread:
+        with removed_after(df.sparkSession):
+            fits = fits_of_long_series(materialize(points), frac, it, delta)
+    else:
+        fits = materialize(_fits_of_short_series(points, frac, it, delta))
     smoothed = rows.filter(usable).join(fits.withColumnRenamed("x", "_x"), ["_s", "_x"], "left")
     left_out = rows.filter(~usable).select("_row.*", F.lit(None).cast("double").alias(out))
     return smoothed.select("_row.*", F.col("fit").alias(out)).unionByName(left_out)
@@ -60,10 +69,10 @@ def _finite(name: str):
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
-def _fits_of_short_series(points: DataFrame, frac: float, it: int) -> DataFrame:
+def _fits_of_short_series(points: DataFrame, frac: float, it: int, delta: float) -> DataFrame:
     @F.pandas_udf("struct<x: array<double>, fit: array<double>>")
     def fits(x: pd.Series, y: pd.Series, copies: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([smooth(*arrays, frac, it) for arrays in zip(x, y, copies)], columns=["x", "fit"])
+        return pd.DataFrame([smooth(*arrays, frac, it, delta) for arrays in zip(x, y, copies)], columns=["x", "fit"])
 
     grouped = points.groupBy("_s").agg(F.collect_list(F.struct("x", "y", "copies")).alias("p"))
     fitted = grouped.select("_s", fits("p.x", "p.y", "p.copies").alias("f"))

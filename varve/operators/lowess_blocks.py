@@ -1,8 +1,9 @@
-"""LOWESS of series too long for one task.
+"""LOWESS of many series of any length, spread over the cluster.
 
 Equal rows count as one with a number of copies, and rows with equal x as one point with a weight,
 so a series has one point per distinct x.
-Points in order of x form blocks of at most ``BLOCK``. A fit needs, for each target, weighted sums
+Points in order of x form blocks of at most ``BLOCK``, and some blocks of a series, or those of many
+short series, form a pack, which one task fits at a time. A fit needs, for each target, weighted sums
 over its neighbourhood. Pairing every target with every neighbour would grow with the square of the
 length. Instead, each block of targets takes
 
@@ -11,8 +12,9 @@ length. Instead, each block of targets takes
   is one polynomial and the sums follow exactly from the power sums of the node.
 
 So a block of targets meets a few blocks and a number of nodes that grows with the logarithm of the
-length. All of this is joins and grouped sums between tables of blocks and nodes; no step holds a
-series, or an unbounded part of one, in a task.
+length. Which pack needs which blocks and nodes depends on x alone and is written down once; each
+pass then sends every block and node once to every pack that needs it, and a task works through
+what its packs get as a stream. No step holds a series, or an unbounded part of one, in a task.
 """
 
 from __future__ import annotations
@@ -23,30 +25,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varve.operators.running import exact_median, running
-from varve.operators.tricube import FAR, FLAT, LEAST_SPREAD, NEAR, POWERS, moments, node_sums, pair_sums
-from varve.shared import lookup_join, materialize
+from varve.operators.chains import chosen_of_series
+from varve.operators.running import exact_median, ordered_image, running
+from varve.operators.tricube import FAR, NEAR, POWERS, fitted, moments, node_sums, pair_sums
+from varve.shared import BROADCAST_BYTES, BROADCAST_ROWS, materialize, removed_after
 
 BLOCK = 256
 FANOUT = 8
-NEAR_BLOCKS = 32
+PACK = 16
+HELD = 2048
 SERIES = "_s"
+PLACE = [SERIES, "block"]
+POINT = [SERIES, "x"]
+# Kinds of rows that a pack gets: its targets, blocks met point by point, nodes met as a whole.
+TARGETS, NEAR_BLOCK, WHOLE_NODE = 0, 1, 2
+# Sides in the lists of meetings beside -1, 0 and 1 of whole nodes.
+BY_POINTS, GEOMETRY = 2, 3
 
 
-def fits_of_long_series(points: DataFrame, frac: float, it: int, block: int = BLOCK) -> DataFrame:
+def fits_of_long_series(points: DataFrame, frac: float, it: int, delta: float, block: int = BLOCK) -> DataFrame:
     """``_s, x, fit`` for a materialized table ``_s, x, y, copies`` of distinct points."""
-    places = _places(points, frac, block)
-    plan = _Plan(places)
-    at_place = [SERIES, "x"]
-    placed = materialize(lookup_join(points, places.select(SERIES, "x", "block"), at_place))
-    weighted = placed.withColumn("robust", F.lit(1.0))
-    for again in range(it + 1):
-        fits = materialize(plan.fit(weighted))
-        if again < it:
-            rest = lookup_join(placed, fits, at_place).withColumn("rest", F.abs(F.col("y") - F.col("fit"))).drop("fit")
-            middle = materialize(exact_median(rest, SERIES, "rest", "copies"))
-            weighted = lookup_join(rest, middle, [SERIES]).withColumn("robust", _bisquare())
-    return fits
+    with removed_after(points.sparkSession):
+        ranked = _ranked(points, frac, block)
+        places, between = _with_radii(ranked), None
+        if delta > 0:
+            between = chosen_of_series(ranked, delta, SERIES)
+            chosen = between.select(*POINT, (F.col("x") == F.col("low")).alias("chosen"))
+            places = places.join(chosen, POINT)
+            points = materialize(points.join(between, POINT).join(ranked.select(*POINT, "block"), POINT))
+        plan = _Plan(places if between is not None else places.withColumn("chosen", F.lit(True)))
+        blocks = plan.blocks
+        for _ in range(it):
+            rest = F.abs(F.col("y") - F.col("fit"))
+            fits = _at_points(points, plan.fit(blocks), between)
+            rests = fits.select(*POINT, "block", "y", "copies", rest.alias("rest"))
+            rests = materialize(rests.withColumn("image", ordered_image(F.col("rest"))))
+            blocks = materialize(_reweighted(rests, plan.few_series))
+        fits = plan.fit(blocks).drop("block")
+        if between is not None:
+            fits = _at_points(between, fits, between)
+        return materialize(fits.select(*POINT, "fit"), outlast=True)
+
+
+def _at_points(points: DataFrame, fits: DataFrame, between: DataFrame | None) -> DataFrame:
+    """Add the fit at x: that of the chosen point there, or on the line between two chosen ones."""
+    if between is None:
+        return points.join(fits, POINT)
+    fits = materialize(fits)
+    at = {name: fits.select(SERIES, F.col("x").alias(name), F.col("fit").alias(f"{name}_fit")) for name in ("low", "high")}
+    share = F.when(F.col("high") > F.col("low"), (F.col("x") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    line = F.col("low_fit") + share * (F.col("high_fit") - F.col("low_fit"))
+    joined = points.join(at["low"], [SERIES, "low"]).join(at["high"], [SERIES, "high"])
+    return joined.withColumn("fit", line).drop("low_fit", "high_fit")
+
+
+def _reweighted(rests: DataFrame, few_series: bool) -> DataFrame:
+    """Blocks with weights that discount rows far off the last fit, in terms of its median rest."""
+    middle = exact_median(rests, SERIES, "rest", "copies", few=few_series, image="image")
+    weight = _bisquare() * F.col("copies")
+    weighed = (
+        rests.join(F.broadcast(middle) if few_series else middle, SERIES)
+        .groupBy(*PLACE, "x")
+        .agg(F.sum(weight).alias("w"), F.sum(weight * F.col("y")).alias("wy"))
+    )
+    listed = weighed.groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("x", "w", "wy"))).alias("p"))
+    return listed.select(*PLACE, F.col("p.x").alias("px"), "p.w", "p.wy")
 
 
 def _bisquare() -> Column:
@@ -55,39 +98,21 @@ def _bisquare() -> Column:
     return F.when(ratio <= NEAR, 1.0).when(ratio >= FAR, 0.0).otherwise(F.pow(1 - ratio * ratio, F.lit(2)))
 
 
-def _holding(queries: DataFrame, points: DataFrame, tie: str) -> DataFrame:
-    """Add to each query the point (``start, x, count``) that holds the rank ``rank``."""
-    point = F.struct("start", "x", "count")
-    extra = [name for name in queries.columns if name not in (SERIES, "rank", tie)]
-    types = dict(queries.dtypes)
-    listed = points.select(
-        SERIES,
-        F.col("start").alias("rank"),
-        F.lit(0).alias("kind"),
-        F.lit(0.0).alias(tie),
-        *(F.lit(None).cast(types[name]).alias(name) for name in extra),
-        point.alias("point"),
-    )
-    asked = queries.withColumns({"kind": F.lit(1), "point": F.lit(None).cast(dict(listed.dtypes)["point"])})
-    found = running(
-        listed.unionByName(asked), [SERIES], ["rank", "kind", tie, *(["which"] if "which" in extra else [])],
-        tops={"holder": "point"},
-    )
-    return found.filter(F.col("kind") == 1).drop("kind", "point")
-
-
-def _places(points: DataFrame, frac: float, block: int) -> DataFrame:
-    """Distinct x of each series with rank, block and the radius of the neighbourhood."""
-    distinct = points.groupBy(SERIES, "x").agg(
-        F.sum("copies").alias("count"), F.min("y").alias("own_y"), F.lit(1).alias("one")
+def _ranked(points: DataFrame, frac: float, block: int) -> DataFrame:
+    """Distinct x of each series with rank, block and the size ``k`` of a neighbourhood."""
+    distinct = points.groupBy(*POINT).agg(
+        F.sum("copies").alias("count"),
+        F.sum(F.col("copies") * F.col("y")).alias("wy"),
+        F.min("y").alias("own_y"),
+        F.lit(1).alias("one"),
     )
     ranked = running(distinct, [SERIES], ["x"], sums={"upto": "count", "place": "one"}, whole={"n": "upto"})
     k = F.least(F.greatest(F.floor(F.lit(frac) * F.col("n") + 1e-10), F.lit(2)), F.col("n"))
-    ranked = materialize(
+    return materialize(
         ranked.select(
-            SERIES,
-            "x",
+            *POINT,
             "count",
+            "wy",
             "own_y",
             "n",
             k.alias("k"),
@@ -95,76 +120,84 @@ def _places(points: DataFrame, frac: float, block: int) -> DataFrame:
             F.expr(f"(place - 1) div {block}").alias("block"),
         )
     )
-    # A neighbourhood moves past rank l when the target exceeds the middle of the values at ranks l
-    # and l + k. These middles change only where l or l + k enters another point.
-    last = F.col("n") - F.col("k") - 1
-    kept = [SERIES, "x", "start", "count", "k"]
-    asked = ranked.filter(F.col("start") <= last).select(
-        *kept, (F.col("start") + F.col("k")).alias("rank"), F.lit(0).alias("which")
+
+
+def _with_radii(ranked: DataFrame) -> DataFrame:
+    """Add the radius of the neighbourhood of each x: the distance of its k-th nearest row.
+
+    The neighbourhood that begins at rank l is left behind by targets beyond the middle of the
+    values at ranks l and l + k. Both values are constant over stretches of ranks; a stretch begins
+    where either one enters another point. In order of the middles, a target lies between the last
+    stretch it has left behind, whose right value ends its neighbourhood, and the first it has not,
+    whose left value begins it.
+    """
+    end = F.col("n") - F.col("k")
+    nothing = F.lit(None).cast("double")
+    changes = ranked.select(SERIES, F.col("start").alias("rank"), F.lit(0).alias("kind"), F.col("x").alias("left"), nothing.alias("right"))
+    changes = changes.unionByName(
+        ranked.select(SERIES, (F.col("start") - F.col("k")).alias("rank"), F.lit(1).alias("kind"), nothing.alias("left"), F.col("x").alias("right"))
     ).unionByName(
-        ranked.filter(F.col("start") >= F.col("k")).select(
-            *kept, (F.col("start") - F.col("k")).alias("rank"), F.lit(1).alias("which")
+        ranked.filter(F.col("start") + F.col("count") == F.col("n")).select(
+            SERIES, end.alias("rank"), F.lit(2).alias("kind"), nothing.alias("left"), F.lit(float("inf")).alias("right")
         )
     )
-    held = _holding(asked.withColumnRenamed("x", "at"), ranked, "at")
-    own_end, other_end = F.col("start") + F.col("count"), F.col("holder.start") + F.col("holder.count")
-    passed = F.when(F.col("which") == 0, F.least(own_end, other_end - F.col("k"))).otherwise(
-        F.least(other_end, own_end - F.col("k"))
-    )
-    middles = held.select(
-        SERIES,
-        ((F.col("at") + F.col("holder.x")) / 2).alias("value"),
-        F.lit(1).alias("kind"),
-        passed.alias("passed"),
-        F.lit(None).cast("double").alias("x"),
-        F.lit(None).cast("bigint").alias("k"),
-    )
-    targets = ranked.select(
-        SERIES, F.col("x").alias("value"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("passed"), "x", "k"
+    stretches = running(changes, [SERIES], ["rank", "kind"], tops={"begin": "left", "end": "right"})
+    middle = F.when(F.col("begin").isNull(), float("-inf")).otherwise((F.col("begin") + F.col("end")) / 2)
+    kept = ["block", "own_y", "count", "wy"]
+    types = dict(ranked.dtypes)
+    events = stretches.select(
+        SERIES, middle.alias("x"), F.lit(1).alias("kind"), "begin", "end", *(F.lit(None).cast(types[name]).alias(name) for name in kept)
     )
-    lefts = (
-        running(middles.unionByName(targets), [SERIES], ["value", "kind", "passed"], tops={"left": "passed"})
-        .filter(F.col("kind") == 0)
-        .select(SERIES, "x", "k", F.coalesce("left", F.lit(0)).alias("left"))
-    )
-    ends = lefts.select(
-        SERIES, F.col("x").alias("at"), F.explode(F.array(F.col("left"), F.col("left") + F.col("k") - 1)).alias("rank")
-    )
-    reached = _holding(ends, ranked, "at")
-    radii = reached.groupBy(SERIES, F.col("at").alias("x")).agg(
-        F.max(F.abs(F.col("holder.x") - F.col("at"))).alias("radius")
-    )
-    return materialize(ranked.select(SERIES, "x", "own_y", "block").join(radii, on=[SERIES, "x"]))
+    targets = ranked.select(*POINT, F.lit(0).alias("kind"), nothing.alias("begin"), nothing.alias("end"), *kept)
+    found = running(events.unionByName(targets), [SERIES], ["x", "kind"], tops={"right": "end"}, lows={"left": "begin"})
+    radius = F.greatest(F.col("x") - F.col("left"), F.col("right") - F.col("x"))
+    return found.filter(F.col("kind") == 0).select(*POINT, radius.alias("radius"), *kept)
 
 
 class _Plan:
-    """Which blocks and nodes each block of targets takes: a matter of x alone, so settled once."""
+    """Which blocks and nodes each pack of targets takes: a matter of x alone, so settled once."""
 
     def __init__(self, places: DataFrame):
-        members = F.sort_array(F.collect_list(F.struct("x", "radius", "own_y"))).alias("t")
+        members = F.struct("x", "radius", "own_y", F.col("count").cast("double").alias("w"), "wy", "chosen")
         grouped = materialize(
-            places.groupBy(SERIES, "block").agg(members, F.min("x").alias("low"), F.max("x").alias("high"), *_boundaries())
+            places.groupBy(*PLACE)
+            .agg(F.sort_array(F.collect_list(members)).alias("t"), F.min("x").alias("low"), F.max("x").alias("high"), *_boundaries())
+            .withColumn("id", F.monotonically_increasing_id())
         )
-        self.targets = grouped.select(SERIES, "block", "t.x", "t.radius", "t.own_y")
-        blocks = grouped.drop("t")
-        most = blocks.agg(F.max("block")).first()[0] or 0
+        name = F.when(F.col("block") == 0, F.octet_length(F.to_json(SERIES)))
+        most, total, series, size = grouped.agg(F.max("block"), F.count("*"), F.count(name), F.sum(name)).first()
+        self.few_series = series <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
         self.levels = 1
-        while FANOUT**self.levels <= most:
+        while FANOUT**self.levels <= (most or 0):
             self.levels += 1
-        self.near, self.far = self._meetings(_with_ranges(blocks))
-        self.nodes = self._geometry(blocks)
-
-    def _meetings(self, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        between = [_ids(a, b) for a, b in (("first", "f0"), ("g0", "f1"), ("g1", "f2"), ("g2", "last"))]
-        near = ranges.select(
-            SERIES, F.col("block").alias("target"), F.posexplode(F.concat(*between)).alias("at", "block")
-        ).withColumn("part", F.expr(f"at div {NEAR_BLOCKS}"))
-        nodes = [self._cover(f"f{zone}", f"g{zone}", side) for zone, side in enumerate((-1, 0, 1))]
-        far = ranges.select(SERIES, F.col("block").alias("target"), F.explode(F.concat(*nodes)).alias("one"))
-        far = far.select(SERIES, "target", "one.*")
-        return materialize(near.drop("at")), materialize(far)
-
-    def _cover(self, start: str, end: str, side: int) -> Column:
+        bags = -(-total // PACK) or 1
+        self.pack = F.pmod(F.xxhash64(SERIES), F.lit(bags)) * F.lit(1 << 32) + F.expr(f"block div {PACK}")
+        self.blocks = grouped.select(*PLACE, F.col("t.x").alias("px"), "t.w", "t.wy")
+        chosen = F.filter("t", lambda one: one["chosen"])
+        self.targets = grouped.withColumn("t", chosen).filter(F.size("t") > 0).select(
+            self.pack.alias("pack"), F.lit(TARGETS).alias("kind"), *PLACE, F.array("id").alias("ids"), F.lit(0).alias("side"),
+            F.col("t.x").alias("a"), F.col("t.radius").alias("b"), F.col("t.own_y").alias("c"),
+        )
+        bounds = grouped.drop("t")
+        lists = materialize(self._meetings(_with_ranges(bounds)).unionByName(self._geometry(bounds)))
+        self.near = lists.filter(F.col("side") == BY_POINTS).select(SERIES, F.col("node").alias("block"), "pack", "ids")
+        self.far = lists.filter(F.col("side").between(-1, 1)).select(SERIES, "side", "level", "node", "pack", "ids")
+        self.above = lists.filter(F.col("side") == GEOMETRY).select(SERIES, F.col("node").alias("block"), "center", "half")
+
+    def _meetings(self, ranges: DataFrame) -> DataFrame:
+        """Per pack the blocks and nodes it takes, with the ids of the target blocks that meet them."""
+        between = [("first", "f0"), ("g0", "f1"), ("g1", "f2"), ("g2", "last")]
+        points = [_structs(BY_POINTS, 0, f"if({a} < {b}, sequence({a}, {b} - 1), array())") for a, b in between]
+        nodes = [piece for zone, side in enumerate((-1, 0, 1)) for piece in self._cover(f"f{zone}", f"g{zone}", side)]
+        met = F.explode(F.expr(f"concat({', '.join(points + nodes)})")).alias("one")
+        return (
+            ranges.select(SERIES, self.pack.alias("pack"), "id", met)
+            .groupBy(SERIES, "one.side", "one.level", "one.node", "pack")
+            .agg(F.collect_list("id").alias("ids"))
+            .withColumns({"center": F.lit(None).cast("array<double>"), "half": F.lit(None).cast("array<double>")})
+        )
+
+    def _cover(self, start: str, end: str, side: int) -> list[str]:
         """The fewest aligned nodes that make up blocks ``start`` to before ``end``."""
         pieces = []
         for level in range(self.levels):
@@ -178,15 +211,14 @@ class _Plan:
                 head = f"if({a} < {up_a} * {FANOUT}, sequence({a}, {up_a} * {FANOUT} - 1), array())"
                 tail = f"if({up_b} * {FANOUT} < {b}, sequence({up_b} * {FANOUT}, {b} - 1), array())"
                 ids = f"if({up_a} < {up_b}, concat({head}, {tail}), {whole})"
-            pieces.append(f"transform(cast({ids} as array<bigint>), n -> struct({side} as side, {level} as level, n as node))")
-        return F.expr(f"concat({', '.join(pieces)})")
+            pieces.append(_structs(side, level, ids))
+        return pieces
 
     def _geometry(self, blocks: DataFrame) -> DataFrame:
         """Per block the centers and half widths of the nodes above it, lowest level first."""
         levels = F.explode(F.sequence(F.lit(0), F.lit(self.levels - 1))).alias("level")
-        listed = blocks.select(SERIES, "block", "low", "high", levels)
-        listed = listed.withColumn("node", _node_above())
-        self.shapes = materialize(
+        listed = blocks.select(*PLACE, "low", "high", levels).withColumn("node", _node_above())
+        shapes = (
             listed.groupBy(SERIES, "level", "node")
             .agg(F.min("low").alias("low"), F.max("high").alias("high"))
             .select(
@@ -197,76 +229,128 @@ class _Plan:
                 F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / 2).otherwise(1.0).alias("half"),
             )
         )
-        above = lookup_join(
-            listed.select(SERIES, "block", "level", "node"), self.shapes, [SERIES, "level", "node"]
-        )
-        return materialize(
-            above.groupBy(SERIES, "block")
-            .agg(F.sort_array(F.collect_list(F.struct("level", "center", "half"))).alias("up"))
-            .select(SERIES, "block", "up.center", "up.half")
-        )
-
-    def fit(self, placed: DataFrame) -> DataFrame:
-        """Fitted value at every distinct x for rows ``_s, x, block, y, copies, robust``."""
-        weight = F.col("robust") * F.col("copies")
-        weighed = placed.groupBy(SERIES, "block", "x").agg(
-            F.sum(weight).alias("w"), F.sum(weight * F.col("y")).alias("wy")
-        )
-        blocks = materialize(
-            weighed.groupBy(SERIES, "block")
-            .agg(F.sort_array(F.collect_list(F.struct("x", "w", "wy"))).alias("p"))
-            .select(SERIES, "block", F.col("p.x").alias("px"), "p.w", "p.wy")
-        )
-        near = (
-            lookup_join(self.near, blocks, [SERIES, "block"])
-            .groupBy(SERIES, "target", "part")
-            .agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("px", "w", "wy")))
-        )
-        nodes = materialize(self._node_moments(blocks))
-        far = (
-            lookup_join(self.far, nodes, [SERIES, "level", "node"])
-            .groupBy(SERIES, "target")
-            .agg(
-                *(F.collect_list(c).alias(c) for c in ("side", "center", "half")),
-                F.flatten(F.collect_list("moments")).alias("moments"),
-            )
-        )
-        targets = self.targets.withColumnRenamed("block", "target")
-        meeting = [SERIES, "target"]
-        sums = near.join(targets, on=meeting).select(
-            SERIES, "x", "radius", "own_y", _near_sums("x", "radius", "px", "w", "wy").alias("sums")
-        ).unionByName(
-            far.join(targets, on=meeting).select(
-                SERIES, "x", "radius", "own_y", _far_sums("x", "radius", "side", "center", "half", "moments").alias("sums")
-            )
-        )
-        names = [f"s{i}" for i in range(5)]
-        rows = sums.select(
-            SERIES, F.explode(F.arrays_zip("x", "radius", "own_y", *(F.col(f"sums.{s}") for s in names))).alias("one")
-        ).select(SERIES, "one.*")
-        total = rows.groupBy(SERIES, "x").agg(
-            F.max("radius").alias("radius"), F.max("own_y").alias("own_y"), *(F.sum(s).alias(s) for s in names)
+        above = listed.select(*PLACE, "level", "node").join(shapes, [SERIES, "level", "node"])
+        listed = above.groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("level", "center", "half"))).alias("up"))
+        return listed.select(
+            SERIES, F.lit(GEOMETRY).alias("side"), F.lit(0).alias("level"), F.col("block").alias("node"),
+            F.lit(None).cast("bigint").alias("pack"), F.lit(None).cast("array<bigint>").alias("ids"), "up.center", "up.half",
+        )
+
+    def fit(self, blocks: DataFrame) -> DataFrame:
+        """``_s, block, x, fit`` at the chosen points, for weights ``w`` and weighted ``wy`` at ``px``."""
+        nothing = F.lit(None).cast(blocks.schema[SERIES].dataType).alias(SERIES)
+        none = F.lit(None).cast("bigint").alias("block")
+        near = self.near.join(blocks, PLACE).select(
+            "pack", F.lit(NEAR_BLOCK).alias("kind"), nothing, none, "ids", F.lit(0).alias("side"),
+            F.col("px").alias("a"), F.col("w").alias("b"), F.col("wy").alias("c"),
+        )
+        whole = self.far.join(self._node_moments(blocks), [SERIES, "level", "node"]).select(
+            "pack", F.lit(WHOLE_NODE).alias("kind"), nothing, none, "ids", "side",
+            F.col("moments").alias("a"), F.array("center", "half").alias("b"), F.array().cast("array<double>").alias("c"),
+        )
+        partitions = 2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sent = self.targets.unionByName(near).unionByName(whole).repartition(partitions, "pack")
+        doubles = T.ArrayType(T.DoubleType())
+        schema = T.StructType(
+            [blocks.schema[SERIES], blocks.schema["block"], T.StructField("x", doubles), T.StructField("fit", doubles)]
         )
-        return total.select(SERIES, "x", _line().alias("fit"))
+        fits = sent.sortWithinPartitions("pack", "kind").mapInArrow(_fit_packs, schema)
+        return fits.select(*PLACE, F.explode(F.arrays_zip("x", "fit")).alias("one")).select(*PLACE, "one.x", "one.fit")
 
     def _node_moments(self, blocks: DataFrame) -> DataFrame:
         """Power sums per node: those of its blocks about the node's center, added up."""
         length = 2 * POWERS
-        parts = blocks.join(self.nodes, on=[SERIES, "block"]).select(
-            SERIES, "block", F.posexplode(_block_moments("px", "w", "wy", "center", "half")).alias("level", "m")
-        )
+        moved = F.posexplode(_block_moments("px", "w", "wy", "center", "half")).alias("level", "m")
+        parts = blocks.join(self.above, PLACE).select(*PLACE, "center", "half", moved)
         summed = parts.groupBy(SERIES, "level", _node_above().alias("node")).agg(
-            *(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(length))
+            F.max(F.get("center", "level")).alias("center"),
+            F.max(F.get("half", "level")).alias("half"),
+            *(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(length)),
         )
-        listed = summed.select(SERIES, "level", "node", F.array(*(f"m{i}" for i in range(length))).alias("moments"))
-        return listed.join(self.shapes, on=[SERIES, "level", "node"])
+        return summed.select(SERIES, "level", "node", "center", "half", F.array(*(f"m{i}" for i in range(length))).alias("moments"))
+
+
+class _Targets:
+    """A block of targets and what it has met so far."""
+
+    def __init__(self, series, block, x, radius, own_y):
+        self.series, self.block, self.x, self.radius, self.own_y = series, block, x, radius, own_y
+        self.sums, self.near, self.held, self.nodes = np.zeros((5, len(x))), [], 0, []
+
+    def meet_points(self, *arrays):
+        self.near.append(arrays)
+        self.held += len(arrays[0])
+        if self.held >= HELD:
+            self._settle_points()
+
+    def meet_node(self, *node):
+        self.nodes.append(node)
+        if len(self.nodes) >= HELD:
+            self._settle_nodes()
+
+    def _settle_points(self):
+        if self.near:
+            self.sums += pair_sums(self.x, self.radius, *map(np.concatenate, zip(*self.near)))
+        self.near, self.held = [], 0
+
+    def _settle_nodes(self):
+        if self.nodes:
+            side, center, half, power_sums = map(np.array, zip(*self.nodes))
+            self.sums += node_sums(self.x, self.radius, side, center, half, power_sums)
+        self.nodes = []
+
+    def fit(self):
+        self._settle_points()
+        self._settle_nodes()
+        return fitted(self.sums, self.radius, self.own_y)
+
+
+def _fit_packs(batches):
+    """Fits of the packs whose rows come in order of pack and kind."""
+    import pyarrow as pa
+
+    def fits(targets):
+        doubles = pa.list_(pa.float64())
+        columns = [
+            pa.concat_arrays([one.series for one in targets]),
+            pa.array([one.block for one in targets], pa.int64()),
+            pa.array([one.x for one in targets], doubles),
+            pa.array([one.fit() for one in targets], doubles),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[SERIES, "block", "x", "fit"])
+
+    def lists(batch, name):
+        column = batch.column(name)
+        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        return lambda row: flat[offsets[row] : offsets[row + 1]]
+
+    now, targets = None, {}
+    for batch in batches:
+        packs, kinds, sides = (batch.column(name).to_numpy() for name in ("pack", "kind", "side"))
+        ids, a, b, c = (lists(batch, name) for name in ("ids", "a", "b", "c"))
+        for row in range(batch.num_rows):
+            if packs[row] != now:
+                if targets:
+                    yield fits(targets.values())
+                now, targets = packs[row], {}
+            if kinds[row] == TARGETS:
+                series, block = batch.column(SERIES).slice(row, 1), batch.column("block")[row].as_py()
+                targets[ids(row)[0]] = _Targets(series, block, a(row), b(row), c(row))
+            elif kinds[row] == NEAR_BLOCK:
+                for one in ids(row):
+                    targets[one].meet_points(a(row), b(row), c(row))
+            else:
+                for one in ids(row):
+                    targets[one].meet_node(sides[row], *b(row), a(row))
+    if targets:
+        yield fits(targets.values())
 
 
 def _boundaries() -> list[Column]:
-    """Least and greatest place, over a block of targets, of each change of the weight function."""
+    """Least and greatest place, over the chosen targets of a block, of each change of the weights."""
     columns = []
     for name, reach in (("a", -FAR), ("b", -NEAR), ("c", NEAR), ("d", FAR)):
-        place = F.col("x") + reach * F.col("radius")
+        place = F.when(F.col("chosen"), F.col("x") + reach * F.col("radius"))
         columns += [F.min(place).alias(f"{name}_low"), F.max(place).alias(f"{name}_high")]
     return columns
 
@@ -278,18 +362,18 @@ def _with_ranges(blocks: DataFrame) -> DataFrame:
     of all the targets; what remains of ``first..last`` is met point by point.
     """
     names = [f"{zone}_{end}" for zone in "abcd" for end in ("low", "high")]
-    asked = blocks.select(
-        SERIES,
-        "block",
+    asked = blocks.filter(F.col("a_low").isNotNull()).select(
+        *PLACE,
+        "id",
         F.explode(F.array(*(F.struct(F.lit(n).alias("which"), F.col(n).alias("value")) for n in names))).alias("one"),
-    ).select(SERIES, "one.value", F.lit(1).alias("kind"), "block", "one.which", F.lit(None).cast("bigint").alias("known"))
+    ).select(SERIES, "one.value", F.lit(1).alias("kind"), "block", "one.which", F.lit(None).cast("bigint").alias("known"), "id")
     known = blocks.select(
-        SERIES, F.col("low").alias("value"), F.lit(0).alias("kind"), "block", F.lit("").alias("which"), F.col("block").alias("known")
+        SERIES, F.col("low").alias("value"), F.lit(0).alias("kind"), "block", F.lit("").alias("which"), F.col("block").alias("known"), "id"
     )
     found = running(known.unionByName(asked), [SERIES], ["value", "kind", "block", "which"], tops={"at": "known"})
     found = found.filter(F.col("kind") == 1).withColumn("at", F.coalesce("at", F.lit(-1)))
-    ranges = found.groupBy(SERIES, "block").agg(
-        *(F.max(F.when(F.col("which") == name, F.col("at"))).alias(name) for name in names)
+    ranges = found.groupBy(*PLACE).agg(
+        F.max("id").alias("id"), *(F.max(F.when(F.col("which") == name, F.col("at"))).alias(name) for name in names)
     )
     starts = {f"f{i}": F.col(f"{zone}_high") + 1 for i, zone in enumerate("abc")}
     ends = {f"g{i}": F.greatest(F.col(f"{zone}_low"), F.col(f"f{i}")) for i, zone in enumerate("bcd")}
@@ -301,46 +385,11 @@ def _node_above() -> Column:
     return F.floor(F.col("block") / F.pow(F.lit(FANOUT), F.col("level"))).cast("bigint")
 
 
-def _ids(start: str, end: str) -> Column:
-    return F.expr(f"if({start} < {end}, sequence({start}, {end} - 1), cast(array() as array<bigint>))")
-
-
-def _line() -> Column:
-    total = F.col("s0")
-    mean, square, mean_y, cross = (F.try_divide(F.col(f"s{i}"), total) for i in (1, 2, 3, 4))
-    area = F.col("radius") * F.col("radius")
-    spread = square - mean * mean
-    slope = (cross - mean * mean_y) * area / F.greatest(spread * area, F.lit(LEAST_SPREAD))
-    fit = mean_y - mean * F.when(spread <= FLAT, 0.0).otherwise(slope)
-    return F.when(total > 0, fit).otherwise(F.col("own_y"))
-
-
-_DOUBLES = T.ArrayType(T.DoubleType())
-_SUMS = T.StructType([T.StructField(f"s{i}", _DOUBLES) for i in range(5)])
-
-
-def _as_frame(results: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({f"s{i}": [sums[i] for sums in results] for i in range(5)})
-
-
-@F.pandas_udf(_SUMS)
-def _near_sums(x: pd.Series, radius: pd.Series, px: pd.Series, w: pd.Series, wy: pd.Series) -> pd.DataFrame:
-    return _as_frame([pair_sums(*arrays) for arrays in zip(x, radius, px, w, wy)])
-
-
-@F.pandas_udf(_SUMS)
-def _far_sums(
-    x: pd.Series, radius: pd.Series, side: pd.Series, center: pd.Series, half: pd.Series, listed: pd.Series
-) -> pd.DataFrame:
-    return _as_frame(
-        [
-            node_sums(*arrays, flat.reshape(-1, 2 * POWERS))
-            for *arrays, flat in zip(x, radius, side, center, half, listed)
-        ]
-    )
+def _structs(side: int, level: int, ids: str) -> str:
+    return f"transform(cast({ids} as array<bigint>), n -> struct({side} as side, {level} as level, n as node))"
 
 
-@F.pandas_udf(T.ArrayType(_DOUBLES))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def _block_moments(px: pd.Series, w: pd.Series, wy: pd.Series, center: pd.Series, half: pd.Series) -> pd.Series:
     return pd.Series(
         [

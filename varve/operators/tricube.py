@@ -136,7 +136,15 @@ def all_sums(places, radius, weight, weight_y):
     return sums
 
 
-def smooth(x, y, copies, frac, passes):
+def chosen(places, delta):
+    """Where the line is fitted: the first place, and each last one within ``delta``, or next one, of it."""
+    at = [0]
+    while at[-1] < len(places) - 1:
+        at.append(max(at[-1] + 1, int(np.searchsorted(places, places[at[-1]] + delta, side="right")) - 1))
+    return np.array(at)
+
+
+def smooth(x, y, copies, frac, passes, delta=0.0):
     """Distinct x of one bounded series, in order, and the robust local regression at each."""
     x, y = np.repeat(x, copies), np.repeat(y, copies)
     places, group, counts = np.unique(x, return_inverse=True, return_counts=True)
@@ -147,10 +155,13 @@ def smooth(x, y, copies, frac, passes):
     ordered = np.repeat(places, counts)
     left = np.searchsorted((ordered[: n - k] + ordered[k:]) / 2, places, side="left")
     radius = np.maximum(places - ordered[left], ordered[left + k - 1] - places)
+    at = chosen(places, delta) if delta > 0 else None
     robust = np.ones(n)
     for again in range(passes + 1):
         weight, weight_y = np.bincount(group, robust), np.bincount(group, robust * y)
         fit = fitted(all_sums(places, radius, weight, weight_y), radius, own_y)
+        if delta > 0:
+            fit = np.interp(places, places[at], fit[at])
         if again < passes:
             rest = np.abs(y - fit[group])
             middle = np.median(rest)

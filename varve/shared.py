@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 
+_stored: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
 
 def col(name: str) -> Column:
     """The column of exactly that name, whatever dots or quotes it holds."""
@@ -39,17 +43,41 @@ def scratch_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_dir(spark)}/varve-{name}-{uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, outlast: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read instead of a recomputation, and values
-    that depend on how rows were placed in partitions stay as they were.
+    that depend on how rows were placed in partitions stay as they were. The table is removed at the
+    end of the ``removed_after`` block it is written in, or stays if that is to be ``outlast``-ed.
     """
     path = scratch_path(df.sparkSession)
+    stored = _stored.get()
+    if stored is not None and not outlast:
+        stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that the block materializes when it ends, also with an error."""
+    before = _stored.set([])
+    try:
+        yield
+    finally:
+        paths = _stored.get()
+        _stored.reset(before)
+        for path in paths:
+            files, place = file_system(spark, path)
+            files.delete(place, True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The store that holds ``path``, and the path as it names it."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` has at most ``rows`` rows, of at most ``size`` bytes together as JSON text."""
     widths = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("width")).limit(rows + 1)
