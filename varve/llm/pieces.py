@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import weakref
 from collections.abc import Iterator
 
 import ahocorasick
@@ -77,7 +78,9 @@ class Pieces:
         inner = lambda piece: SPACE in piece.lstrip(SPACE)
         # If no piece holds a space after another character, the best ways of words are independent.
         self.by_word = not any(inner(p) for p in self.table)
-        self.words = Words(lambda word: self.chunk(SPACE + word))
+        # No cycle: a worker frees the model of a task with the task, not at some later collection.
+        own = weakref.proxy(self)
+        self.words = Words(lambda word: own.chunk(SPACE + word))
 
     def chunk(self, text: str) -> bytes:
         """The best segmentation of escaped text, as int32 ids."""
