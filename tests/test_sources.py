@@ -1,10 +1,20 @@
+import csv
+import gzip
+import io
 import json
+import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varve.sources import tables
+from varve.sources.envelopes import _scan
+from varve.sources.quoted import read_quoted_csv
 from varve.sources.records import read_records
+from varve.sources.splits import cut
 from varve.sources.tables import expose, read_csv, read_table, save_as, write_csv, write_manifest, write_table
 from varve.sources.text import read_text_series, read_text_table
 
@@ -183,3 +193,196 @@ def test_manifest_lists_the_files_of_the_table(spark, tmp_path):
         assert len(listed) == parts
         assert spark.read.parquet(*listed).count() == rows
     assert read_table(spark, path).count() == 50
+
+
+@pytest.fixture
+def splits_of(spark):
+    """Sets the bytes of a split."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    yield lambda size: spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+AWKWARD = ["two\nlines", 'a "quoted" word', '"', '""\n""', "\n\n", "CR\r\nand LF", "ends in CR\r", ' " , \n" ', "plain", "é\n日本", "", None]
+
+
+@pytest.mark.parametrize("size", [17, 64, 10_000])
+def test_quoted_csv_in_splits_equals_the_read_by_one_task(spark, tmp_path, splits_of, size):
+    rows = [(f"{i}", AWKWARD[i % len(AWKWARD)], AWKWARD[(i * 5 + i // 12) % len(AWKWARD)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "`a b(1)` string, `x \"y\"` string, c string")
+    write_csv(df.coalesce(1), f"{tmp_path}/t")
+    whole = read_csv(spark, f"{tmp_path}/t", multiline=True)
+    splits_of(size)
+    split = read_quoted_csv(spark, f"{tmp_path}/t")
+    assert split.columns == whole.columns == df.columns
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(((a, b or None, c or None) for a, b, c in rows), key=str)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(*[st.text(alphabet='a",\n\r é', max_size=9)] * 2), max_size=12),
+    st.sampled_from(["\n", "\r\n"]),
+    st.booleans(),
+    st.integers(9, 40),
+)
+def test_quoted_csv_of_any_text(spark, tmp_path_factory, splits_of, rows, end, final, size):
+    text = io.StringIO(newline="")
+    csv.writer(text, lineterminator=end, quoting=csv.QUOTE_ALL).writerows([("k", "v"), *rows])
+    text = text.getvalue() if final else text.getvalue().removesuffix(end)
+    path = write(tmp_path_factory.mktemp("csv") / "a.csv", text)
+    splits_of(size)
+    found = read_quoted_csv(spark, path)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((a or None, b or None) for a, b in rows), key=str)
+
+
+def test_one_csv_file_is_read_by_many_tasks_and_records_cross_splits(spark, tmp_path, splits_of):
+    long = "\n".join(f'line {i} of "one" field' for i in range(300))
+    rows = [(str(i), long if i == 20 else f"text\n{i}") for i in range(60)]
+    for name, part in (("a", rows[:40]), ("b", rows[40:])):
+        write_csv(spark.createDataFrame(part, "k string, v string").coalesce(1), f"{tmp_path}/t/{name}")
+    splits_of(500)
+    lines = cut(spark, f"{tmp_path}/t/*", "\n")
+    assert lines.rdd.getNumPartitions() > 10
+    found = read_quoted_csv(spark, f"{tmp_path}/t/*")
+    assert sorted(map(tuple, found.collect())) == sorted(rows)
+
+
+def test_quoted_csv_that_is_not_well_formed(spark, tmp_path):
+    open_quote = write(tmp_path / "a.csv", 'a,b\n1,"two\nlines\n')
+    with pytest.raises(Exception, match="never closed"):
+        read_quoted_csv(spark, open_quote).collect()
+    write(tmp_path / "c1.csv", "a,b\n1,2\n")
+    write(tmp_path / "c2.csv", "a,c\n1,2\n")
+    with pytest.raises(Exception, match="another header"):
+        read_quoted_csv(spark, f"{tmp_path}/c*.csv").collect()
+    assert read_quoted_csv(spark, write(tmp_path / "e.csv", "")).collect() == []
+    bare = read_quoted_csv(spark, write(tmp_path / "h.csv", "a,,A\n\n1\n1,2,3,4\n"))
+    assert bare.columns == ["a0", "_c1", "A2"] and sorted(map(tuple, bare.collect()), key=str) == [("1", "2", "3"), ("1", None, None)]
+
+
+SIGNS = ['}"{[', "\\", '\\"', "a}, {b", "]}", "\n", "é}", "", "result", "records", '"records": [{']
+
+
+def an_envelope(n, indent=None, before=None, after=None):
+    def record(i):
+        text = SIGNS[i % len(SIGNS)]
+        nested = {"x": text, "deep": {"list": [text, text]}, "list": [{"y": i}, {"y": -i}]} if i % 3 else None
+        return {"title": f"{i} {text}", "place": nested, "tags": [text] * (i % 4)}
+
+    given = {"help": "} { a ] [ \" b", "fields": [{"id": "a"}, {"id": "b"}], "x": {"records": [1, [2]]}} | (before or {})
+    result = {"fields": [{"id": "}"}, {"id": "b", "info": {"a": [1]}}], "meta": {"a": {}, "b": {"c": 1}}, "records": [record(i) for i in range(n)]}
+    return json.dumps(given | {"result": result | {"total": n, "links": {"a": "}"}}} | (after or {}), indent=indent, ensure_ascii=False)
+
+
+TEXTS = T.ArrayType(T.StringType())
+PLACE = T.StructType().add("x", "string").add("deep", T.StructType().add("list", TEXTS)).add("list", T.ArrayType(T.StructType().add("y", T.IntegerType())))
+NESTED = T.StructType().add("title", "string").add("place", PLACE).add("tags", TEXTS)
+
+
+@pytest.mark.parametrize("size", [70, 1000])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_envelope_in_splits_equals_the_read_by_one_task(spark, tmp_path, splits_of, size, indent):
+    write(tmp_path / "a.json", an_envelope(12, indent))
+    write(tmp_path / "b.json", an_envelope(3, None, after={"z": [{"a": {}}, {"records": [{}]}]}) + "\n ")
+    write(tmp_path / "c.json", an_envelope(0, indent))
+    whole = read_records(spark, str(tmp_path), NESTED, mode="DROPMALFORMED").collect()
+    splits_of(size)
+    split = read_records(spark, str(tmp_path), NESTED, position=True)
+    assert sorted(map(tuple, split.drop("_position").collect()), key=str) == sorted(map(tuple, whole), key=str) and len(whole) == 15
+    ordered = split.filter("_position.file LIKE '%a.json'").orderBy("_position").collect()
+    assert [int(r.title.split()[0]) for r in ordered] == list(range(12))
+    if size == 70:
+        assert cut(spark, str(tmp_path), "}").rdd.getNumPartitions() > 10
+
+
+GOOD = '{"result": {"records": [{"a": 1}, {"a": 2}]}}'
+BAD = {
+    "truncated at the end": GOOD[:-1],
+    "truncated in a record": GOOD[:34],
+    "truncated in a string": '{"result": {"records": [{"a": "x}, {',
+    "no list": '{"result": {"record": [{"a": 1}]}}',
+    "list elsewhere": '{"records": [{"a": 1}], "result": {"x": [{"records": [{"a": 1}]}]}}',
+    "comma too many": '{"result": {"records": [{"a": 1}, ]}}',
+    "comma missing": '{"result": {"records": [{"a": 1} {"a": 2}]}}',
+    "another bracket": '{"result": {"records": [{"a": 1}, {"a": 2}}]}',
+    "bracket in a record": '{"result": {"records": [{"a": 1}, {"a": [2}, {"a": 3}]}}',
+    "no object": '{"result": {"records": [{"a": 1}, null, {"a": 2}]}}',
+    "a number": '{"result": {"records": [{"a": 1}, 0]}}',
+    "a list": '{"result": {"records": [[1], {"a": 2}]}}',
+    "bad record": '{"result": {"records": [{"a": 1}, {"a" 2}]}}',
+    "wrong type": '{"result": {"records": [{"a": "x"}]}}',
+    "something after": GOOD + " {}",
+    "a list of envelopes": "[" + GOOD + "]",
+    "blank": " \n",
+}
+
+
+def around(text):
+    """Pieces around the records, sign by sign: text, depth, whether in a string, whether without a brace at the end."""
+    pieces = text.split("}")
+    bare, depth, inside, kept = pieces[-1] != "", 0, False, []
+    pieces = pieces if bare else pieces[:-1]
+    for at, value in enumerate(pieces):
+        last = at == len(pieces) - 1
+        begin, low, escaped = (value, depth, inside, bare and last), depth, False
+        for sign in value + "}" * (not begin[3]):
+            if inside:
+                inside, escaped = escaped or sign != '"', sign == "\\" and not escaped
+            else:
+                inside, depth = sign == '"', depth + (sign in "{[") - (sign in "}]")
+            low = min(low, depth)
+        further = begin[1] == 3 and not begin[2] and re.match(r"\s*,\s*\{", value)
+        if last or low < 3 or not (further or begin[1] > 3):
+            kept.append(begin)
+    return list(zip(*kept))
+
+
+def test_what_stands_around_the_records():
+    for text in (GOOD, an_envelope(9), an_envelope(9, 1), an_envelope(0), an_envelope(2, after={"z": [[{"a": [{}]}], {"records": [[{}]]}]})):
+        error, opens, place, closes = _scan(*around(text))
+        assert error is None and opens <= closes and around(text)[0][opens][:place].endswith('"records": [')
+    for name in BAD.keys() - {"bad record", "wrong type"}:
+        assert _scan(*around(BAD[name]))[0], name
+
+
+@pytest.mark.parametrize("name", ["truncated in a record", "truncated in a string", "bad record", "wrong type", "something after"])
+def test_malformed_envelopes_fail_in_splits(spark, tmp_path, splits_of, name):
+    write(tmp_path / "good.json", GOOD)
+    write(tmp_path / "bad.json", BAD[name])
+    splits_of(16)
+    with pytest.raises(Exception, match="envelope|MALFORMED|parse|convert"):
+        read_records(spark, str(tmp_path), T.StructType().add("a", T.IntegerType())).collect()
+
+
+def test_compressed_and_empty_drops(spark, tmp_path):
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress((GOOD + "\n").encode()))
+    schema = T.StructType().add("a", T.IntegerType())
+    assert sorted(r.a for r in read_records(spark, str(tmp_path), schema).collect()) == [1, 2]
+    write(tmp_path / "b.json", "")
+    assert read_records(spark, str(tmp_path / "b.json"), schema).collect() == []
+    with pytest.raises(ValueError, match="no record"):
+        read_records(spark, write(tmp_path / "c.json", '{"result": {"records": []}}'))
+
+
+@pytest.mark.parametrize("moves", [0, 1])
+def test_a_rename_that_fails_leaves_the_old_table(spark, tmp_path, monkeypatch, moves):
+    """The store refuses to move the old table away, or says that it did and did not."""
+    path = str(tmp_path / "t")
+    write_table(spark.range(3), path)
+
+    class Refusing:
+        def __init__(self, files):
+            self.files = files
+
+        def rename(self, old, new):
+            return bool(moves)
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+    found = tables.file_system
+    monkeypatch.setattr(tables, "file_system", lambda *given: (Refusing(found(*given)[0]), found(*given)[1]))
+    with pytest.raises(OSError, match="could not be moved"):
+        write_table(spark.range(5), path)
+    assert read_table(spark, path).count() == 3

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,18 @@ def in_list(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     return df.filter(col(column).isin(list(values)))
 
 
+def in_table(df: DataFrame, column: str, listed: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is among the values of ``listed``, a table of one column of any length.
+
+    A semi-join: repeated values change nothing, and null is in no list. Spark broadcasts a list
+    that its estimates call small; before the shuffle for a longer one it may drop rows by a Bloom
+    filter of the list (``spark.sql.optimizer.runtime.bloomFilter``).
+    """
+    (name,) = listed.columns
+    value = f"_listed_{uuid4().hex}"
+    return df.join(listed.select(col(name).alias(value)), col(column) == F.col(value), "left_semi")
+
+
 def in_box(df: DataFrame, **ranges: tuple[float, float]) -> DataFrame:
     """Rows whose named columns all lie in their inclusive ranges.
 

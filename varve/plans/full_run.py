@@ -24,7 +24,7 @@ def run(
     """From raw drops to gold under ``base``; returns the folder of the gold tables.
 
     ``multiline`` says that a JSON file holds one envelope, ``multiline_csv`` that landed fields may
-    hold line feeds; without it landed files are read in splits.
+    hold line feeds.
     """
     layers = [f"{base}/{layer}" for layer in ("ingress", "bronze", "silver", "gold")]
     land(spark, events, index, series, layers[0], event_schema, multiline)

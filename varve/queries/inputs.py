@@ -17,6 +17,17 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+NESTED_SCHEMA = T.StructType(
+    [
+        *EVENT_SCHEMA,
+        T.StructField(
+            "source",
+            T.StructType([T.StructField("key", T.StringType()), T.StructField("of", T.StructType([T.StructField("state", T.StringType())]))]),
+        ),
+    ]
+)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -67,6 +78,25 @@ def record_pages(records: DataFrame, key: str, columns) -> DataFrame:
     return paged.select(F.to_json(F.struct(listed.alias("result"))).alias("value"))
 
 
+def blank_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw events with blanks around texts, line feeds and quotes within them, and nested objects."""
+    key = F.col("_key").cast("string")
+    return event_records(spark, folder).select(
+        F.concat(F.when(F.col("_key") % 7 == 0, "  ").otherwise(""), "title", F.lit(" "), key, F.lit(" \t")).alias("title"),
+        *EVENT_SCHEMA.names[1:5],
+        F.concat(F.lit(" } one\n\n\"two\", "), key, F.lit("\r\n[ { ")).alias("note"),
+        F.struct(key.alias("key"), F.struct(F.concat(F.lit(" ]"), "lat", F.lit("\n")).alias("state")).alias("of")).alias("source"),
+        "_key",
+    )
+
+
+def write_envelopes(pages: DataFrame, name: str) -> str:
+    """One file for each page."""
+    path = scratch_path(pages.sparkSession, name)
+    pages.select("value", F.xxhash64("value").alias("page")).write.partitionBy("page").text(path)
+    return path
+
+
 def write_lines(pages: DataFrame, name: str) -> str:
     path = scratch_path(pages.sparkSession, name)
     pages.write.text(path)

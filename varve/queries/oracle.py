@@ -23,10 +23,10 @@ LONGITUDES = (113.09, 153.38)
 def with_ctes(ctes: list[tuple], final: str) -> str:
     """A CTE is a name and a body; one with a third entry is computed once and kept."""
     listed = (f"{name} AS {'' if kept else 'NOT '}MATERIALIZED ({body})" for name, body, *kept in ctes)
-    return "WITH " + ",\n".join(listed) + "\n" + final
+    return "WITH RECURSIVE " + ",\n".join(listed) + "\n" + final
 
 
-def lowess_ctes(name: str, source: str, s: str, x: str, y: str, frac: float = 0.2, it: int = 3):
+def lowess_ctes(name: str, source: str, s: str, x: str, y: str, frac: float = 0.2, it: int = 3, delta: float = 0):
     """CTEs ending in ``{name}_fit(s, x, fit)``: every target paired with all of its neighbours."""
     ctes = [
         (
@@ -68,8 +68,27 @@ def lowess_ctes(name: str, source: str, s: str, x: str, y: str, frac: float = 0.
         (f"{name}_own", f"SELECT s, x, min(y) AS y FROM {name}_k GROUP BY s, x"),
         (f"{name}_r0", f"SELECT s, i, 1.0::DOUBLE AS r FROM {name}_k"),
     ]
+    if delta:
+        ctes += [
+            (
+                f"{name}_next",
+                f"SELECT a.s, a.x, coalesce(max(CASE WHEN b.x <= a.x + {delta} THEN b.x END), min(b.x)) AS y "
+                f"FROM {name}_own a JOIN {name}_own b ON a.s = b.s AND b.x > a.x GROUP BY a.s, a.x",
+            ),
+            (
+                f"{name}_chain",
+                f"SELECT s, min(x) AS x FROM {name}_own GROUP BY s UNION ALL "
+                f"SELECT c.s, n.y FROM {name}_chain c JOIN {name}_next n ON c.s = n.s AND c.x = n.x",
+            ),
+            (
+                f"{name}_ends",
+                f"SELECT p.s, p.x, max(CASE WHEN c.x <= p.x THEN c.x END) AS a, min(CASE WHEN c.x >= p.x THEN c.x END) AS b "
+                f"FROM {name}_own p JOIN {name}_chain c ON p.s = c.s GROUP BY p.s, p.x",
+            ),
+        ]
     for step in range(it + 1):
         fit = f"{name}_fit" if step == it else f"{name}_f{step}"
+        fitted = f"{name}_g{step}" if delta else fit
         ctes += [
             (
                 f"{name}_s{step}",
@@ -79,12 +98,16 @@ def lowess_ctes(name: str, source: str, s: str, x: str, y: str, frac: float = 0.
                 f"FROM {name}_w w JOIN {name}_r{step} r ON w.s = r.s AND w.i = r.i GROUP BY w.s, w.x",
             ),
             (
-                fit,
+                fitted,
                 f"SELECT a.s, a.x, CASE WHEN t > 0 THEN my - CASE WHEN q - m * m <= 1e-13 * rad * rad THEN 0 "
                 f"ELSE m * (c - m * my) / greatest(q - m * m, 1e-12) END ELSE o.y END AS fit "
                 f"FROM {name}_s{step} a JOIN {name}_own o ON a.s = o.s AND a.x = o.x",
             ),
         ]
+        if delta:
+            line = "f.fit + CASE WHEN e.b > e.a THEN (e.x - e.a) / (e.b - e.a) * (g.fit - f.fit) ELSE 0 END"
+            ends = f"JOIN {fitted} f ON f.s = e.s AND f.x = e.a JOIN {fitted} g ON g.s = e.s AND g.x = e.b"
+            ctes.append((fit, f"SELECT e.s, e.x, {line} AS fit FROM {name}_ends e {ends}"))
         if step < it:
             ctes += [
                 (
@@ -168,6 +191,14 @@ SILVER = [
         FROM named WHERE category IN ({quoted(CATEGORIES)})""",
     ),
 ]
+BLANKS = [
+    ("raw", RECORDS[1]),
+    (
+        "records",
+        """SELECT CASE WHEN key % 7 = 0 THEN '  ' ELSE '' END || title || ' ' || key || ' ' || chr(9) AS title, "startDate", "endDate",
+        lat, lon, ' } one' || chr(10) || chr(10) || '"two", ' || key || chr(13) || chr(10) || '[ { ' AS note, key FROM raw""",
+    ),
+]
 LANDED_SILVER = [
     ("raw", RECORDS[1]),
     ("records", 'SELECT title, "startDate", "endDate", lat, lon, min(key) AS key FROM raw GROUP BY ALL'),
@@ -249,6 +280,8 @@ ORACLES = {
     "space_tokens": """SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, t[1] AS "first" FROM (SELECT doc_id,
         list_filter(string_split(text, ' '), lambda p: p <> '') AS t FROM documents)""",
     "whitelist": "SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#12', 'Brand#99')",
+    "whitelist_table": """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+        WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10)""",
     "bounding_box": """SELECT * FROM (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'abc'
         ELSE CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS VARCHAR) END AS balance, c_nationkey FROM customer)
         WHERE TRY_CAST(balance AS DOUBLE) BETWEEN 1000 AND 4000.5 AND c_nationkey BETWEEN 3 AND 12""",
@@ -286,6 +319,25 @@ ORACLES = {
         """SELECT event_type, CAST(hour AS INTEGER) AS hour, n, round(fit, 6) AS fit
         FROM src JOIN l_fit ON event_type = s AND CAST(hour AS DOUBLE) = x""",
     ),
+    "lowess_jumps": with_ctes(
+        [
+            ("src", f"SELECT event_type, {DAY} * 24 + hour(ts) AS hour, sum(value) AS total FROM events GROUP BY ALL"),
+            *lowess_ctes("l", "src", "event_type", "hour", "total", delta=30),
+        ],
+        """SELECT event_type, CAST(hour AS INTEGER) AS hour, round(fit, 6) AS fit
+        FROM src JOIN l_fit ON event_type = s AND CAST(hour AS DOUBLE) = x""",
+    ),
+    "lowess_mixed": with_ctes(
+        [
+            (
+                "src",
+                f"SELECT event_id, CASE WHEN user_id % 4 = 0 THEN -1 ELSE user_id END AS who, value, "
+                f"{DAY} + (hour(ts) * 60 + minute(ts)) / 1440 AS day FROM events",
+            ),
+            *lowess_ctes("l", "src", "who", "day", "value", 0.5, 2),
+        ],
+        "SELECT event_id, who, round(fit, 6) AS fit FROM src JOIN l_fit ON who = s AND day = x",
+    ),
     "lowess_users": with_ctes(
         [
             ("src", f"SELECT event_id, user_id, value, {DAY} * 24 + hour(ts) AS hour FROM events"),
@@ -307,6 +359,12 @@ ORACLES = {
         CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS "Cents5" FROM orders""",
     "text_series": """SELECT strftime(o_orderdate, '%Y%m') AS "Date", CAST(CAST(round(-o_totalprice) AS BIGINT) AS VARCHAR)
         AS "Anomaly" FROM orders""",
+    "bronze_events": with_ctes(
+        BLANKS,
+        """SELECT title, "startDate", "endDate", lat, lon, note, CAST(key AS VARCHAR) AS source_key,
+        ' ]' || lat || chr(10) AS source_of_state FROM records""",
+    ),
+    "silver_blanks": with_ctes([*BLANKS, *SILVER[1:]], "SELECT * FROM silver"),
     "csv_round_trip": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars
         FROM documents""",
     "table_round_trip": "SELECT * FROM orders",

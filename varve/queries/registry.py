@@ -11,11 +11,14 @@ from varve.functions.values import first_date, month_index, month_number, month_
 from varve.operators.columns import add_year_month, drop, keep, rename, sanitize_names
 from varve.operators.combine import count_by, join_on, mean_by
 from varve.operators.lowess import lowess
-from varve.operators.rows import distinct_rows, first_per_key, in_box, in_list, not_all_null, share_over
+from varve.operators.rows import distinct_rows, first_per_key, in_box, in_list, in_table, not_all_null, share_over
 from varve.plans import full_run, gold, landing, silver
+from varve.plans.bronze import to_bronze
 from varve.queries.inputs import (
     EVENT_SCHEMA,
+    NESTED_SCHEMA,
     PAGE,
+    blank_records,
     day_number,
     event_records,
     mixed_date_text,
@@ -23,6 +26,7 @@ from varve.queries.inputs import (
     raw_drops,
     record_pages,
     table,
+    write_envelopes,
     write_lines,
     write_text_files,
 )
@@ -95,6 +99,11 @@ def whitelist(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("p_partkey", "p_brand")
 
 
+def whitelist_table(spark: SparkSession, folder: str) -> DataFrame:
+    small = table(spark, folder, "part").filter(F.col("p_size") <= 10).select("p_partkey")
+    return in_table(table(spark, folder, "lineitem"), "l_partkey", small).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
 def bounding_box(spark: SparkSession, folder: str) -> DataFrame:
     balance = F.when(F.col("c_custkey") % 11 == 0, "abc").otherwise(F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
     customers = table(spark, folder, "customer").withColumn("balance", balance)
@@ -175,7 +184,27 @@ def lowess_grouped(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("event_type", (day_number("ts") * 24 + F.hour("ts")).alias("hour"))
         .agg(F.count("value").alias("n"))
     )
-    return lowess(hours, "hour", "n", by=["event_type"], out="fit", spread=False).withColumn("fit", F.round("fit", 6))
+    return lowess(hours, "hour", "n", by=["event_type"], out="fit").withColumn("fit", F.round("fit", 6))
+
+
+def lowess_jumps(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly counts, fitted about every 30 hours and on lines in between."""
+    hours = (
+        table(spark, folder, "events")
+        .groupBy("event_type", (day_number("ts") * 24 + F.hour("ts")).alias("hour"))
+        .agg(F.sum("value").alias("total"))
+    )
+    smoothed = lowess(hours, "hour", "total", by=["event_type"], out="fit", delta=30.0)
+    return smoothed.select("event_type", "hour", F.round("fit", 6).alias("fit"))
+
+
+def lowess_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """One long series, of a quarter of the events, beside a short one for each other user."""
+    user = F.when(F.col("user_id") % 4 == 0, -1).otherwise(F.col("user_id")).alias("who")
+    day = day_number("ts") + (F.hour("ts") * 60 + F.minute("ts")) / 1440
+    events = table(spark, folder, "events").select("event_id", user, "value", day.alias("day"))
+    smoothed = lowess(events, "day", "value", by=["who"], frac=0.5, it=2, out="fit")
+    return smoothed.select("event_id", "who", F.round("fit", 6).alias("fit"))
 
 
 def lowess_users(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,6 +276,24 @@ def text_series(spark: SparkSession, folder: str) -> DataFrame:
     return read_text_series(spark, path)
 
 
+def bronze_of_blanks(spark: SparkSession, folder: str) -> DataFrame:
+    _, index, series = raw_drops(spark, folder)
+    pages = record_pages(blank_records(spark, folder), "_key", [F.col(name) for name in NESTED_SCHEMA.names])
+    base = scratch_path(spark, "layers")
+    landing.land(spark, write_envelopes(pages, "envelopes"), index, series, f"{base}/ingress", NESTED_SCHEMA)
+    to_bronze(spark, f"{base}/ingress", f"{base}/bronze")
+    return read_table(spark, f"{base}/bronze/df_dis_bronze")
+
+
+def bronze_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Envelopes of nested records with blanks and line feeds, through landing to bronze."""
+    return rename(bronze_of_blanks(spark, folder), {"source.key": "source_key", "source.of.state": "source_of_state"})
+
+
+def silver_blanks(spark: SparkSession, folder: str) -> DataFrame:
+    return silver.silver_events(bronze_of_blanks(spark, folder))
+
+
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     write_csv(table(spark, folder, "documents"), path)
@@ -384,6 +431,7 @@ QUERIES = {
     "tolerant_casts": tolerant_casts,
     "space_tokens": documents_tokens,
     "whitelist": whitelist,
+    "whitelist_table": whitelist_table,
     "bounding_box": bounding_box,
     "share_over": share_over_query,
     "dedup_first": dedup_first,
@@ -398,12 +446,16 @@ QUERIES = {
     "fan_out_join": fan_out_join,
     "lowess_monthly": lowess_monthly,
     "lowess_grouped": lowess_grouped,
+    "lowess_jumps": lowess_jumps,
+    "lowess_mixed": lowess_mixed,
     "lowess_users": lowess_users,
     "lowess_long": lowess_long,
     "consolidated": consolidated,
     "json_records": json_records,
     "text_table": text_table,
     "text_series": text_series,
+    "bronze_events": bronze_events,
+    "silver_blanks": silver_blanks,
     "csv_round_trip": csv_round_trip,
     "table_round_trip": table_round_trip,
     "table_sql": table_sql,

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varve.shared import materialize, scratch_path
+from varve.sources.envelopes import record_texts
 from varve.sources.text import POSITION
 
 
@@ -48,13 +50,15 @@ def read_records(
 ) -> DataFrame:
     """Records of JSON files that each hold one envelope, or one per line if not ``multiline``.
 
-    A file holding one envelope is read by one task, so large drops should come as many files or
-    as lines. Without ``schema``, that of one record, Spark reads the data once more to infer it.
+    A file holding one envelope is read in splits, by many tasks. Without ``schema``, that of one
+    record, Spark reads the data once more to infer it.
     An envelope that is no JSON, does not fit the schema or lists no records fails the job, or is
-    left out if ``mode`` is DROPMALFORMED.
+    left out if ``mode`` is DROPMALFORMED; as the whole file decides, it is then read by one task.
     """
     if mode not in ("FAILFAST", "DROPMALFORMED"):
         raise ValueError(f"mode is FAILFAST or DROPMALFORMED, not {mode!r}")
+    if multiline and mode == "FAILFAST":
+        return _read_in_splits(spark, path, schema, position)
     reader = spark.read.option("multiLine", multiline).option("mode", mode)
     if schema is not None:
         reader = reader.schema(envelope(schema))
@@ -74,3 +78,19 @@ def read_records(
         ).alias("place"),
     )
     return explode_records(placed, F.col("place"))
+
+
+def _read_in_splits(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None, position: bool) -> DataFrame:
+    texts = record_texts(spark, path)
+    if schema is None:
+        texts = materialize(texts)
+        lines = scratch_path(spark, "records")
+        # Line feeds between the tokens of a record are blanks to JSON, and within strings there are none.
+        texts.select(F.translate("value", "\r\n", "  ")).write.text(lines)
+        schema = spark.read.json(lines).schema
+        if not schema.fields:
+            raise ValueError(f"no record to infer columns from in {path}")
+    parsed = texts.select(
+        F.from_json("value", schema, {"mode": "FAILFAST"}).alias("record"), F.struct("file", "start", "row").alias(POSITION)
+    )
+    return parsed.select(*flat_columns(F.col("record"), schema), *([POSITION] if position else []))

@@ -7,6 +7,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from varve.shared import file_system
+
 CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 MANIFEST = "_symlink_format_manifest"
 
@@ -15,7 +17,8 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     """CSV with a header, all columns text, empty fields null, quotes doubled inside quotes.
 
     Blanks at the ends of fields are kept.
-    ``multiline`` allows line feeds inside quoted fields; a file is then read by one task.
+    ``multiline`` allows line feeds inside quoted fields; a file is then read by one task, unlike by
+    ``varve.sources.quoted.read_quoted_csv``.
     """
     return spark.read.options(**CSV).option("multiLine", multiline).csv(path)
 
@@ -40,16 +43,19 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def _replace(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
-    """Write beside ``path``, then swap: a job that fails leaves the old table as it was."""
+    """Write beside ``path``, then swap: a job that fails leaves the old table as it was.
+
+    On an object store a rename is a copy, which takes the longer the larger the tables are.
+    """
     target = path.rstrip("/")
     new, old = f"{target}.new-{uuid4().hex}", f"{target}.old-{uuid4().hex}"
     writer.save(new)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path
-    files = place(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(place(target)):
-        files.rename(place(target), place(old))
-    if not files.rename(place(new), place(target)):
+    files, here = file_system(spark, target)
+    place = lambda name: file_system(spark, name)[1]
+    # A rename into a folder that exists moves the table inside it, so that the old one would stay.
+    if files.exists(here) and (not files.rename(here, place(old)) or files.exists(here)):
+        raise OSError(f"{target} could not be moved away and is as it was; the new table is at {new}")
+    if not files.rename(place(new), here):
         raise OSError(f"the new table is at {new}, the one it replaces at {old}")
     files.delete(place(old), True)
 
@@ -57,8 +63,8 @@ def _replace(writer: DataFrameWriter, spark: SparkSession, path: str) -> None:
 def write_manifest(spark: SparkSession, path: str) -> str:
     """Text list of the data files of the table at ``path``, for SQL engines that read such lists.
 
-    The file listing is itself a table (only paths are read, no contents), so a table of very many
-    files passes through tasks, not through the driver.
+    The file listing is itself a table (only paths are read, no contents). Spark keeps the status of
+    every file of such a scan on the driver, as it does for any scan: some 100 bytes a file.
     """
     files = (
         spark.read.format("binaryFile")
