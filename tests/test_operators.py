@@ -1,4 +1,5 @@
 import os
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -8,8 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from varve.operators.columns import add_year_month, drop, keep, rename, sanitize_names
-from varve.operators.combine import count_by, join_on, mean_by
-from varve.operators.rows import distinct_rows, first_per_key, in_box, in_list, not_all_null, share_over
+from varve.operators.combine import _in_cells, count_by, exact_mean_by, grid_join, join_on, mean_by
+from varve.operators.rows import distinct_rows, first_per_key, in_box, in_list, in_table, not_all_null, share_over
 from varve.operators.running import exact_median, ordered_image, running
 from varve.plans.gold import change_on_previous, correlations, ranked
 from varve.shared import fits_broadcast, lookup_join, materialize, removed_after
@@ -191,6 +192,45 @@ def test_running_minima_from_each_row_on(spark):
     assert out.low.tolist() == wanted.tolist()
 
 
+def test_exact_means_do_not_depend_on_placement(spark):
+    rng = np.random.default_rng(9)
+    values = [*(rng.normal(size=3000) * 10.0 ** rng.integers(-30, 30, 3000)), 5e-324, -5e-324, 1e308, 1e308, -1e308, 0.1, None]
+    frame = [(f"g{i % 3}", None if v is None else float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame([*frame, ("none", None), ("inf", float("inf")), ("inf", 1.0), ("nan", float("nan")), (None, 2.0)], "`g.g` string, v double")
+    found = [
+        {r[0]: repr(r[1]) for r in exact_mean_by(df.repartition(n).sortWithinPartitions(F.rand(n)), ["g.g"], "v", "m").collect()} for n in (1, 7, 64)
+    ]
+    assert found[0] == found[1] == found[2]
+    for g in ("g0", "g1", "g2"):
+        given = [Fraction(v) for key, v in frame if key == g and v is not None]
+        assert found[0][g] == repr(float(sum(given) / len(given)))
+    assert [found[0][g] for g in ("none", "inf", "nan", None)] == ["None", "inf", "nan", "2.0"]
+
+
+def test_a_key_hot_on_both_sides_is_dealt_over_a_grid(spark):
+    def side(name, n):
+        key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 97).cast("string"))
+        return spark.range(n).select(key.alias("k.k"), F.col("id").alias(name), F.lit(name).alias("_key"))
+
+    left, right = side("a", 900), side("b", 600).drop("_key")
+    joined = grid_join(left, right, "k.k", cell=40)
+    assert joined.columns == ["k.k", "a", "_key", "b"]
+    wanted = left.toPandas().dropna(subset="k.k").merge(right.toPandas().dropna(subset="k.k"), on="k.k")
+    assert sorted(map(tuple, joined.select("a", "b").collect())) == sorted(zip(wanted.a, wanted.b))
+    hot = spark.createDataFrame([("hot", 8, 5)], "_key string, _lines long, _columns long")
+    cells = _in_cells(left.select(F.col("`k.k`").alias("_key"), F.struct("a").alias("_left")).filter("_key = 'hot'"), hot, "_lines", "_columns", "_i", "_j")
+    sizes = [r["count"] for r in cells.groupBy("_i", "_j").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 80
+    assert grid_join(left, right.filter("b < 0"), "k.k").collect() == []
+
+
+def test_a_list_of_any_length(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "`x.x` string")
+    listed = spark.createDataFrame([("a",), ("a",), (None,), ("c",)], "`x.x` string")
+    assert rows(in_table(df, "x.x", listed)) == [("a",), ("a",)]
+    assert rows(in_table(df, "x.x", listed.filter("`x.x` = 'c'"))) == []
+
+
 def test_stored_tables_go_at_the_end_of_a_block(spark):
     def place(df):
         return df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]

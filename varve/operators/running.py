@@ -11,7 +11,7 @@ from varve.shared import materialize
 
 
 # How many low bits of an image are still open after each round of the exact median.
-ROUNDS = (52, 39, 26, 13, 0)
+ROUNDS = (52, 35, 18, 0)
 LARGEST, LEAST_NORMAL = 1.7976931348623157e308, 2.2250738585072014e-308
 
 
@@ -91,8 +91,8 @@ def exact_median(
     """Exact median per group of the double ``value``, each counted ``copies`` times; no value is null.
 
     Rows are not sorted, gathered or moved. The bits of the image of the middle values are settled
-    from the top, some 12 a round: rows whose image begins with the bits settled so far are counted
-    by the next bits, which combines before the shuffle to at most 16,384 counts a group, and the
+    from the top, 12 to 18 a round: rows whose image begins with the bits settled so far are counted
+    by the next bits, which combines before the shuffle to at most 524,288 counts a group, and the
     running count tells which bits the middle has. ``df`` is read once a round, so it should be
     stored, with the column ``image`` of its images to save their computation. ``few`` says that the
     groups are few enough to broadcast a row for each.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varve.operators.columns import add_year_month, drop
-from varve.operators.combine import count_by, join_on, mean_by
+from varve.operators.combine import count_by, join_on, exact_mean_by
 from varve.operators.lowess import lowess
 from varve.operators.rows import share_over
 from varve.sources.tables import read_table, write_manifest, write_table
@@ -29,7 +29,7 @@ def consolidated_measures(events: DataFrame, index: DataFrame, series: DataFrame
     """
     counts = count_by(events, [F.year("Date").alias("Year")], "Date", "Disaster_Count")
     smoothed = lowess(counts, x="Year", y="Disaster_Count", out="Disaster_Count_Lowess", frac=frac, spread=False)
-    means = mean_by(series, ["Year"], "Anomaly_Lowess", "Temp_Anomaly_Lowess")
+    means = exact_mean_by(series, ["Year"], "Anomaly_Lowess", "Temp_Anomaly_Lowess")
     return join_on(index, drop(smoothed, "Disaster_Count"), means, on="Year")
 
 

@@ -298,6 +298,9 @@ ORACLES = {
         CAST(month(o_orderdate) AS INTEGER) AS "Month" FROM orders""",
     "yearly_count": "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(o_orderdate) AS n FROM orders GROUP BY ALL",
     "yearly_mean": "SELECT CAST(year(l_shipdate) AS INTEGER) AS year, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL",
+    "exact_means": """SELECT l_returnflag, round(favg(CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END
+        * (l_extendedprice * (1 - l_discount))), 6) AS mean FROM lineitem GROUP BY ALL""",
+    "skewed_join": "SELECT s_nationkey AS key, c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey",
     "yearly_join": """SELECT CAST(a.year AS INTEGER) AS year, n, mean FROM
         (SELECT year(o_orderdate) AS year, count(o_orderdate) AS n FROM orders GROUP BY ALL) a JOIN
         (SELECT year(l_shipdate) AS year, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL) b ON a.year = b.year""",

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from varve.functions.text import category_of, ends_joined, leading_token, refined_category, space_tokens
 from varve.functions.values import first_date, month_index, month_number, month_start, tolerant_float, tolerant_int
 from varve.operators.columns import add_year_month, drop, keep, rename, sanitize_names
-from varve.operators.combine import count_by, join_on, mean_by
+from varve.operators.combine import count_by, exact_mean_by, grid_join, join_on, mean_by
 from varve.operators.lowess import lowess
 from varve.operators.rows import distinct_rows, first_per_key, in_box, in_list, in_table, not_all_null, share_over
 from varve.plans import full_run, gold, landing, silver
@@ -159,6 +159,19 @@ def yearly_mean(spark: SparkSession, folder: str) -> DataFrame:
     return means.withColumn("mean", F.round("mean", 6))
 
 
+def exact_means(spark: SparkSession, folder: str) -> DataFrame:
+    paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    lines = table(spark, folder, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") % 2 == 0, -paid).otherwise(paid).alias("paid"))
+    return exact_mean_by(lines, ["l_returnflag"], "paid", "mean").withColumn("mean", F.round("mean", 6))
+
+
+def skewed_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every customer with every supplier of its nation; cells of 50 rows split the nations of many customers."""
+    customers = table(spark, folder, "customer").select(F.col("c_nationkey").alias("key"), "c_custkey")
+    suppliers = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey")
+    return grid_join(customers, suppliers, "key", cell=50)
+
+
 def yearly_join(spark: SparkSession, folder: str) -> DataFrame:
     return join_on(yearly_count(spark, folder), yearly_mean(spark, folder), on="year")
 
@@ -442,6 +455,8 @@ QUERIES = {
     "denorm_dates": denorm_dates,
     "yearly_count": yearly_count,
     "yearly_mean": yearly_mean,
+    "exact_means": exact_means,
+    "skewed_join": skewed_join,
     "yearly_join": yearly_join,
     "fan_out_join": fan_out_join,
     "lowess_monthly": lowess_monthly,
