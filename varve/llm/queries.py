@@ -77,7 +77,9 @@ def text_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return without_repeats(documents(spark, folder)).drop("kept")
+    """What each document loses, and whether it loses any."""
+    without = without_repeats(documents(spark, folder)).drop("kept")
+    return without.withColumn("has_repeats", (F.col("n_removed") > 0).cast("int"))
 
 
 def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
