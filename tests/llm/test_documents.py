@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from varve.llm.exact import drop_exact, exact_groups
 from varve.llm.mixing import mix
 from varve.llm.pieces import Pieces, decode, encode, read_model
 from varve.llm.quality import fit as fit_rules
-from varve.llm.quality import keep_good, quality
+from varve.llm.quality import keep_good, quality, scored
 from varve.llm.queries import MODEL
 from varve.llm.secrets import scan
 from varve.llm.simhash import drop_near, near_groups, near_in_shard, shards
@@ -209,6 +210,41 @@ def test_quality_on_held_out_documents(spark):
     assert set(r["predicted"] == (r["score"] >= 0.3) for r in out) == {True}
 
 
+def plain_statistics(text):
+    length = max(len(text), 1)
+    share = lambda pattern: (len(text) - len(regex.sub(pattern, "", text))) / length
+    words = re.split(r"[\x20\x09-\x0D]+", text)
+    blank = r"[ \t\n\x0b\f\r]"
+    other = blank.replace("[", "[^")
+    return {
+        "log_length": np.log(length),
+        "letters": share(r"\p{L}+"),
+        "capitals": share(r"\p{Lu}+"),
+        "digits": share("[0-9]+"),
+        "bangs": share("!+"),
+        "bars": share(r"\|+"),
+        "signs": sum(sign in "#$%&*<>{}[]\\^~@=+" for sign in text) / length,
+        "spaces": share(r"[\x20\x09-\x0D]+"),
+        "lines": text.count("\n") / length,
+        "repeats": share(rf"(?<!{other})({other}+){blank}(?=\1(?!{other}))"),
+        "variety": len(set(words)) / np.sqrt(len(words)),
+        "fresh": len(set(words)) / len(words),
+    }
+
+
+def test_scores_equal_the_rules_followed_one_by_one(spark, hard):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rules = fit_rules(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    assert len(rules.rules) > 3
+    both = docs.select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
+    for row in scored(both, rules).select("row.text", "score").collect():
+        values = plain_statistics(row.text or "")
+        total = rules.intercept
+        for rule, weight in zip(rules.rules, rules.weights):
+            total += weight * all((values[name] > bound) == above for name, above, bound in rule)
+        assert row.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9), row.text[:80]
+
+
 def test_quality_of_odd_rows(spark, hard, empty):
     marks = spark.createDataFrame([(1, 0, None), (4, 1, None), (None, 1, None), (6, None, 1)], "doc_id long, quality int, toxic int")
     assert quality(hard, marks).count() == hard.count() and quality(empty, marks).count() == 0
