@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from varve.llm.exact import drop_exact, exact_groups
-from varve.llm.mixing import mix
+from varve.llm.mixing import DIGITS, mix
 from varve.llm.pieces import Pieces, decode, encode, read_model
 from varve.llm.quality import fit as fit_rules
 from varve.llm.quality import keep_good, quality, scored
-from varve.llm.queries import MODEL
+from varve.llm.queries import MIXTURE, MODEL, pieces
 from varve.llm.secrets import scan
 from varve.llm.simhash import drop_near, near_groups, near_in_shard, shards
 from varve.llm.suffixes import repeated, two_stage, without_repeats
-from varve.llm.toxicity import Field, marginals, toxicity
+from varve.llm.toxicity import Field, features, marginals, slot, toxicity
+from varve.llm.toxicity import fit as fit_field
 
 def secrets(docs):
     return scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
@@ -285,6 +286,40 @@ def test_marginals_are_those_of_all_tag_sequences():
         at += n
 
 
+def plain_toxicity(field, text, known):
+    """Forward and backward sums, token after token, and the score of the highest share of tag 1."""
+    for t in set(text.split()) - known.keys():
+        known[t] = float(np.exp(np.clip(sum(field.weights[slot(f)] for f in features(t)), -50, 50)))
+    push = [known[t] for t in text.split()]
+    if not push:
+        return 0.0, 0
+    ahead, pairs = [(1.0, field.first * push[0])], field.pairs
+    for token in push[1:]:
+        plain, toxic = ahead[-1]
+        step = (plain * pairs[0, 0] + toxic * pairs[1, 0], token * (plain * pairs[0, 1] + toxic * pairs[1, 1]))
+        ahead.append((step[0] / sum(step), step[1] / sum(step)))
+    back, top = (1.0, 1.0), 0.0
+    for at in range(len(push) - 1, -1, -1):
+        whole = ahead[at][0] * back[0] + ahead[at][1] * back[1]
+        top = max(top, ahead[at][1] * back[1] / whole)
+        step = [pairs[tag, 0] * back[0] + pairs[tag, 1] * push[at] * back[1] for tag in (0, 1)]
+        back = (step[0] / sum(step), step[1] / sum(step))
+    odds = np.log(max(top, 1e-12)) - np.log(max(1 - top, 1e-12))
+    return 1 / (1 + np.exp(-np.clip(field.slope * odds + field.level, -50, 50))), len(push)
+
+
+def test_toxicity_equals_the_field_followed_token_by_token(spark, hard):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    field, both = fit_field(docs, marks), docs.unionByName(hard.select("doc_id", "text").filter("doc_id IS NOT NULL"))
+    assert len(set(field.weights.tolist())) > 10
+    known = {}
+    wanted = sorted((r.doc_id, *plain_toxicity(field, r.text or "", known)) for r in both.collect())
+    found = sorted((r.doc_id, r.score, r.n_tokens) for r in toxicity(both, marks.join(docs.select("doc_id"), "doc_id")).collect())
+    assert [(i, n) for i, _, n in found] == [(i, n) for i, _, n in wanted]
+    assert [score for _, score, _ in found] == pytest.approx([score for _, score, _ in wanted], abs=1e-6)
+
+
 # repeated passages
 
 
@@ -433,3 +468,82 @@ def test_no_shard_stays_crowded(spark):
     assert max(map(len, members.values())) <= 200 and set.union(*members.values()) == set(ball)
     together = {(a, b) for own in members.values() for a in own for b in own if a < b and (a ^ b).bit_count() <= 4}
     assert together == {(a, b) for a in ball for b in ball if a < b and (a ^ b).bit_count() <= 4}
+
+
+# pipeline
+
+
+def plain_score(rules, text):
+    values, total = plain_statistics(text), rules.intercept
+    for rule, weight in zip(rules.rules, rules.weights):
+        total += weight * all((values[name] > bound) == above for name, above, bound in rule)
+    return 1 / (1 + np.exp(-total))
+
+
+def plain_copies(doc_id, rate):
+    point = (int(hashlib.md5(f"42:{doc_id}".encode()).hexdigest()[:DIGITS], 16) + 0.5) / 16**DIGITS
+    copies, term = 0, np.exp(-rate)
+    reached = term
+    while reached < point:
+        copies += 1
+        term *= rate / copies
+        reached += term
+    return copies
+
+
+def plain_ids(own, known, text):
+    """The best pieces of each word by trying all; no piece goes on behind a space."""
+    ids = []
+    for word in re.findall("\u2581+[^\u2581]*", "\u2581" + text.replace(" ", "\u2581")) if text else []:
+        best = [(0.0, ())] + [None] * len(word)
+        for end in range(1, len(word) + 1):
+            raw = tuple(own.bytes[b] for b in word[end - 1].encode())
+            options = [(best[end - 1][0] + own.fallback * len(raw), (best[end - 1], raw))]
+            for start in range(max(0, end - 40), end):
+                if word[start:end] in known:
+                    i, score = known[word[start:end]]
+                    options.append((best[start][0] + score, (best[start], (i,))))
+            top = max(score for score, _ in options)
+            best[end] = next(option for option in options[1:] + options[:1] if option[0] == top)
+        way, found = best[-1], []
+        while way[1]:
+            found.append(way[1][1])
+            way = way[1][0]
+        ids += [i for one in reversed(found) for i in one]
+    return ids
+
+
+def test_rows_of_the_query_have_the_best_pieces(spark):
+    own = Pieces(read_model(spark, MODEL))
+    known = {own.table[value[2]]: (value[2], value[1]) for _, value in own.automaton.items()}
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = pieces(spark, folder).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        ids = plain_ids(own, known, texts[row.doc_id])
+        assert (row.n_tokens, row.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}i", *ids)).hexdigest())
+
+
+def test_pipeline_equals_the_plain_stages(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rules = fit_rules(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    given = {r.doc_id: (r.source, r.text) for r in docs.select("doc_id", "source", "text").collect()}
+    good = [(i, text) for i, (_, text) in given.items() if plain_score(rules, text or "") >= 0.3]
+    texts = dict(good)
+    distinct = [(i, texts[i]) for i, _, _, stays, _ in plain_exact([(i, t or "") for i, t in good]) if stays]
+    stays = [i for i, _, smallest_id in plain_near([(i, t or "") for i, t in distinct]) if i == smallest_id]
+    assert len(given) > len(good) > len(distinct) >= len(stays) > 0
+    named = lambda i: given[i][0] if given[i][0] in MIXTURE else None
+    rows = Counter(map(named, stays))
+    weights = {source: MIXTURE.get(source, 1.0) for source in rows}
+    rate = {source: weights[source] / sum(weights.values()) * len(stays) / n for source, n in rows.items()}
+    own = Pieces(read_model(spark, MODEL))
+    known = {own.table[value[2]]: (value[2], value[1]) for _, value in own.automaton.items()}
+    wanted = []
+    for i in stays:
+        ids = plain_ids(own, known, given[i][1] or "")
+        wanted += [(i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}i", *ids)).hexdigest())] * plain_copies(i, rate[named(i)])
+    out = corpus_pipeline.run(spark, folder).select("doc_id", "n_tokens", "ids_sha256")
+    assert sorted(map(tuple, out.collect())) == sorted(wanted)
