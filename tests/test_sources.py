@@ -4,6 +4,9 @@ import io
 import json
 import re
 
+import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -15,7 +18,7 @@ from varve.sources.envelopes import _scan
 from varve.sources.quoted import read_quoted_csv
 from varve.sources.records import read_records
 from varve.sources.splits import cut
-from varve.sources.tables import expose, read_csv, read_table, save_as, write_csv, write_manifest, write_table
+from varve.sources.tables import expose, read_csv, read_table, save_as, write_clustered, write_csv, write_manifest, write_table
 from varve.sources.text import read_text_series, read_text_table
 
 HEAD = "Index\nof temperatures\n\n Year No_Smoothing  Lowess(5) \r\n----\n"
@@ -365,6 +368,32 @@ def test_compressed_and_empty_drops(spark, tmp_path):
         read_records(spark, write(tmp_path / "c.json", '{"result": {"records": []}}'))
 
 
+def test_a_box_on_a_clustered_table_meets_few_files(spark, tmp_path):
+    def met(path):
+        files = [pq.read_metadata(file).row_group(0) for file in sorted(tmp_path.glob(f"{path}/*.parquet"))]
+        bounds = [[(group.column(at).statistics.min, group.column(at).statistics.max) for at in (0, 1)] for group in files]
+        return sum(a[0] <= 0.35 and a[1] >= 0.3 and b[0] <= 0.65 and b[1] >= 0.6 for a, b in bounds) / len(files)
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame({"a": rng.random(20_000), "b": rng.random(20_000), "t": "x"}))
+    odd = spark.createDataFrame([(None, 0.5, "y"), (0.5, None, None), (None, None, "z"), (float("nan"), 0.1, "n")], df.schema)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_clustered(df, str(tmp_path / "t"), ["a", "b"])
+        write_table(df.repartition(64), str(tmp_path / "u"))
+        both = df.unionByName(odd)
+        write_clustered(both, str(tmp_path / "v"), ["a", "b"])
+        write_clustered(df.limit(0), str(tmp_path / "w"), ["a"])
+        write_clustered(odd.select(F.lit("7").alias("x.x")), str(tmp_path / "x"), ["x.x"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert met("u") == 1 and met("t") < 0.2
+    assert sorted(map(repr, read_table(spark, str(tmp_path / "v")).collect())) == sorted(map(repr, both.collect()))
+    assert read_table(spark, str(tmp_path / "w")).count() == 0 and read_table(spark, str(tmp_path / "x")).count() == 4
+
+
 @pytest.mark.parametrize("moves", [0, 1])
 def test_a_rename_that_fails_leaves_the_old_table(spark, tmp_path, monkeypatch, moves):
     """The store refuses to move the old table away, or says that it did and did not."""

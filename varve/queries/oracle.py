@@ -370,6 +370,8 @@ ORACLES = {
     "silver_blanks": with_ctes([*BLANKS, *SILVER[1:]], "SELECT * FROM silver"),
     "csv_round_trip": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars
         FROM documents""",
+    "clustered_box": """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem
+        WHERE l_quantity BETWEEN 10 AND 15 AND l_extendedprice BETWEEN 5000 AND 20000""",
     "table_round_trip": "SELECT * FROM orders",
     "table_sql": "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL",
     "manifest_rows": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL",

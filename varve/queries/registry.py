@@ -32,7 +32,7 @@ from varve.queries.inputs import (
 )
 from varve.shared import materialize, scratch_path
 from varve.sources.records import read_records
-from varve.sources.tables import expose, read_csv, read_table, write_csv, write_manifest, write_table
+from varve.sources.tables import expose, read_csv, read_table, write_clustered, write_csv, write_manifest, write_table
 from varve.sources.text import read_text_series, read_text_table
 
 
@@ -313,6 +313,14 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, path, multiline=True)
 
 
+def clustered_box(spark: SparkSession, folder: str) -> DataFrame:
+    """A box on two columns of a table written along a curve through them."""
+    path = scratch_path(spark)
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    write_clustered(lines, path, ["l_quantity", "l_extendedprice"])
+    return in_box(read_table(spark, path), l_quantity=(10, 15), l_extendedprice=(5000, 20000))
+
+
 def table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark)
     write_table(table(spark, folder, "orders"), path)
@@ -472,6 +480,7 @@ QUERIES = {
     "bronze_events": bronze_events,
     "silver_blanks": silver_blanks,
     "csv_round_trip": csv_round_trip,
+    "clustered_box": clustered_box,
     "table_round_trip": table_round_trip,
     "table_sql": table_sql,
     "manifest_rows": manifest_rows,
