@@ -394,6 +394,21 @@ def test_a_box_on_a_clustered_table_meets_few_files(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "w")).count() == 0 and read_table(spark, str(tmp_path / "x")).count() == 4
 
 
+def test_the_curve_is_cheap_to_order_by(spark, tmp_path, monkeypatch):
+    """Parts are found by halving, for all rows as by counting the bounds, and the sort compares columns alone."""
+    bounds = [float(n // 2) for n in range(63)]
+    odd = [None, float("nan"), float("inf"), float("-inf"), -1.0, 0.0, 0.5, 30.5, 31.0, 32.0]
+    df = spark.createDataFrame([(v,) for v in odd + [n / 4 for n in range(140)]], "v double")
+    below = F.coalesce(F.expr(f"if(v is null, null, size(filter(array({', '.join(f'{b}D' for b in bounds)}), b -> b < v)))"), F.lit(0))
+    assert tables._with_part(df, "v", bounds, "part").filter(F.col("part") != below).count() == 0
+    assert [r.part for r in tables._with_part(df, "v", None, "part").distinct().select("part").distinct().collect()] == [0]
+    seen = []
+    monkeypatch.setattr(tables, "_replace", lambda writer, *_: seen.append(writer._df._jdf.queryExecution().optimizedPlan().toString()))
+    write_clustered(df.withColumn("w", -F.col("v")), str(tmp_path / "t"), ["v", "w"])
+    ordering = [line for line in seen[0].splitlines() if "Sort [" in line or "RepartitionByExpression" in line]
+    assert len(ordering) == 2 and not any("filter(" in line or "lambda" in line or "CASE" in line for line in ordering)
+
+
 @pytest.mark.parametrize("moves", [0, 1])
 def test_a_rename_that_fails_leaves_the_old_table(spark, tmp_path, monkeypatch, moves):
     """The store refuses to move the old table away, or says that it did and did not."""
