@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from varve.operators.columns import add_year_month, drop, keep, rename, sanitize_names
-from varve.operators.combine import _in_cells, count_by, exact_mean_by, grid_join, join_on, mean_by
+from varve.operators.combine import _in_cells, _parts, count_by, exact_mean_by, grid_join, join_on, mean_by
 from varve.operators.rows import distinct_rows, first_per_key, in_box, in_list, in_table, not_all_null, share_over
 from varve.operators.running import exact_median, ordered_image, running
 from varve.plans.gold import change_on_previous, correlations, ranked
@@ -224,6 +224,16 @@ def test_a_key_hot_on_both_sides_is_dealt_over_a_grid(spark):
     assert grid_join(left, right.filter("b < 0"), "k.k").collect() == []
 
 
+def test_what_a_grid_copies_grows_with_the_rows(spark):
+    """Small cells of a key that is hot on both sides do not copy each row as often as there are cells."""
+    sizes = spark.createDataFrame([(3,), (50,), (51,), (2_400,), (216_000,), (5_000_000,)], "n long")
+    assert [r[0] for r in sizes.select(_parts("n", 50)).collect()] == [1, 1, 2, 8, 8, 50]
+    assert [r[0] for r in sizes.select(_parts("n", 10**6)).collect()] == [1, 1, 1, 1, 1, 5]
+    sides = [spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias(name)) for name, n in (("a", 900), ("b", 600))]
+    joined = grid_join(*sides, "k", cell=5)
+    assert joined.distinct().count() == joined.count() == 900 * 600
+
+
 def test_a_list_of_any_length(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "`x.x` string")
     listed = spark.createDataFrame([("a",), ("a",), (None,), ("c",)], "`x.x` string")
