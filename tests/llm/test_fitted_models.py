@@ -7,11 +7,14 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from varve.llm import isolation
 from varve.llm.isolation import COUNTS, anomalies, failed, fit, isolate, repeated_words, statistics, thresholds
 from varve.llm.lloyd import cluster
 from varve.llm.tables import documents, labels
 from varve.llm.whitening import components, polynomial, primes_for, restored, roots_above, whiten
+from varve.shared import materialize
 
 SF = "/root/testdata/sf0.01"
 
@@ -250,6 +253,33 @@ def test_isolation_of_odd_rows(spark, hard, empty):
     assert rows_of(isolate(hard, again)) == rows_of(found)
 
 
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    """More than 8,000 rows of a label: the distributed cuts are those over all rows in memory, and every row is scored."""
+    random = np.random.default_rng(4)
+    for cut in (0.6, 0.9, 2.0):
+        good = random.random(20_000) < 0.6
+        scores = [np.round(random.random(20_000), 3) * np.where(good, 0.8, 1.0), np.round(random.random(20_000), 2) + (~good & (random.random(20_000) > cut))]
+        df = spark.createDataFrame([(bool(g), [float(a), float(b)]) for g, a, b in zip(good, *scores)], "good boolean, scores array<double>")
+        found, wanted = isolation.calibrated(materialize(df), 2), thresholds(scores, good)
+        assert found == pytest.approx(wanted) and min(wanted) < np.inf
+    text = F.concat_ws(" ", *(F.concat(F.lit("w"), (F.col("id") * k % 1009 + 2000 * k).cast("string")) for k in range(1, 14)))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    marks = docs.select("doc_id", (F.col("doc_id") % 20 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    seen = []
+    monkeypatch.setattr(isolation, "calibrated", lambda scored, n: seen.append(scored.count()) or [np.inf] * n)
+    forests = fit(docs, marks)
+    assert seen == [20_000] and len(forests) == 3 and forests[0].usual == isolation.expected_path(256)
+
+
+def test_trees_take_their_own_rows_of_all(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), *(F.col("id").alias(name) for name in COUNTS))
+    samples = isolation.tree_samples(materialize(rows), 7, 50)
+    taken = [tuple(sample[:, 0]) for sample in samples]
+    assert len(set(taken)) == 7 and all(len(set(one)) == 50 for one in taken) and max(map(max, taken)) > 2000
+    assert [len(one) for one in isolation.tree_samples(materialize(rows.limit(20)), 3, 50)] == [20] * 3
+    assert isolation.tree_samples(materialize(rows.limit(0)), 3, 50) == []
+
+
 def test_an_id_counts_once_in_the_sample(spark):
     docs = spark.createDataFrame([(1, "a" * n + " word" * 12) for n in range(1, 40)] + [(2, "b " * 15)], "doc_id long, text string")
     marks = spark.createDataFrame([(1, 1, 0)] * 20 + [(1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")

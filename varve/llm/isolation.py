@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.tables import labelled_sample, whole
+from varve.llm.tables import whole
+from varve.operators.running import running
+from varve.shared import materialize, removed_after
 
-# Labelled documents of each label that the forest is fitted and its threshold calibrated on.
-SAMPLE = 8000
 TREES, TREE_ROWS, DEPTH = 100, 256, 8
 # A share of the good documents lost weighs as much as so many times that share of the bad ones caught.
 GOOD_WORTH = 100.0
@@ -98,16 +98,15 @@ class Forest:
         return 2.0 ** (-total / max(1, len(self.column)) / self.usual)
 
 
-def grow(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 42) -> Forest:
-    """Each tree takes ``rows`` rows at random and splits a random column, of those that vary, at a random place."""
+def grow(samples: list[np.ndarray], seed: int = 42) -> Forest:
+    """A tree for each of ``samples``, of equal length; it splits a random column, of those that vary, at a random place."""
     random = np.random.default_rng(seed)
     size = 2 ** (DEPTH + 1)
-    shape = (trees, size)
+    shape = (len(samples), size)
     forest = Forest(np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape, np.int64), np.zeros(shape), 1.0)
-    taken = min(rows, len(x))
-    forest.usual = max(expected_path(taken), 1e-9)
-    for tree in range(trees):
-        open_ = [(0, 0, x[random.choice(len(x), taken, replace=False)])]
+    forest.usual = max(expected_path(len(samples[0])), 1e-9)
+    for tree, sample in enumerate(samples):
+        open_ = [(0, 0, sample)]
         used = 1
         while open_:
             node, depth, own = open_.pop()
@@ -156,20 +155,91 @@ def thresholds(scores: list[np.ndarray], good: np.ndarray) -> list[float]:
         left &= scores[best] < chosen[best]
 
 
-def fit(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE) -> list[Forest]:
-    """A forest for each of ``VIEWS``, over at most ``rows`` labelled documents of each label that pass the base rules.
+def calibrated(scored: DataFrame, forests: int) -> list[float]:
+    """What ``thresholds`` finds, for a stored table of any length: ``good`` (boolean) and the list ``scores`` of each row.
 
-    Only their counts come to the driver. The labels serve the thresholds alone: one view may
-    tell bad documents apart where the other finds only uncommon good ones. Without rows there are no forests.
+    Rows are counted for each score that occurs, and the counts run on along the scores; a few numbers a forest
+    come to the driver.
     """
-    sample = labelled_sample(docs, marks, "quality", F.lit(True), {0: rows, 1: rows})
-    table = counted(sample, "label").toPandas().sort_values(["doc_id", "label"])
-    counts = table[list(COUNTS)].to_numpy(np.int64).reshape(-1, len(COUNTS))
-    passing = ~failed(counts)
-    x, good = rates(counts)[passing], table["label"].to_numpy(int)[passing] == 1
-    forests = [grow(x[:, view]) for view in VIEWS] if len(x) else []
-    found = thresholds([forest.scores(x[:, view]) for forest, view in zip(forests, VIEWS)], good)
-    return [replace(forest, threshold=threshold) for forest, threshold in zip(forests, found)]
+    chosen = [np.inf] * forests
+    n_good, n_bad = scored.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    while n_good and n_bad:
+        left = F.lit(True)
+        for at, bound in enumerate(chosen):
+            left = left & (F.get("scores", F.lit(at)) < F.lit(bound))
+        each = scored.select(F.posexplode("scores").alias("forest", "score"), (F.col("good") & left).alias("good"), (~F.col("good") & left).alias("bad"))
+        kinds = each.groupBy("forest", "score").agg(F.count_if("good").alias("good"), F.count_if("bad").alias("bad"))
+        kinds = materialize(kinds.filter(F.col("forest").isin([at for at, bound in enumerate(chosen) if bound == np.inf])))
+        summed = running(kinds, ["forest"], ["score"], {"good_to": "good", "bad_to": "bad"}, whole={"goods": "good_to", "bads": "bad_to"})
+        good, bad = (F.col(f"{name}s") - F.col(f"{name}_to") + F.col(name) for name in ("good", "bad"))
+        cuts = summed.groupBy("forest").agg(F.max(F.struct((bad / n_bad - GOOD_WORTH * good / n_good).alias("gain"), "score")).alias("cut")).collect()
+        best = max(cuts, key=lambda row: (row.cut.gain, -row.forest), default=None)
+        if best is None or best.cut.gain <= 1e-12:
+            break
+        below = kinds.filter((F.col("forest") == best.forest) & (F.col("score") < best.cut.score)).agg(F.max("score")).first()[0]
+        chosen[best.forest] = best.cut.score if below is None else (best.cut.score + below) / 2
+    return chosen
+
+
+def tree_samples(rows: DataFrame, trees: int = TREES, size: int = TREE_ROWS) -> list[np.ndarray]:
+    """For each tree the ``COUNTS`` of ``size`` of all ``rows`` of a stored table, unique in ``doc_id``, at random (all, if fewer).
+
+    A hash of tree and id orders the rows for each tree; the first ones are taken. Only rows that
+    are early in the order of a tree come to the driver, about twice as many as it takes.
+    """
+    n = rows.count()
+    taken, share = min(size, n), min(1.0, 2 * size / max(n, 1))
+    while taken:
+        place = lambda tree: F.shiftrightunsigned(F.xxhash64(F.lit("tree"), tree, "doc_id"), 11) / float(1 << 53)
+        early = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.struct(tree.alias("tree"), place(tree).alias("place"))), lambda one: one["place"] < share)
+        found = rows.select(F.explode(early).alias("one"), "doc_id", *COUNTS).select("one.*", "doc_id", *COUNTS).toPandas()
+        found = found.sort_values(["tree", "place", "doc_id"])
+        own = [part[list(COUNTS)].to_numpy(np.int64)[:taken] for _, part in found.groupby("tree")]
+        if len(own) == trees and all(len(one) == taken for one in own):
+            return own
+        share *= 2
+    return []
+
+
+def labelled(table: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``counted`` that have a label and pass the base rules, with ``label``.
+
+    An id counts once: with the least of its labels and, of its texts, the one with the least hash.
+    """
+    known = marks.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
+    usable = known.filter(F.col("label").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label")).filter("label IN (0, 1)")
+    first = table.join(usable, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("hash", *COUNTS)).alias("row"))
+    return first.select("doc_id", "label", "row.*").filter(
+        (F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words"))
+    )
+
+
+def fit(docs: DataFrame, marks: DataFrame) -> list[Forest]:
+    """A forest for each of ``VIEWS``, over all labelled documents that pass the base rules.
+
+    Each tree takes its own ``TREE_ROWS`` of them, as the method has it; the thresholds are calibrated
+    on every one. The labels serve the thresholds alone: one view may tell bad documents apart
+    where the other finds only uncommon good ones. Without rows there are no forests.
+    """
+    with removed_after(docs.sparkSession):
+        return fitted(materialize(counted(docs)), marks)
+
+
+def fitted(table: DataFrame, marks: DataFrame) -> list[Forest]:
+    rows = materialize(labelled(table, marks))
+    samples = [rates(sample) for sample in tree_samples(rows)]
+    forests = [grow([sample[:, view] for sample in samples]) for view in VIEWS] if samples else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = rates(np.stack([column.to_numpy() for column in batch.columns[1:]], axis=1))
+            scores = np.stack([forest.scores(x[:, view]) for forest, view in zip(forests, VIEWS)], axis=1)
+            yield pa.record_batch([batch.column(0), pa.array(list(scores), pa.list_(pa.float64()))], names=["good", "scores"])
+
+    if not forests:
+        return []
+    scored = rows.select((F.col("label") == 1).alias("good"), *COUNTS).mapInArrow(run, "good boolean, scores array<double>")
+    return [replace(forest, threshold=bound) for forest, bound in zip(forests, calibrated(materialize(scored), len(forests)))]
 
 
 def anomalies(forests: list[Forest], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +252,8 @@ def anomalies(forests: list[Forest], counts: np.ndarray) -> tuple[np.ndarray, np
     return top, out
 
 
-def counted(docs: DataFrame, *others: str) -> DataFrame:
-    """``doc_id``, the columns ``others`` and ``COUNTS`` of every whole text."""
+def counted(docs: DataFrame) -> DataFrame:
+    """``doc_id``, a ``hash`` of the text and ``COUNTS`` of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,12 +261,12 @@ def counted(docs: DataFrame, *others: str) -> DataFrame:
             columns = [*batch.columns[1:], *(pa.array(column) for column in rows.T)]
             yield pa.record_batch(columns, names=[*batch.schema.names[1:], *COUNTS])
 
-    read = docs.select(whole("text").alias("text"), "doc_id", *others)
+    read = docs.select(whole("text").alias("text"), "doc_id", F.xxhash64(whole("text")).alias("hash"))
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in read.schema.fields[1:]]
     return read.mapInArrow(run, ", ".join([*kinds, *(f"{name} bigint" for name in COUNTS)]))
 
 
-def isolate(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE) -> DataFrame:
+def isolate(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Every row as ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
     ``base_failed``, ``anomaly`` and ``kept``.
 
@@ -204,8 +274,11 @@ def isolate(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE) -> DataFrame:
     rules go where a score reaches the threshold of its forest. Null texts are empty and fail the base rules, as
     every text of fewer than ten words does. Without labelled rows of both labels that pass them, the
     base rules alone decide (``anomaly`` is null without any). Repeated rows each get a row, a null id too.
+    The counts are written down once, for the fit and the verdicts.
     """
-    forests = fit(docs, marks, rows)
+    table = materialize(counted(docs), outlast=True)
+    with removed_after(docs.sparkSession):
+        forests = fitted(table, marks)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,4 +290,4 @@ def isolate(docs: DataFrame, marks: DataFrame, rows: int = SAMPLE) -> DataFrame:
             yield pa.record_batch(columns, names=["doc_id", *COUNTS[:-1], "base_failed", "anomaly", "kept"])
 
     longs = ", ".join(f"{name} bigint" for name in COUNTS[:-1])
-    return counted(docs).mapInArrow(run, f"doc_id {kind}, {longs}, base_failed boolean, anomaly double, kept boolean")
+    return table.select("doc_id", *COUNTS).mapInArrow(run, f"doc_id {kind}, {longs}, base_failed boolean, anomaly double, kept boolean")
