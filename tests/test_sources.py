@@ -409,6 +409,27 @@ def test_the_curve_is_cheap_to_order_by(spark, tmp_path, monkeypatch):
     assert len(ordering) == 2 and not any("filter(" in line or "lambda" in line or "CASE" in line for line in ordering)
 
 
+def test_what_splits_know_goes_to_the_pieces(spark, tmp_path, splits_of):
+    """Pieces and lines are not shuffled to meet the row of their split or file, and headers need no other records."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {name: spark.conf.get(name) for name in conf}
+    write(tmp_path / "a.csv", 'a,"b\nc"\n' + "".join(f'{n},"x\n{n}"\n' for n in range(100)))
+    write(tmp_path / "a.json", GOOD)
+    splits_of(64)
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        read = read_quoted_csv(spark, str(tmp_path / "a.csv"))
+        records = read_records(spark, str(tmp_path / "a.json"), T.StructType().add("a", T.IntegerType()))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (read, records)]
+        assert not any("SortMergeJoin" in plan for plan in plans) and all("BroadcastHashJoin" in plan for plan in plans)
+        assert read.columns == ["a", "b\nc"] and sorted(map(tuple, read.collect())) == sorted((str(n), f"x\n{n}") for n in range(100))
+        assert sorted(r.a for r in records.collect()) == [1, 2]
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 @pytest.mark.parametrize("moves", [0, 1])
 def test_a_rename_that_fails_leaves_the_old_table(spark, tmp_path, monkeypatch, moves):
     """The store refuses to move the old table away, or says that it did and did not."""

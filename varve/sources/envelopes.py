@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varve.shared import materialize
+from varve.shared import lookup_join, materialize
 from varve.sources.splits import SPLIT, along_splits, cut
 
 # Depths: of the objects that hold "result" and "records", and of what stands in the list of records.
@@ -76,7 +76,8 @@ def _placed(pieces: DataFrame) -> DataFrame:
         F.when(F.col("start") == F.max("start").over(file), F.col("last_row")).alias("last_row"),
         (F.sum("bytes").over(file) - F.col("size")).alias("over"),
     )
-    joined = pieces.join(splits, SPLIT)
+    # A row for each split, or file, goes to the pieces: these are not shuffled to meet it.
+    joined = lookup_join(pieces, materialize(splits), SPLIT)
     inside = F.col("inside") != F.col("turned")
     depth = F.col("base") + F.when(F.col("turned"), F.col("depth1")).otherwise(F.col("depth0"))
     change = F.when(inside, F.col("change1")).otherwise(F.col("change0"))
@@ -176,7 +177,7 @@ def _scan(values, depths, insides, bares):
 
 def _records(placed: DataFrame, lists: DataFrame) -> DataFrame:
     where = F.struct("start", "row")
-    pieces = placed.join(lists, "file").filter((where >= F.col("opens")) & (where < F.col("closes")))
+    pieces = lookup_join(placed, lists, ["file"]).filter((where >= F.col("opens")) & (where < F.col("closes")))
     first = where == F.col("opens")
     begins = first | (~F.col("inside") & (F.col("depth") == LIST_DEPTH))
     begins = begins & F.when(first, F.lit(True)).otherwise(F.col("value").rlike(r"^\s*,\s*\{"))
@@ -196,7 +197,7 @@ def _records(placed: DataFrame, lists: DataFrame) -> DataFrame:
     own = F.when(F.col("record").isNotNull(), F.struct("start", "record"))
     parts = F.sort_array(F.collect_list(F.struct("start", "row", "value")))
     joined = (
-        begun.join(lasts, SPLIT)
+        lookup_join(begun, materialize(lasts), SPLIT)
         .groupBy("file", F.coalesce(own, "earlier").alias("one"))
         .agg(F.array_join(F.transform(parts, lambda part: part["value"]), "}").alias("value"))
         .select("file", F.col("one.start").alias("start"), F.col("one.record").alias("row"), text(F.col("value")).alias("value"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varve.shared import materialize
+from varve.shared import lookup_join, materialize
 from varve.sources.splits import SPLIT, along_splits, cut
 from varve.sources.tables import CSV
 
@@ -60,23 +60,24 @@ def _splits(lines: DataFrame) -> DataFrame:
     turned = found.select(*SPLIT, "first_row", "even", "odd", closed.alias("turned"), (F.col("start") == F.min("start").over(file)).alias("front"))
     begun = F.when(F.col("turned"), F.col("odd")).otherwise(F.col("even"))
     # Rows of a later split may have smaller numbers, so the last split that begins a record decides.
-    return turned.withColumn("earlier", F.last(begun, ignorenulls=True).over(before)).drop("even", "odd")
+    head = F.max(F.when(F.col("front"), F.col("first_row"))).over(file)
+    return turned.select(*SPLIT, "turned", F.last(begun, ignorenulls=True).over(before).alias("earlier"), head.alias("head_row"))
 
 
 def _records(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """Records as ``file, head, value``; the first of a file is its ``head``."""
-    placed = lines.join(splits, SPLIT)
+    placed = lookup_join(lines, splits, SPLIT)
     begun = F.when(F.col("turned"), F.col("odd")).otherwise(F.col("even"))
     placed = placed.select(
-        *SPLIT, "row", "value", "flips", (F.col("front") & (F.col("row") == F.col("first_row"))).alias("head"),
-        (F.col("inside") != F.col("turned")).alias("goes_on"), F.coalesce(begun, "earlier").alias("record"),
-    )
+        *SPLIT, "row", "value", "flips", "head_row", (F.col("inside") != F.col("turned")).alias("goes_on"), F.coalesce(begun, "earlier").alias("record")
+    )
+    placed = placed.withColumn("head", F.col("record") == F.col("head_row"))
     alone = ~F.col("goes_on") & (F.col("flips") % 2 == 0)
     parts = F.sort_array(F.collect_list(F.struct("start", "row", "value")))
     longer = (
         placed.filter(~alone)
-        .groupBy("file", "record")
-        .agg(F.max("head").alias("head"), F.array_join(F.transform(parts, lambda part: part["value"]), "\n").alias("value"))
+        .groupBy("file", "record", "head")
+        .agg(F.array_join(F.transform(parts, lambda part: part["value"]), "\n").alias("value"))
     )
     both = placed.filter(alone).select("file", "head", "value").unionByName(longer.select("file", "head", "value"))
     return both.withColumn("value", F.regexp_replace("value", r"\r\z", ""))
