@@ -191,6 +191,22 @@ def test_joins_without_broadcast_give_the_same_fits(spark, monkeypatch):
     assert out.lowess.values == pytest.approx(one_by_one(out.x.values, out.y.values, it=1), rel=1e-8, abs=1e-8)
 
 
+def test_short_series_need_no_plan_of_blocks(spark, monkeypatch):
+    # Batches of 7 rows: series begin and end anywhere in them.
+    monkeypatch.setattr(lowess_blocks, "_Plan", None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"g": rng.integers(0, 40, 900), "x": rng.uniform(0, 50, 900).round(0), "y": rng.normal(size=900).round(1)})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = lowess(spark.createDataFrame(frame), "x", "y", by=["g"], frac=0.5).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(out) == len(frame)
+    for g, part in out.groupby("g"):
+        assert part.lowess.values == pytest.approx(one_by_one(part.x.values, part.y.values, 0.5), rel=1e-8, abs=1e-8), g
+
+
 @pytest.mark.parametrize("spread", [True, False])
 def test_long_and_short_series_nulls_and_null_keys(spark, spread):
     frame = frame_of(["even", "ties"], 120)
