@@ -207,6 +207,25 @@ def test_short_series_need_no_plan_of_blocks(spark, monkeypatch):
         assert part.lowess.values == pytest.approx(one_by_one(part.x.values, part.y.values, 0.5), rel=1e-8, abs=1e-8), g
 
 
+def test_series_of_many_rows_go_block_by_block(spark, monkeypatch):
+    # Blocks of 4 points: 32 rows are short, 33 are long, also where many of them are copies.
+    monkeypatch.setattr(lowess_blocks.fits_of_long_series, "__defaults__", (4,))
+    ranked, listed = lowess_blocks._ranked, []
+
+    def noted(points, *more):
+        listed.extend(row.g for row in points.select("_s.g").distinct().collect())
+        return ranked(points, *more)
+
+    monkeypatch.setattr(lowess_blocks, "_ranked", noted)
+    short, long = frame_of(["even"], 32), frame_of(["ties"], 33)
+    copied = pd.DataFrame({"x": [1.0, 2.0, 3.0] * 20, "y": [0.5, 1.5, 1.0] * 20, "g": "copied"})
+    frame = pd.concat([short, long, copied], ignore_index=True)
+    out = lowess(spark.createDataFrame(frame), "x", "y", by=["g"], it=1).toPandas()
+    assert sorted(listed) == ["copied", "ties"]
+    for g, part in out.groupby("g"):
+        assert part.lowess.values == pytest.approx(one_by_one(part.x.values, part.y.values, it=1), rel=1e-8, abs=1e-8), g
+
+
 @pytest.mark.parametrize("spread", [True, False])
 def test_long_and_short_series_nulls_and_null_keys(spark, spread):
     frame = frame_of(["even", "ties"], 120)
