@@ -13,12 +13,14 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from varve.llm import passages
 from varve.llm.exact import drop_exact, exact_groups
 from varve.llm.mixing import DIGITS, mix
+from varve.llm.passages import sharing
 from varve.llm.pieces import Pieces, decode, encode, read_model
 from varve.llm.quality import fit as fit_rules
 from varve.llm.quality import keep_good, quality, scored
-from varve.llm.queries import MIXTURE, MODEL, pieces
+from varve.llm.queries import MIXTURE, MODEL, pieces, repeated_passages
 from varve.llm.secrets import scan
 from varve.llm.simhash import drop_near, near_groups, near_in_shard, shards
 from varve.llm.suffixes import repeated, two_stage, without_repeats
@@ -391,6 +393,53 @@ def test_suffixes_are_sorted():
         assert text
 
 
+def plain_sharing(docs, size):
+    """The places of the rows that hold a window of words that another row holds."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for _, t in docs]
+    windows = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in words]
+    count = Counter(window for each in windows for window in each)
+    return [any(count[window] > 1 for window in each) for each in windows]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 1 << 9])
+def test_rows_that_share_a_passage(given, hard, empty, chunk, monkeypatch):
+    monkeypatch.setattr(passages, "CHUNK", chunk)
+    monkeypatch.setattr(passages, "PIECE", chunk >> 3)
+    for docs, size, gram in ((given, 50, 8), (given, 12, 3), (hard, 5, 2), (hard, 2, 1), (empty, 50, 8)):
+        rows = pairs(docs)
+        keys = [(i, hashlib.sha256(t.encode()).digest()[:16]) for i, t in rows]
+        wanted = {key for key, shares in zip(keys, plain_sharing(rows, size)) if shares}
+        got = [(r.doc_id, bytes(r.text_key)) for r in sharing(docs, size, gram).collect()]
+        assert len(got) == len(wanted) and set(got) == wanted
+
+
+def test_short_passages_are_reported_and_stay(spark, tmp_path):
+    """A passage of 50 words, far under 400 bytes, in two documents; one of 49; one that only its own document repeats."""
+    rng = np.random.default_rng(9)
+    some = lambda n: [f"{w:x}" for w in rng.integers(0, 1 << 16, n)]
+    said, short, own, copy = some(50), some(49), some(80), " ".join(some(50))
+    rows = [
+        (1, " ".join(some(70) + said + some(90))),
+        (2, " ".join(some(5)) + "\n" + "\t ".join(said) + "\n" + " ".join(some(200))),
+        (3, " ".join(some(60) + short + some(60))),
+        (4, " ".join(some(60) + short + some(60))),
+        (5, " ".join(own + some(9) + own)),
+        (6, copy),
+        (6, copy),
+        (7, " ".join(some(300))),
+        (8, None),
+        (9, ""),
+        (None, " ".join(own[5:60])),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = repeated_passages(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.shares_passage) for r in got) == [
+        (0, 1), (1, 1), (2, 1), (3, 0), (4, 0), (5, 1), (6, 1), (6, 1), (7, 0), (8, 0), (9, 0)
+    ]
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == plain_repeats(raw, 400)
+
+
 # near-duplicates
 
 

@@ -67,6 +67,23 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def anchored(grams: np.ndarray, owner: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Start, number of windows and place of the anchor of every unit, given the hashes of all grams and
+    the text that each symbol is of."""
+    # The place in the low bits: among equal hashes the leftmost counts. As many bits in every chunk, so that
+    # equal windows choose alike wherever they lie.
+    places = np.uint64((1 << PLACE_BITS) - 1)
+    lowest = sliding_min((grams & ~places) | np.arange(len(grams), dtype=np.uint64), size - gram + 1)
+    anchors = (lowest & places).astype(np.int64)
+    valid = owner[: len(owner) - size + 1] == owner[size - 1 :]
+    new = valid.copy()
+    new[1:] &= ~valid[:-1] | (anchors[1:] != anchors[:-1])
+    starts = np.flatnonzero(new)
+    before = np.cumsum(valid) - valid
+    windows = np.diff(np.append(before[starts], valid.sum()))
+    return starts, windows, anchors[starts]
+
+
 def units(buffer: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """Units of texts that lie one after the other, each of at least ``size`` bytes.
 
@@ -78,19 +95,9 @@ def units(buffer: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tupl
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(VALUES[buffer] * powers(base, n), out=sums[1:])
     grams = mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
-    # The place in the low bits: among equal hashes the leftmost counts. As many bits in every chunk, so that
-    # equal windows choose alike wherever they lie.
-    places = np.uint64((1 << PLACE_BITS) - 1)
-    lowest = sliding_min((grams & ~places) | np.arange(len(grams), dtype=np.uint64), size - gram + 1)
-    anchors = (lowest & places).astype(np.int64)
     owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    valid = owner[: n - size + 1] == owner[size - 1 :]
-    new = valid.copy()
-    new[1:] &= ~valid[:-1] | (anchors[1:] != anchors[:-1])
-    starts = np.flatnonzero(new)
-    before = np.cumsum(valid) - valid
-    windows = np.diff(np.append(before[starts], valid.sum()))
-    return starts, windows, anchors[starts] - starts, grams[anchors[starts]]
+    starts, windows, anchors = anchored(grams, owner, size, gram)
+    return starts, windows, anchors - starts, grams[anchors]
 
 
 def digest(raw: bytes) -> bytes:
@@ -375,35 +382,45 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = SHA
     return whole_units.unionByName(_decided(placed, size, most))
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = SHARD) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, size: int = SIZE, gram: int = GRAM, most: int = SHARD, sharing: DataFrame | None = None
+) -> DataFrame:
     """Every row of ``docs`` without the bytes that a repeated string of ``size`` bytes covers.
 
     Returns ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` (removed runs), ``kept_sha256`` and ``kept``
     (what is left, binary: a run may begin or end inside a character). Texts are UTF-8 bytes, null
     is empty; strings are judged on the input and never cross documents. Repeated rows are
-    documents of their own, so all their strings of that length go.
+    documents of their own, so all their strings of that length go. With the rows (``doc_id``, ``text_key``)
+    of ``passages.sharing``, ``shares_passage`` says whether a row is one of them.
     """
-    marks = repeats(docs, size, gram, most).groupBy("doc_id", "text_key").agg(
-        F.collect_list("at").alias("starts"), F.collect_list("windows").alias("counts")
+    found = repeats(docs, size, gram, most).withColumn("shares", F.lit(0))
+    if sharing is not None:
+        found = found.unionByName(sharing.withColumn("shares", F.lit(1)), allowMissingColumns=True)
+    marks = found.groupBy("doc_id", "text_key").agg(
+        F.collect_list("at").alias("starts"), F.collect_list("windows").alias("counts"), F.max("shares").alias("shares")
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_key(whole("text")), whole("text").cast("binary").alias("raw"))
-    joined = join_same(texts, marks.hint("shuffle_hash"), ["doc_id", "text_key"]).select("doc_id", "raw", "starts", "counts")
+    joined = join_same(texts, marks.hint("shuffle_hash"), ["doc_id", "text_key"])
+    joined = joined.select("doc_id", "raw", "starts", "counts", F.coalesce("shares", F.lit(0)).alias("shares"))
+    last = [] if sharing is None else ["shares_passage"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *last]
         for batch in batches:
             rows = []
             for raw, starts, counts in zip(*(batch.column(i) for i in (1, 2, 3))):
                 raw = raw.as_py()
-                kept, spans = (raw, 0) if not starts.is_valid else cut_out(
+                kept, spans = (raw, 0) if not (starts.is_valid and len(starts.values)) else cut_out(
                     raw, starts.values.to_numpy(), counts.values.to_numpy(), size
                 )
                 rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=names)
+            columns = [batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds)), batch.column(4)]
+            yield pa.record_batch(columns[: len(names)], names=names)
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return joined.mapInArrow(run, ", ".join([schema, *(f"{name} int" for name in last)]))
 
 
 def cut_out(raw: bytes, starts: np.ndarray, counts: np.ndarray, size: int) -> tuple[bytes, int]:
