@@ -8,8 +8,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from varve.operators import combine
 from varve.operators.columns import add_year_month, drop, keep, rename, sanitize_names
-from varve.operators.combine import _in_cells, _parts, count_by, exact_mean_by, grid_join, join_on, mean_by
+from varve.operators.combine import _in_cells, _parts, _tasks, count_by, exact_mean_by, grid_join, join_on, mean_by
 from varve.operators.rows import distinct_rows, first_per_key, in_box, in_list, in_table, not_all_null, share_over
 from varve.operators.running import exact_median, ordered_image, running
 from varve.plans.gold import change_on_previous, correlations, ranked
@@ -234,6 +235,20 @@ def test_what_a_grid_copies_grows_with_the_rows(spark):
     assert joined.distinct().count() == joined.count() == 900 * 600
 
 
+def test_the_tasks_of_a_grid_grow_with_its_pairs(spark, monkeypatch):
+    """Few rows of one key make many pairs, which no task makes most of."""
+    sides = [spark.range(n, numPartitions=1).select(F.lit(1).alias("k"), F.col("id").alias(name)) for name, n in (("a", 900), ("b", 600))]
+    monkeypatch.setattr(combine, "PAIRS", 900 * 600 // 50)
+    joined = grid_join(*sides, "k", cell=5)
+    made = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) == joined.distinct().count() == 900 * 600
+    assert len(made) > 20 and max(made) < 900 * 600 / 6
+    keys = spark.createDataFrame([(1, 900, 600, 8, 8), (2, 3, 1, 1, 1)], "_key long, _l long, _r long, _lines long, _columns long")
+    assert [_tasks(keys), _tasks(keys.filter("_key = 2")), _tasks(keys.filter("_key = 3"))] == [50, 0, 0]
+    monkeypatch.setattr(combine, "PAIRS", 1)
+    assert _tasks(keys) == 65
+
+
 def test_a_list_of_any_length(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "`x.x` string")
     listed = spark.createDataFrame([("a",), ("a",), (None,), ("c",)], "`x.x` string")
